@@ -124,9 +124,11 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         elif what == "account":
             if first >= account_floor and not (first and text[first - 1].isalnum()) and (m := IDENTIFIER.match(text, last + 1)) and m.start(1) > last + 1:
                 code = m[1]
-                if code[0].isdigit() or iban(code):
-                    found["account"].append(m.span(1))
-                    account_floor = m.end()
+                while code and not (code[0].isdigit() or iban(code)):
+                    code = code.rpartition(" ")[0]  # words after an IBAN look like its last groups
+                if code:
+                    found["account"].append((m.start(1), m.start(1) + len(code)))
+                    account_floor = m.start(1) + len(code)
         elif first >= address_floor:
             after = text[last + 1 : last + 2]
             if what == "before" and not after.isalnum() and not text[first - 1 : first].isalnum() and (m := HOUSE_BEFORE.search(text, max(address_floor, first - 80), first)):
