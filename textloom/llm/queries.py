@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import chat, matroska, mixing, pii
+from textloom.llm import bpe, chat, matroska, mixing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_perspectives": chat.op2_perspectives,
     "op4_matroska": matroska.op4_matroska,
     "op5_pii": pii.op5_pii,
     "op8_pareto_mix": mixing.op8_pareto_mix,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_perspectives": chat.OP2_SQL}
