@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, chat, matroska, mixing, pii
+from textloom.llm import bpe, chat, matroska, minhash, mixing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_perspectives": chat.op2_perspectives,
+    "op3_minhash": minhash.op3_minhash,
     "op4_matroska": matroska.op4_matroska,
     "op5_pii": pii.op5_pii,
     "op8_pareto_mix": mixing.op8_pareto_mix,
