@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, chat, matroska, minhash, mixing, pii
+from textloom.llm import bitslice, bpe, chat, matroska, minhash, mixing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_perspectives": chat.op2_perspectives,
     "op3_minhash": minhash.op3_minhash,
     "op4_matroska": matroska.op4_matroska,
     "op5_pii": pii.op5_pii,
+    "op7_bit_sliced": bitslice.op7_bit_sliced,
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_perspectives": chat.OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_perspectives": chat.OP2_SQL, "op7_bit_sliced": bitslice.OP7_SQL}
