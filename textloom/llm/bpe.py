@@ -7,6 +7,10 @@
 3. Blocks join the ids of their words back by position, and decode them by a lookup of id to piece (a table as
    large as the vocabulary).
 
+The table is scanned twice, for the words and for the positions, so that neither is written but to the one shuffle
+that needs it. A block is named by a hash of its texts; one that reads differently the second time has no words
+and fails the job. A frame that is not a plain table of files is written to the shared folder first.
+
 It needs a tokenizer that drops white space and has no decoder, so that texts fall apart at white space and decoded
 pieces are joined by spaces; others are refused.
 
@@ -23,6 +27,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,19 +36,23 @@ from pyspark.sql import functions as F
 from textloom.llm.common import slices, stored, table
 
 #: Text bytes of a block, buckets of words, and documents a row.
-BLOCK_BYTES, BUCKETS, ROW_DOCS = 32 << 20, 2048, 32
-PACKED = "block long, kind int, bucket int, doc_ids array<long>, lens binary, data binary, words array<string>"
+BLOCK_BYTES, BUCKETS, ROW_DOCS = 32 << 20, 512, 32
+PACKED = "block long, kind int, bucket int, doc_ids array<long>, lens binary, data binary"
 ENCODED = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
 
 def packed(x: np.ndarray) -> bytes:
-    """32-bit numbers as four planes of bytes, compressed."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """32-bit numbers as planes of bytes, as many as the largest needs, compressed."""
+    width = 1 if x.max(initial=0) < 1 << 8 else 2 if x.max() < 1 << 16 else 3 if x.max() < 1 << 24 else 4
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T[:width])
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u4").ravel()
 
 
 def list_column(values: pa.Array, offsets: list[int] | np.ndarray) -> pa.Array:
@@ -53,27 +62,28 @@ def list_column(values: pa.Array, offsets: list[int] | np.ndarray) -> pa.Array:
 def rows(**columns) -> pa.RecordBatch:
     """A batch of the PACKED schema; columns that are left out are null."""
     n = len(columns["block"])
-    kinds = {"block": pa.int64(), "kind": pa.int32(), "bucket": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lens": pa.binary(), "data": pa.binary(), "words": pa.list_(pa.string())}
+    kinds = {"block": pa.int64(), "kind": pa.int32(), "bucket": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lens": pa.binary(), "data": pa.binary()}
     made = {k: v if isinstance(v := columns.get(k, [None] * n), pa.Array) else pa.array(v, t) for k, t in kinds.items()}
     return pa.RecordBatch.from_arrays(list(made.values()), list(made))
 
 
-def split_blocks(block_bytes: int, buckets: int):
-    """Texts into blocks: rows of kind 1 hold a bucket of distinct words, rows of kind 0 some documents."""
+def split_blocks(block_bytes: int, buckets: int, kind: int):
+    """Texts into blocks: for kind 1 a row for each bucket of distinct words, for kind 0 rows of some documents."""
 
-    def flush(block, known, ids, codes):
+    def flush(name, known, ids, codes):
+        block = name.intdigest() >> 1
         words = list(known)
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
+        if kind:
+            used, starts = np.unique(bucket[order], return_index=True)
+            ordered, pack = [words[k] for k in order], zstandard.ZstdCompressor(level=3).compress
+            data = [pack(b"\n".join(ordered[a:b])) for a, b in zip(starts, [*starts[1:], len(words)])]
+            for a in range(0, len(used), 64):
+                yield rows(block=[block] * len(used[a : a + 64]), kind=[1] * len(used[a : a + 64]), bucket=used[a : a + 64].tolist(), data=data[a : a + 64])
+            return
         number = np.empty(len(words), np.uint32)
         number[order] = np.arange(len(words), dtype=np.uint32)
-        used, starts = np.unique(bucket[order], return_index=True)
-        values = pa.array([words[k] for k in order], pa.binary()).cast(pa.string())
-        for a in range(0, len(used), 256):
-            b = min(a + 256, len(used))
-            ends = [*starts[a:b], starts[b] if b < len(used) else len(words)]
-            part = values.slice(ends[0], ends[-1] - ends[0])
-            yield rows(block=[block] * (b - a), kind=[1] * (b - a), bucket=used[a:b].tolist(), words=list_column(part, np.array(ends) - ends[0]))
         for a in range(0, len(ids), 8 * ROW_DOCS):
             groups = [(ids[k : k + ROW_DOCS], codes[k : k + ROW_DOCS]) for k in range(a, min(a + 8 * ROW_DOCS, len(ids)), ROW_DOCS)]
             yield rows(
@@ -82,22 +92,30 @@ def split_blocks(block_bytes: int, buckets: int):
                 bucket=[-1] * len(groups),
                 doc_ids=[g for g, _ in groups],
                 lens=[packed(np.array([len(c) for c in cs])) for _, cs in groups],
-                data=[packed(number[np.concatenate(cs)] if len(words) else np.empty(0)) for _, cs in groups],
+                data=[packed(number[np.concatenate(cs)] if len(words) else np.empty(0, np.uint32)) for _, cs in groups],
             )
 
     def run(it):
-        block, known, ids, codes, size = TaskContext.get().partitionId() << 24, {}, [], [], 0
+        # The partition's number keeps equal blocks of different tasks apart.
+        start = lambda k: xxhash.xxh64(f"{TaskContext.get().partitionId()}:{k}".encode())
+        done, name, known, ids, codes, size = 0, start(0), {}, [], [], 0
         for batch in slices(it):
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = (text or "").encode()
+                name.update(raw + b"\0")
+                words = raw.split()
                 ids.append(ident)
-                codes.append(np.array([known.setdefault(w, len(known)) for w in raw.split()], np.uint32))
+                if kind:
+                    known.update(zip(words, words))
+                else:
+                    codes.append(np.array([known.setdefault(w, len(known)) for w in words], np.uint32))
                 size += len(raw)
             if size >= block_bytes:
-                yield from flush(block, known, ids, codes)
-                block, known, ids, codes, size = block + 1, {}, [], [], 0
+                yield from flush(name, known, ids, codes)
+                done, known, ids, codes, size = done + 1, {}, [], [], 0
+                name = start(done)
         if ids:
-            yield from flush(block, known, ids, codes)
+            yield from flush(name, known, ids, codes)
 
     return run
 
@@ -117,13 +135,14 @@ def encode_words(definition: str):
 
     def run(it):
         tokenizer, bucket, known = load(definition), None, {}
-        for batch in slices(it, 512, 4 << 20, "words"):
-            blocks, numbers, words = (batch.column(k).to_pylist() for k in range(3))
+        for batch in slices(it, 128, 1 << 20, "data"):
+            blocks, numbers = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            words = [zstandard.ZstdDecompressor().decompress(x).decode().split("\n") for x in batch.column(5).to_pylist()]
             known = known if numbers[0] == bucket else {}
             fresh = list(dict.fromkeys(w for some in words for w in some if w not in known))
             known |= zip(fresh, (e.ids for e in tokenizer.encode_batch(fresh, add_special_tokens=False)))
             lens = [packed(np.array([len(known[w]) for w in some])) for some in words]
-            data = [packed(np.array([i for w in some for i in known[w]])) for some in words]
+            data = [packed(np.array([i for w in some for i in known[w]], np.uint32)) for some in words]
             yield rows(block=blocks, kind=[1] * len(blocks), bucket=numbers, lens=lens, data=data)
             bucket = numbers[-1]  # the next batch may go on with it
             known = {w: known[w] for number, some in zip(numbers, words) if number == bucket for w in some} if numbers[0] != bucket else known
@@ -147,6 +166,8 @@ def join_back(definition: str):
                     data.append(unpacked(some))
                     continue
                 if table_ is None:
+                    if not lens and any(map(len, map(unpacked, [some]))):
+                        raise RuntimeError("the documents read differently the second time; write them to a table first")
                     sizes = np.concatenate(lens) if lens else np.empty(0, np.uint32)
                     flat = np.concatenate(data).astype(np.int32) if data else np.empty(0, np.int32)
                     ends = np.cumsum(sizes, dtype=np.int64)
@@ -169,6 +190,12 @@ def join_back(definition: str):
     return run
 
 
+def plain_table(df: DataFrame) -> bool:
+    """Whether ``df`` is no more than columns of files, which read the same each time."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return all(line.strip(" :+-").split(" ")[0] in ("Project", "Relation") for line in plan.splitlines() if line.strip())
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_tokens, ids and the decoded text of every row of ``docs``. The driver reads the tokenizer's file."""
     definition = Path(tokenizer_path).read_text()
@@ -176,11 +203,11 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     if parts["decoder"] is not None or "\\s+" not in json.dumps(parts["normalizer"]).replace("\\\\", "\\"):
         raise ValueError("the tokenizer must drop white space and join pieces by spaces")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = stored(source.mapInArrow(split_blocks(block_bytes, buckets), PACKED), "bpe")
+    if not plain_table(docs):
+        source = stored(source, "bpe")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = blocks.filter("kind = 1").select("block", "bucket", "words").repartition(n, "bucket").sortWithinPartitions("bucket")
-    ids = words.mapInArrow(encode_words(definition), PACKED).drop("words")
-    both = blocks.filter("kind = 0").drop("words").union(ids)
+    words = source.mapInArrow(split_blocks(block_bytes, buckets, 1), PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
+    both = source.mapInArrow(split_blocks(block_bytes, buckets, 0), PACKED).union(words.mapInArrow(encode_words(definition), PACKED))
     whole = both.repartition(n, "block").sortWithinPartitions("block", F.col("kind").desc(), "bucket")
     return whole.mapInArrow(join_back(definition), ENCODED)
 
