@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bitslice, bpe, chat, matroska, minhash, mixing, pii
+from textloom.llm import bitslice, bpe, chat, matroska, minhash, mixing, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_perspectives": chat.op2_perspectives,
     "op3_minhash": minhash.op3_minhash,
     "op4_matroska": matroska.op4_matroska,
