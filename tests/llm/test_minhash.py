@@ -60,8 +60,9 @@ def test_against_brute_force(spark, tmp_path):
 
 
 def test_members_that_miss_the_pivot_are_still_linked(spark, monkeypatch):
-    """A large group whose least member is far from many others, with small chunks and pivots' parts."""
-    monkeypatch.setattr(minhash, "CHUNK", 8)
+    """A large group whose least member is far from many others, with small blocks and parts of pivots."""
+    monkeypatch.setattr(minhash, "MINORS", 3)
+    monkeypatch.setattr(minhash, "STREAM", 8)
     monkeypatch.setattr(minhash, "MEMBERS", 4)
     base = prose(300, 3)
     rows = [(k, edited(base, 9 if k else 17, k), "en", "a", 1) for k in range(40)]

@@ -5,12 +5,13 @@
 2. Classes that share a band key are candidates. In each bucket all are compared with one pivot, the least id; a
    candidate pair must agree in enough minima, then its full sets are rebuilt from the texts and compared exactly.
 3. Components of the links, by alternating large-star and small-star.
-4. Buckets that still hold several components are searched on: members of different components are paired, best
-   agreement first, in rounds of growing depth, and components merge after each round. The last round has no bound,
-   so no link between candidates is lost, while a bucket of one component never costs a pair a member.
+4. Texts that candidates connect form a cluster. In a cluster of several components, those outside the largest are
+   minor: blocks of minor members meet streams of all members, and every candidate pair of different components is
+   put to the same tests there. Only links leave the task, so no link between candidates is lost and no pairs are
+   written out.
 
 At the threshold, bands of four minima of 128 miss a link with a probability of (1 - 0.75 ** 4) ** 32 = 5e-6, and
-the least agreement (66 of 128) with one of 1e-9; both are for a single pair, and a document of a larger group has
+the least agreement (72 of 128) with one of 1e-6; both are for a single pair, and a document of a larger group has
 many.
 
 Defined results: texts without words have no set and are linked with nothing; a doc_id names one
@@ -33,9 +34,11 @@ SHINGLE, HASHES, BANDS = 5, 128, 32
 #: A link: PARTS * intersection >= OF * union, in hundredths.
 PARTS, OF = 100, 75
 #: Least agreement of two sketches, of HASHES.
-AGREE = 66
-#: Members that are compared with one copy of a pivot; pairs of a member and a component in the rounds of step 4.
-MEMBERS, DEPTHS = 256, (2, 32, 1 << 62)
+AGREE = 72
+#: Members that are compared with one copy of a pivot; minor members of a block and members of a stream in step 4.
+MEMBERS, MINORS, STREAM = 256, 128, 1024
+#: Up to so many candidates are looked up by broadcast, more by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Node numbers of classes without a doc_id start here.
 NAMELESS = 1 << 62
 
@@ -95,13 +98,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, text string, n_shingles long, key string, bands array<long>, sketch binary"
+SIGNED = "doc_id long, ref long, n_shingles long, key string, bands array<long>, sketch binary"
 
 
 def signed(it):
     known = WordHashes()
     for batch in slices(it):
-        ids, texts = batch.column(0), batch.column(1)
+        ids, texts, refs = batch.columns
         sets = [np.unique(shingles(t, known)) for t in texts.to_pylist()]
         full = [k for k, s in enumerate(sets) if len(s)]
         minima = signatures([sets[k] for k in full]) if full else np.empty((0, HASHES), np.uint32)
@@ -115,8 +118,8 @@ def signed(it):
             listed[k] = bands[row].view(np.int64)
             sketches[k] = minima[row].astype(np.uint8).tobytes()
         yield pa.RecordBatch.from_arrays(
-            [ids, texts, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string()), pa.array(listed, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-            ["doc_id", "text", "n_shingles", "key", "bands", "sketch"],
+            [ids, refs, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string()), pa.array(listed, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+            ["doc_id", "ref", "n_shingles", "key", "bands", "sketch"],
         )
 
 
@@ -150,7 +153,6 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The (pivot, member) ``pairs`` that are links. A pivot of many members is copied for every MEMBERS of them, so
     no task holds more than a stream of texts beside one pivot."""
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = stored(pairs.distinct(), "pairs")
     counts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     texts = classes.select("node", "text", "sketch")
     own = counts.join(texts, F.col("pivot") == F.col("node")).select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("member"), "text", "sketch")
@@ -160,45 +162,38 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(confirmed, "u long, v long")
 
 
-def crossing(low: int, high: int):
-    """Rows (bucket, chunk pair, side, node, root, n, sketch), a bucket's together, to pairs of members of different
-    components that agree enough: of each member and component those of rank [low, high), best agreement first."""
-
-    def pairs(side, other, same):
-        marks = [np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, HASHES) for rows in (side, other)]
-        roots, sizes = [r[2] for r in other], np.array([r[3] for r in other])
-        root_no = np.unique(roots, return_inverse=True)[1]
-        for k, (_, node, root, n, _) in enumerate(side):
-            agree = (marks[1] == marks[0][k]).sum(axis=1)
-            fits = (agree >= AGREE) & (PARTS * np.minimum(sizes, n) >= OF * np.maximum(sizes, n)) & (np.array(roots) != root)
-            if same:
-                fits[: k + 1] = False
-            found = np.flatnonzero(fits)
-            found = found[np.lexsort((-agree[found], root_no[found]))]
-            firsts = np.flatnonzero(np.diff(root_no[found], prepend=-1))
-            rank = np.arange(len(found)) - np.repeat(firsts, np.diff([*firsts, len(found)]))
-            for j in found[(rank >= low) & (rank < high)]:
-                yield min(node, other[j][1]), max(node, other[j][1])
-
-    def run(it):
-        bucket, sides = None, ([], [])
-
-        def flush():
-            same = not sides[1]
-            made = list(pairs(sides[0], sides[0] if same else sides[1], same)) if sides[0] else []
-            for a in range(0, len(made), 50_000):
-                us, vs = zip(*made[a : a + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["pivot", "member"])
-
-        for batch in slices(it, 4096, 8 << 20, "sketch"):
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:2] != bucket:
-                    yield from flush()
-                    bucket, sides = row[:2], ([], [])
-                sides[row[2]].append((None, *row[3:]))
-        yield from flush()
-
-    return run
+CROSS = "cluster long, block int, stream int, minor boolean, node long, root long, n long, sketch binary, bands array<long>, text string"
+
+
+def crossing(it):
+    """Rows of CROSS, a block's minor members before its stream, to links between different components."""
+    known, at, minors = WordHashes(), None, []
+    sets = marks = bands = roots = nodes = sizes = None
+    for batch in slices(it, 128, 4 << 20):
+        us, vs = [], []
+        for cluster, block, stream, minor, node, root, n, sketch, keys, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if at != (cluster, block, stream):
+                at, minors, sets = (cluster, block, stream), [], None
+            if minor:
+                minors.append((node, root, n, sketch, keys, text))
+                continue
+            if sets is None:
+                sets = [np.unique(shingles(m[5], known)) for m in minors]
+                nodes, roots, sizes = (np.array([m[k] for m in minors], np.int64) for k in range(3))
+                marks = np.frombuffer(b"".join(m[3] for m in minors), np.uint8).reshape(-1, HASHES)
+                bands = np.array([m[4] for m in minors], np.int64).reshape(-1, BANDS)
+            fits = (roots != root) & (PARTS * np.minimum(sizes, n) >= OF * np.maximum(sizes, n))
+            if fits.any():
+                fits &= (bands == np.array(keys, np.int64)).any(axis=1)
+            if fits.any():
+                fits &= (marks == np.frombuffer(sketch, np.uint8)).sum(axis=1) >= AGREE
+            if fits.any():
+                own = np.unique(shingles(text, known))
+                for k in np.flatnonzero(fits):
+                    if linked(sets[k], own):
+                        us.append(max(node, int(nodes[k])))
+                        vs.append(min(node, int(nodes[k])))
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
 def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -207,53 +202,49 @@ def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(found, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node")).drop("of")
 
 
-CHUNK = 2048
-
-
-def mixed_buckets(bands: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of buckets of three or more that hold several components, and their components."""
-    rows = labelled(bands, roots)
-    several = rows.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n_members")).filter("least <> most AND n_members > 2")
-    return rows.join(several.select("bucket", "n_members"), "bucket")
-
-
-def cross_pairs(members: DataFrame, classes: DataFrame, low: int, high: int) -> DataFrame:
-    """Candidate pairs across components. A large bucket is cut into chunks, and each pair of chunks is a task's."""
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = F.ceil(F.col("n_members") / CHUNK).cast("int")
-    rows = members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    each = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("a"), F.greatest("chunk", k).alias("b"), F.when(k < F.col("chunk"), 1).otherwise(0).alias("side")))
-    rows = rows.withColumn("at", F.explode(each)).select("bucket", F.concat_ws(":", "at.a", "at.b").alias("chunk_pair"), F.col("at.side").alias("side"), "node", "root")
-    sketched = rows.join(classes.select(F.col("node").alias("of"), "n_shingles", "sketch"), F.col("node") == F.col("of")).drop("of")
-    return sketched.repartition(n, "bucket", "chunk_pair").sortWithinPartitions("bucket", "chunk_pair").mapInArrow(crossing(low, high), "pivot long, member long")
+def cross_links(stars: DataFrame, roots: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Links between members of a cluster that are in different components so far."""
+    n = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clusters = components(stars).select(F.col("u").alias("in"), F.col("v").alias("cluster"))
+    rows = labelled(candidates, roots).join(clusters, F.col("node") == F.col("in"), "left").withColumn("cluster", F.coalesce("cluster", "node")).drop("in")
+    rows = stored(rows, "clustered")
+    counts = rows.groupBy("cluster", "root").agg(F.count("*").alias("n_root")).groupBy("cluster").agg(F.sum("n_root").alias("n_all"), F.max(F.struct("n_root", "root")).alias("major"), F.count("*").alias("n_roots"))
+    several = counts.filter("n_roots > 1 AND n_all > 2").select(F.col("cluster").alias("of"), F.col("major.root").alias("major"), F.ceil((F.col("n_all") - F.col("major.n_root")) / MINORS).cast("int").alias("blocks"), F.ceil(F.col("n_all") / STREAM).cast("int").alias("streams"))
+    found = rows.join(several, F.col("cluster") == F.col("of"))
+    deal = lambda many, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(many)).cast("int")
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    columns = ["node", "root", F.col("n_shingles").alias("n"), "sketch", "bands", "text"]
+    minor = found.filter("root <> major").withColumns({"block": deal("blocks", 1), "stream": each("streams")}).select("cluster", "block", "stream", F.lit(True).alias("minor"), *columns)
+    every = found.withColumns({"stream": deal("streams", 2), "block": each("blocks")}).select("cluster", "block", "stream", F.lit(False).alias("minor"), *columns)
+    met = minor.union(every).repartition(n, "cluster", "block", "stream").sortWithinPartitions("cluster", "block", "stream", F.desc("minor"))
+    return met.mapInArrow(crossing, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(source.mapInArrow(signed, SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "n_shingles", "bands", "sketch")).alias("one")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("ref", F.xxhash64("doc_id", "text"))
+    rows = stored(source.mapInArrow(signed, SIGNED), "signed")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "ref", "n_shingles", "bands", "sketch")).alias("one")
     nameless = F.shiftrightunsigned(F.xxhash64("key"), 3).bitwiseOR(F.lit(NAMELESS))
-    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(one).select("key", F.coalesce("one.doc_id", nameless).alias("node"), "one.row", "one.n_shingles", "one.bands", "one.sketch")
+    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(one).select("key", F.coalesce("one.doc_id", nameless).alias("node"), "one.ref", "one.n_shingles", "one.bands", "one.sketch")
     classes = stored(classes, "classes")
 
     bands = classes.select(F.explode("bands").alias("bucket"), "node")
-    sizes = bands.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n_members")).filter("n_members > 1")
-    shared = stored(bands.join(sizes.hint("shuffle_hash"), "bucket"), "buckets")
-    wanted = classes.join(shared.select(F.col("node").alias("of")).distinct(), F.col("node") == F.col("of"), "left_semi").select(F.col("row").alias("at"), "node", "n_shingles", "sketch")
-    classes_in = stored(rows.select("row", "text").join(wanted.hint("shuffle_hash"), F.col("row") == F.col("at")).drop("row", "at"), "candidates")
-    edges = stored(verified(shared.filter("node <> pivot").select("pivot", F.col("node").alias("member")), classes_in), "links")
-    roots = components(edges)
-    low = 0
-    for high in DEPTHS:
-        members = stored(mixed_buckets(shared.select("bucket", "node"), roots), "mixed")
-        pairs = stored(cross_pairs(members, classes_in, low, high).distinct(), "crossing")
-        if not pairs.isEmpty():
-            more = stored(verified(pairs, classes_in), "links")
-            if not more.isEmpty():
-                roots = components(roots.union(more))
-        low = high if high == DEPTHS[0] else 0
-
+    sizes = bands.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n_members")).filter("n_members > 1").select("bucket", "pivot")
+    stars = bands.join(sizes.hint("shuffle_hash"), "bucket").filter("node <> pivot").select("pivot", F.col("node").alias("member")).distinct()
+    stars = stored(stars, "stars")
+    ends = stars.select(F.explode(F.array("pivot", "member")).alias("of")).distinct()
+    wanted = stored(classes.join(ends, F.col("node") == F.col("of"), "left_semi").select(F.col("ref").alias("at"), "node", "n_shingles", "bands", "sketch"), "wanted")
+    refs = wanted.select("at", "node")
+    side = F.broadcast(refs) if wanted.count() <= BROADCAST_ROWS else refs.hint("shuffle_hash")
+    texts = source.select("ref", "text").join(side, F.col("ref") == F.col("at")).select(F.col("node").alias("of"), "text").dropDuplicates(["of"])
+    candidates = stored(wanted.join(texts, F.col("node") == F.col("of")).drop("of", "at"), "candidates")
+
+    first = stored(verified(stars, candidates), "links")
+    roots = components(first)
+    more = stored(cross_links(stars.select(F.col("member").alias("u"), F.col("pivot").alias("v")), roots, candidates), "links")
+    if not more.isEmpty():
+        roots = components(roots.union(more))
     found = labelled(classes.select("key", "node"), roots).select(F.col("key").alias("of"), F.when(F.col("root") < NAMELESS, F.col("root")).alias("root"))
     out = rows.select("doc_id", "n_shingles", "key").join(found, F.col("key") == F.col("of"), "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
