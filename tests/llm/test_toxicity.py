@@ -2,7 +2,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tests.llm.helpers import as_sf, docs, odd_rows, prose
 from textloom.llm import toxicity as tx
@@ -80,4 +79,5 @@ def test_without_labels(spark):
     assert tx.fitted(docs(spark), empty) is None
     assert {r.score for r in tx.scored(docs(spark), None).collect()} == {0.0}
     assert tx.scored(docs(spark, []), None).count() == 0
-    assert docs(spark).select(tx.toxicity(None, F.col("text")).alias("s")).agg(F.max("s")).first()[0] == 0.0
+    whole = tx.with_scores(docs(spark), None)
+    assert whole.columns == [*docs(spark).columns, "tl_score"] and whole.count() == docs(spark).count()

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from textloom.llm.common import slices, table
 
@@ -340,7 +341,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spread = F.xxhash64("doc_id")
     toxic = known.filter("mark = 1").orderBy(F.greatest("n", F.lit(800)), spread, "doc_id").limit(SAMPLE)
     clean = known.filter("mark = 0").orderBy(spread, "doc_id").limit(SAMPLE)
-    n, ones = known.agg(F.count("*"), F.count_if("mark = 1")).first()
+    n, ones = known.agg(F.count("*"), F.count_if(F.col("mark") == 1)).first()
     few = toxic.union(clean).select("of", "mark").collect()  # 2 * SAMPLE rows at most
     if not few:
         return None
@@ -350,34 +351,23 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return trained([r["text"] for r in rows], np.array([r["mark"] for r in rows]), ones / max(1, n))
 
 
-def toxicity(network: Network | None, text: Column) -> Column:
-    """The score of a text column under a fitted network."""
+def with_scores(docs: DataFrame, network: Network | None, text_col: str = "text", score_col: str = "tl_score") -> DataFrame:
+    """``docs`` and the score of its text column as a further, last column."""
+    at = docs.columns.index(text_col)
 
-    @F.arrow_udf("double")
-    def run(parts):
+    def run(it):
         scorer = Scorer(network) if network else None
-        for part in parts:
-            out = np.zeros(len(part))
-            if scorer:
-                texts = part.to_pylist()
-                for a in range(0, len(texts), 256):
-                    out[a : a + 256] = scorer.scores(texts[a : a + 256])
-            yield pa.array(out, pa.float64())
+        for batch in slices(it, 256, 1 << 20, text_col):
+            texts = batch.column(at).to_pylist()
+            out = scorer.scores(texts) if scorer else np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, score_col])
 
-    return run(text)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def scored(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score."""
-
-    def run(it):
-        scorer = Scorer(network) if network else None
-        for batch in slices(it, 256, 1 << 20):
-            texts = batch.column(1).to_pylist()
-            out = scorer.scores(texts) if scorer else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return with_scores(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), network).select("doc_id", F.col("tl_score").alias("score"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
