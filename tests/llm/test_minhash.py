@@ -66,13 +66,13 @@ def test_members_that_miss_the_pivot_are_still_linked(spark, monkeypatch):
     monkeypatch.setattr(minhash, "MEMBERS", 4)
     base = prose(300, 3)
     rows = [(k, edited(base, 9 if k else 17, k), "en", "a", 1) for k in range(40)]
-    got = minhash.near_duplicates(docs(spark, rows)).collect()
+    got = minhash.near_duplicates(docs(spark, rows)).drop("ref").collect()
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
 def test_rows_without_id_and_empty_tables(spark):
     rows = [(None, prose(40, 1), "en", "a", 1), (None, prose(40, 1), "en", "a", 1), (7, prose(40, 1), "en", "a", 1), (None, prose(40, 2), "en", "a", 1), (None, "", "en", "a", 1)]
-    got = [tuple(r) for r in minhash.near_duplicates(docs(spark, rows)).collect()]
+    got = [tuple(r) for r in minhash.near_duplicates(docs(spark, rows)).drop("ref").collect()]
     assert sorted(got, key=repr) == sorted([(None, 36, 7, False), (None, 36, 7, False), (7, 36, 7, True), (None, 36, None, True), (None, 0, None, True)], key=repr)
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
@@ -86,3 +86,12 @@ def test_components(spark, edges):
             want[x] = group
     got = {r.u: r.v for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: min(g) for x, g in want.items() if x != min(g)}
+
+
+def test_deduplicated_rows_keep_their_columns(spark):
+    rows = [*odd_rows(), (50, prose(200, 9), "en", "a", 1), (51, prose(200, 9), "en", "b", 1)]
+    frame = docs(spark, rows)
+    left = minhash.deduplicated(frame)
+    assert left.columns == frame.columns
+    want = {r[0] for r in brute([r for r in rows if r[0] is not None]) if r[3]} | {None}
+    assert sorted(map(repr, (r.doc_id for r in left.collect()))) == sorted(map(repr, want))

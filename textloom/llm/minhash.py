@@ -221,7 +221,7 @@ def cross_links(stars: DataFrame, roots: DataFrame, candidates: DataFrame) -> Da
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``, and ref, a hash of its id and text."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("ref", F.xxhash64("doc_id", "text"))
     rows = stored(source.mapInArrow(signed, SIGNED), "signed")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "ref", "n_shingles", "bands", "sketch")).alias("one")
@@ -246,10 +246,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         roots = components(roots.union(more))
     found = labelled(classes.select("key", "node"), roots).select(F.col("key").alias("of"), F.when(F.col("root") < NAMELESS, F.col("root")).alias("root"))
-    out = rows.select("doc_id", "n_shingles", "key").join(found, F.col("key") == F.col("of"), "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    out = rows.select("doc_id", "n_shingles", "key", "ref").join(found, F.col("key") == F.col("of"), "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"), "ref")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "ref")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group, and repeated rows once."""
+    kept = stored(near_duplicates(docs, id_col, text_col).filter("kept").groupBy("ref").agg(F.count("*").alias("times")).select(F.col("ref").alias("tl_kept"), "times"), "kept")
+    n, most = kept.agg(F.count("*"), F.max("times")).first()
+    refs = kept.select("tl_kept")
+    side = F.broadcast(refs) if n <= BROADCAST_ROWS else refs.hint("shuffle_hash")
+    rows = docs.withColumn("tl_ref", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))).join(side, F.col("tl_ref") == F.col("tl_kept"), "left_semi")
+    return (rows.dropDuplicates(["tl_ref"]) if (most or 1) > 1 else rows).drop("tl_ref")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("ref")
