@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bitslice, bpe, chat, matroska, minhash, mixing, pii, toxicity
+from textloom.llm import bitslice, bpe, chat, matroska, minhash, mixing, pii, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": minhash.op3_minhash,
     "op4_matroska": matroska.op4_matroska,
     "op5_pii": pii.op5_pii,
+    "op6_repeats": repeats.op6_repeats,
     "op7_bit_sliced": bitslice.op7_bit_sliced,
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op10_bpe": bpe.op10_bpe,
