@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bitslice, bpe, chat, matroska, minhash, mixing, pii, repeats, toxicity
+from textloom.llm import bitslice, bpe, chat, license, matroska, minhash, mixing, pii, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repeats": repeats.op6_repeats,
     "op7_bit_sliced": bitslice.op7_bit_sliced,
     "op8_pareto_mix": mixing.op8_pareto_mix,
+    "op9_license": license.op9_license,
     "op10_bpe": bpe.op10_bpe,
 }
 
