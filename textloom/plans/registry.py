@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import geometry, linking, measures, shapes, texts
+from textloom.plans import geometry, linking, measures, rules, shapes, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (texts, shapes, measures, geometry, linking):
+for module in (texts, shapes, rules, measures, geometry, linking):
     for name, (query, sql) in module.ALL.items():
         QUERIES[name] = query
         if sql:
