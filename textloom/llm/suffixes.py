@@ -69,7 +69,7 @@ def named(text: np.ndarray, left: np.ndarray, order: np.ndarray) -> tuple[np.nda
 
 def induced(text: np.ndarray, order: np.ndarray, smaller: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The array induced from the leftmost smaller suffixes in ``order``."""
-    if len(sizes) * 16 > len(text):
+    if len(sizes) * 16 > len(text) or len(sizes) > 1 << 16:
         return induced_singly(text, order, smaller, sizes)
     n, ends = len(text), np.cumsum(sizes)
     starts = ends - sizes
@@ -80,10 +80,10 @@ def induced(text: np.ndarray, order: np.ndarray, smaller: np.ndarray, sizes: np.
 
     def put(found: np.ndarray, letter_of: np.ndarray) -> None:
         """Larger suffixes to the heads of their buckets, in order."""
-        by = np.argsort(letter_of, kind="stable")
-        values, first, count = np.unique(letter_of[by], return_index=True, return_counts=True)
-        out[head[letter_of[by]] + np.arange(len(by)) - np.repeat(first, count)] = found[by]
-        head[values] += count
+        by = np.argsort(letter_of.astype(np.uint16), kind="stable")  # a radix sort
+        count = np.bincount(letter_of, minlength=len(head))
+        out[np.repeat(head - (np.cumsum(count) - count), count) + np.arange(len(by))] = found[by]
+        np.add(head, count, out=head)
 
     put(np.array([n - 1]), text[n - 1 :])  # the suffix before the empty one
     for c in np.flatnonzero(sizes):
@@ -101,10 +101,10 @@ def induced(text: np.ndarray, order: np.ndarray, smaller: np.ndarray, sizes: np.
 
     def put_back(found: np.ndarray, letter_of: np.ndarray) -> None:
         """Smaller suffixes to the tails of their buckets; ``found`` is in falling order."""
-        by = np.argsort(letter_of, kind="stable")
-        values, first, count = np.unique(letter_of[by], return_index=True, return_counts=True)
-        out[tail[letter_of[by]] - 1 - (np.arange(len(by)) - np.repeat(first, count))] = found[by]
-        tail[values] -= count
+        by = np.argsort(letter_of.astype(np.uint16), kind="stable")
+        count = np.bincount(letter_of, minlength=len(tail))
+        out[np.repeat(tail - 1 + (np.cumsum(count) - count), count) - np.arange(len(by))] = found[by]
+        np.subtract(tail, count, out=tail)
 
     for c in np.flatnonzero(sizes)[::-1]:
         done = ends[c]
@@ -124,28 +124,34 @@ def induced_singly(text: np.ndarray, order: np.ndarray, smaller: np.ndarray, siz
     """The same, a suffix at a time, for texts of many letters."""
     n = len(text)
     ends = np.cumsum(sizes)
-    letter, small = text.tolist(), smaller.tolist()
-    out = [-1] * n
-    tail = ends.tolist()
-    for k in reversed(order.tolist()):
-        tail[letter[k]] -= 1
-        out[tail[letter[k]]] = k
+    # The letter before each suffix where that makes a larger (or smaller) one, else -1; the last entry serves the
+    # empty places, which hold -1.
+    before = np.full(n + 1, -1, np.int64)
+    before[1:n] = text[:-1]
+    smaller_before = np.zeros(n + 1, bool)
+    smaller_before[1:n] = smaller[:-1]
+    larger, small = np.where(smaller_before, -1, before).tolist(), np.where(smaller_before, before, -1).tolist()
+    first = text[order]
+    out_array = np.full(n, -1, np.int64)
+    n_left = np.bincount(first, minlength=len(sizes))
+    out_array[ends[first] - n_left[first] + np.arange(len(order)) - (np.cumsum(n_left) - n_left)[first]] = order
+    out = out_array.tolist()
     head = (ends - sizes).tolist()
-    out[head[letter[n - 1]]] = n - 1
-    head[letter[n - 1]] += 1
-    for j in range(n):
-        k = out[j]
-        if k > 0 and not small[k - 1]:
-            c = letter[k - 1]
-            out[head[c]] = k - 1
-            head[c] += 1
+    c = int(text[n - 1])
+    out[head[c]] = n - 1
+    head[c] += 1
+    for k in out:  # the list grows ahead of the scan
+        c = larger[k]
+        if c >= 0:
+            at = head[c]
+            out[at] = k - 1
+            head[c] = at + 1
     tail = ends.tolist()
-    for j in range(n - 1, -1, -1):
-        k = out[j]
-        if k > 0 and small[k - 1]:
-            c = letter[k - 1]
-            tail[c] -= 1
-            out[tail[c]] = k - 1
+    for k in reversed(out):
+        c = small[k]
+        if c >= 0:
+            tail[c] = at = tail[c] - 1
+            out[at] = k - 1
     return np.array(out, np.int64)
 
 
@@ -155,32 +161,23 @@ def permuted_common_prefixes(text: np.ndarray, array: np.ndarray, most: int) ->
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[array[1:]] = array[:-1]
+    # How far it is to the next separator or the end: no prefix goes beyond.
+    stops = np.append(np.flatnonzero(text > 255), n)
+    room = stops[np.searchsorted(stops, np.arange(n))] - np.arange(n)
+    # The eight bytes from each place as one number, the first lowest.
+    padded = np.zeros(n + most + 16, np.uint8)
+    padded[:n] = text
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
     out = np.zeros(n, np.int64)
     live = np.flatnonzero(before >= 0)
-    padded = np.concatenate([text, np.full(8, -1, text.dtype)])
-    # Eight letters at once: a word of bytes, and whether a separator is among them.
-    word, odd = np.zeros(n, np.uint64), np.zeros(n, bool)
-    for k in range(8):
-        part = padded[k : n + k]
-        word = (word << np.uint64(8)) | (part & 255).astype(np.uint64)
-        odd |= (part < 0) | (part > 255)
-    at = 0
-    while len(live) and at < most:
-        a, b = live + at, before[live] + at
-        inside = (a < n) & (b < n)
-        a, b = np.minimum(a, n - 1), np.minimum(b, n - 1)
-        equal = inside & (word[a] == word[b]) & ~odd[a] & ~odd[b]
-        rest = np.flatnonzero(~equal)
-        for j in range(8):  # the last word of a prefix, letter by letter
-            p, q = live[rest] + at + j, before[live[rest]] + at + j
-            fine = (p < n) & (q < n)
-            x, y = text[np.minimum(p, n - 1)], text[np.minimum(q, n - 1)]
-            fine &= (x == y) & (x < 256)
-            rest = rest[fine]
-            out[live[rest]] += 1
-            if not len(rest):
-                break
-        live = live[equal]
-        out[live] += 8
-        at += 8
+    own, other, at = live, before[live], 0
+    while len(own) and at < most:
+        differ = words[own + at] ^ words[other + at]
+        ended = np.flatnonzero(differ)
+        low = differ[ended]
+        size = at + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3)
+        out[own[ended]] = np.minimum(size, np.minimum(room[own[ended]], room[other[ended]]))
+        go = differ == 0
+        own, other, at = own[go], other[go], at + 8
+    out[own] = np.minimum(at, np.minimum(room[own], room[other]))
     return np.minimum(out, most)
