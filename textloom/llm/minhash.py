@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import slices, stored, table
+from textloom.llm.common import dropped, slices, stored, table
 from textloom.llm.components import components
 
 SHINGLE, HASHES, BANDS = 5, 128, 32
@@ -37,8 +37,8 @@ PARTS, OF = 100, 75
 AGREE = 72
 #: Members that are compared with one copy of a pivot; minor members of a block and members of a stream in step 4.
 MEMBERS, MINORS, STREAM = 256, 128, 1024
-#: Up to so many candidates are looked up by broadcast, more by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Up to so many rows are looked up by broadcast (some 20 MB), more by shuffle.
+BROADCAST_ROWS = 250_000
 #: Node numbers of classes without a doc_id start here.
 NAMELESS = 1 << 62
 
@@ -245,6 +245,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = stored(cross_links(stars.select(F.col("member").alias("u"), F.col("pivot").alias("v")), roots, candidates), "links")
     if not more.isEmpty():
         roots = components(roots.union(more))
+    for done in (stars, wanted, candidates, first, more):
+        dropped(done)
     found = labelled(classes.select("key", "node"), roots).select(F.col("key").alias("of"), F.when(F.col("root") < NAMELESS, F.col("root")).alias("root"))
     out = rows.select("doc_id", "n_shingles", "key", "ref").join(found, F.col("key") == F.col("of"), "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"), "ref")
