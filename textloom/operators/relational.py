@@ -122,3 +122,15 @@ def reachable(links: DataFrame, seeds: DataFrame, most: int | None = None) -> Da
         seen = grown
         if not n or (most is not None and seen.count() >= most):
             return seen if most is None else top_k(seen, [F.col("depth"), F.col("node")], most)
+
+
+def running(df: DataFrame, by: str, amount: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows before it in order of ``by`` (distinct), in parallel: ranges of
+    the order are summed up alone, and each adds what the ranges before it come to (a row for each range)."""
+    from textloom.sources.tables import settled
+
+    parts = settled(df.repartitionByRange(F.col(by)).withColumn("tl_part", F.spark_partition_id()))
+    sums = parts.groupBy("tl_part").agg(F.sum(amount).alias("tl_sum"))
+    before = sums.select("tl_part", (F.sum("tl_sum").over(Window.orderBy("tl_part")) - F.col("tl_sum")).alias("tl_before"))
+    own = F.sum(amount).over(Window.partitionBy("tl_part").orderBy(by)) - F.col(amount)
+    return parts.withColumn("tl_own", own).join(F.broadcast(before), "tl_part").withColumn(name, F.col("tl_before") + F.col("tl_own")).drop("tl_part", "tl_own", "tl_before")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.relational import running
+
 
 def described(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """A row for each column: n, mean, median, sd (n - 1), min and max, nulls and NaN left out."""
@@ -21,7 +23,8 @@ def described(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
 def shares(df: DataFrame, column: str, digits: int = 1) -> DataFrame:
     """Counts of values and their percentage of all rows."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), digits))
+    total = F.broadcast(df.agg(F.count("*").alias("tl_total")))
+    return counts.crossJoin(total).withColumn("percent", F.round(100 * F.col("n") / F.col("tl_total"), digits)).drop("tl_total")
 
 
 def skew(x: str) -> Column:
@@ -31,8 +34,8 @@ def skew(x: str) -> Column:
 
 
 def average_rank(column: str, by: list[str] | None = None) -> Column:
-    """Ranks in which ties share the mean of their places. An ungrouped rank needs one global order, so it is taken
-    over the distinct values (a count each) where tables are large; see ``spearman``."""
+    """Ranks within groups in which ties share the mean of their places. Over a whole table they come from counts of
+    distinct values instead; see ``spearman``."""
     own = Window.partitionBy(*(by or []))
     return F.rank().over(own.orderBy(column)) + (F.count("*").over(own.partitionBy(*(by or []), column)) - 1) / 2
 
@@ -42,9 +45,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = df.select(a, b).dropna()
 
     def ranks(c: str) -> DataFrame:
-        counts = rows.groupBy(c).agg(F.count("*").alias("n"))
-        below = F.sum("n").over(Window.orderBy(c)) - F.col("n")
-        return counts.select(F.col(c).alias(f"of_{c}"), (below + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+        counts = running(rows.groupBy(c).agg(F.count("*").alias("n")), c, "n", "below")
+        return counts.select(F.col(c).alias(f"of_{c}"), (F.col("below") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
     both = rows.join(ranks(a), F.col(a) == F.col(f"of_{a}")).join(ranks(b), F.col(b) == F.col(f"of_{b}"))
     return both.agg(F.round(F.corr(f"rank_{a}", f"rank_{b}"), 6).alias("spearman"))
@@ -124,7 +126,7 @@ def mann_whitney(df: DataFrame, value: str, group: Column) -> DataFrame:
     """U of the group, and its two-sided p by the normal approximation with ties."""
     rows = df.select(F.col(value).alias("x"), F.coalesce(group, F.lit(False)).alias("g")).dropna()
     counts = rows.groupBy("x").agg(F.count("*").alias("n"), F.count_if("g").alias("n1"))
-    ranked = counts.withColumn("rank", F.sum("n").over(Window.orderBy("x")) - F.col("n") + (F.col("n") + 1) / 2)
+    ranked = running(counts, "x", "n", "below").withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     one = ranked.agg(F.sum(F.col("rank") * F.col("n1")).alias("r1"), F.sum("n1").alias("n1"), F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     n0 = F.col("n") - F.col("n1")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
