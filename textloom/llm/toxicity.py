@@ -15,6 +15,8 @@ without labels of both classes every score is 0; an empty table gives an empty o
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +35,7 @@ THRESHOLD = 0.7
 
 def pieces(text: str | None) -> list[str]:
     words = (text or "").lower().split()
-    if all(len(w) <= PIECE for w in words):
+    if max(map(len, words), default=0) <= PIECE:
         return words
     return [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
 
@@ -61,6 +63,38 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def last_states(table, numbers, u):
+    """States of all steps, without what training needs: rows of a table of projected inputs by number. The gates'
+    halves of table and u are halved already, as a sigmoid is half a hyperbolic tangent of the half."""
+    size = u.shape[0]
+    h = np.zeros((len(numbers[0]), size), np.float32)
+    states = []
+    for rows in numbers:
+        x = table.take(rows, axis=0)
+        a = h @ u
+        gates = x[:, : 2 * size]
+        gates += a[:, : 2 * size]
+        np.tanh(gates, out=gates)
+        gates *= np.float32(0.5)
+        gates += np.float32(0.5)
+        n = a[:, 2 * size :]
+        n *= gates[:, size:]
+        n += x[:, 2 * size :]
+        np.tanh(n, out=n)
+        h = h - n
+        h *= gates[:, :size]
+        h += n
+        states.append(h)
+    return states
+
+
+def halved(x, size):
+    """Projected inputs or recurrent weights for ``last_states``."""
+    out = np.array(x, np.float32)
+    out[:, : 2 * size] *= np.float32(0.5)
+    return out
+
+
 def gru(inputs, u, mask=None):
     """States of all steps and what backpropagation needs. inputs: steps of (rows, 3 H), the projected inputs."""
     size = u.shape[0]
@@ -129,13 +163,13 @@ class Network:
                 kept[d] = (rows, mask, saved)
             else:  # only the words that are as long as the step
                 h = np.zeros((len(words), CHAR_H), np.float32)
-                sorted_rows, lens = rows[order], n[order]
+                sorted_rows, lens = np.ascontiguousarray(rows[order].T), n[order]
+                table_, u = halved(projected, CHAR_H), halved(p[f"cu{d}"], CHAR_H)
                 for t in range(PIECE):
                     m = int(np.searchsorted(-lens, -t, "left"))
                     if not m:
                         break
-                    step, _ = gru_step(projected[sorted_rows[:m, t]], h[:m], p[f"cu{d}"])
-                    h[:m] = step
+                    h[:m] = gru_step(table_.take(sorted_rows[t, :m], axis=0), h[:m], u)
                 back = np.empty_like(h)
                 back[order] = h
                 ends.append(back)
@@ -143,10 +177,15 @@ class Network:
         return (x, (kept, buckets)) if keep else x
 
     def logits(self, projected_f, projected_b, windows, lens, keep: bool = False):
-        """Scores of windows (rows of word numbers; lens: words of each). projected: inputs of word numbers."""
+        """Scores of windows (rows of word numbers; lens: words of each). projected: inputs of word numbers, halved where
+        nothing is kept for training."""
         p = self.p
-        f, kept_f = gru([projected_f[windows[:, t]] for t in range(WINDOW)], p["uf"])
-        b, kept_b = gru([projected_b[windows[:, t]] for t in reversed(range(WINDOW))], p["ub"])
+        if keep:
+            f, kept_f = gru([projected_f[windows[:, t]] for t in range(WINDOW)], p["uf"])
+            b, kept_b = gru([projected_b[windows[:, t]] for t in reversed(range(WINDOW))], p["ub"])
+        else:
+            steps = np.ascontiguousarray(windows.T)
+            f, b = last_states(projected_f, steps, halved(p["uf"], WORD_H)), last_states(projected_b, steps[::-1], halved(p["ub"], WORD_H))
         h = np.stack([np.concatenate([f[t], b[WINDOW - 1 - t]], 1) for t in range(WINDOW)], 1)
         inner = np.tanh(h @ p["att"] + p["att_b"])
         score = np.where(np.arange(WINDOW)[None, :] < lens[:, None], inner @ p["att_v"], -30)
@@ -198,11 +237,12 @@ class Network:
 
 
 def gru_step(x, h, u):
+    """One step of ``last_states``."""
     size = u.shape[0]
     a = h @ u
-    gates = sigmoid(x[:, : 2 * size] + a[:, : 2 * size])
+    gates = np.tanh(x[:, : 2 * size] + a[:, : 2 * size]) * np.float32(0.5) + np.float32(0.5)
     n = np.tanh(x[:, 2 * size :] + gates[:, size:] * a[:, 2 * size :])
-    return n + gates[:, :size] * (h - n), n
+    return n + gates[:, :size] * (h - n)
 
 
 def window_rows(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,15 +259,18 @@ class Scorer:
     def __init__(self, network: Network):
         self.network, self.known, self.rows = network, {}, []
 
+    def halves(self, x):
+        return [halved(y, WORD_H) for y in self.network.projected(x)]
+
     def numbers(self, texts: list[list[str]]):
         if len(self.known) > 150_000 or not self.known:
-            self.known, self.rows = {"": 0}, [[a.copy() for a in self.network.projected(np.zeros((1, 2 * CHAR_H + WORD_IN), np.float32))]]
-        fresh = list(dict.fromkeys(w for words in texts for w in words if w not in self.known))
+            self.known, self.rows = {"": 0}, [self.halves(np.zeros((1, 2 * CHAR_H + WORD_IN), np.float32))]
+        fresh = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in self.known]
         for a in range(0, len(fresh), 20_000):
             some = fresh[a : a + 20_000]
             base = len(self.known)
             self.known.update((w, base + k) for k, w in enumerate(some))
-            self.rows.append(self.network.projected(self.network.word_inputs(some)))
+            self.rows.append(self.halves(self.network.word_inputs(some)))
         if len(self.rows) > 1:
             self.rows = [[np.concatenate(x) for x in zip(*self.rows)]]
         get = self.known.__getitem__
