@@ -36,6 +36,17 @@ def test_many_blocks_and_buckets(spark):
         assert by_id == sorted((repr(r[0]), t.encode(r[1] or "", add_special_tokens=False).ids) for r in rows)
 
 
+def test_equal_files_are_apart(spark, tmp_path):
+    """Tasks with equal texts, each a block of its own, read from a plain table."""
+    for _ in range(3):
+        docs(spark).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    frame = spark.read.option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/t")
+    assert bpe.plain_table(frame)
+    got = bpe.encoded(frame, PATH).collect()
+    t = Tokenizer.from_file(PATH)
+    assert sorted((repr(r.doc_id), r.ids) for r in got) == sorted((repr(r[0]), t.encode(r[1] or "", add_special_tokens=False).ids) for r in odd_rows() * 3)
+
+
 def test_empty_and_refused(spark, tmp_path):
     assert bpe.encoded(docs(spark, []), PATH).count() == 0
     with pytest.raises(ValueError, match="white space"):

@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,10 +95,10 @@ def split_blocks(block_bytes: int, buckets: int, kind: int):
             )
 
     def run(it):
-        # The partition's number keeps equal blocks of different tasks apart.
-        start = lambda k: xxhash.xxh64(f"{TaskContext.get().partitionId()}:{k}".encode())
-        done, name, known, ids, codes, size = 0, start(0), {}, [], [], 0
+        done, name, known, ids, codes, size = 0, None, {}, [], [], 0
         for batch in slices(it):
+            # The number of the table's partition keeps equal blocks of different tasks apart.
+            name = name or xxhash.xxh64(f"{batch.column(2)[0]}:{done}".encode())
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = (text or "").encode()
                 name.update(raw + b"\0")
@@ -112,8 +111,7 @@ def split_blocks(block_bytes: int, buckets: int, kind: int):
                 size += len(raw)
             if size >= block_bytes:
                 yield from flush(name, known, ids, codes)
-                done, known, ids, codes, size = done + 1, {}, [], [], 0
-                name = start(done)
+                done, name, known, ids, codes, size = done + 1, None, {}, [], [], 0
         if ids:
             yield from flush(name, known, ids, codes)
 
@@ -205,6 +203,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if not plain_table(docs):
         source = stored(source, "bpe")
+    source = source.withColumn("part", F.spark_partition_id())
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = source.mapInArrow(split_blocks(block_bytes, buckets, 1), PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
     both = source.mapInArrow(split_blocks(block_bytes, buckets, 0), PACKED).union(words.mapInArrow(encode_words(definition), PACKED))
