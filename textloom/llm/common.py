@@ -7,11 +7,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-#: ASCII white space, as the word contracts of the operators name it.
-SPACE = r"[\x20\x09-\x0D]"
+#: A word, as the operators' contracts name it: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,16 +52,6 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def text_or_empty(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
-
-
-def words_of(text: Column) -> Column:
-    """The words of a text (runs without ASCII white space); none for a null or blank text."""
-    parts = F.split(F.coalesce(text, F.lit("")), SPACE + "+")
-    return F.filter(parts, lambda w: w != "")
-
-
 def slices(batches, max_rows: int = 512, max_bytes: int = 4 << 20, size_of: str = "text"):
     """Arrow batches cut so that ``size_of`` holds about ``max_bytes`` in each; one row at least."""
     for batch in batches:
