@@ -32,10 +32,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import slices, stored, table
+from textloom.llm.common import released, slices, stored, table
 
 #: Text bytes of a block, buckets of words, and documents a row.
-BLOCK_BYTES, BUCKETS, ROW_DOCS = 32 << 20, 512, 32
+BLOCK_BYTES, BUCKETS, ROW_DOCS = 12 << 20, 512, 32
 PACKED = "block long, kind int, bucket int, doc_ids array<long>, lens binary, data binary"
 ENCODED = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
@@ -114,6 +114,8 @@ def split_blocks(block_bytes: int, buckets: int, kind: int):
                 done, name, known, ids, codes, size = done + 1, None, {}, [], [], 0
         if ids:
             yield from flush(name, known, ids, codes)
+        del known, ids, codes
+        released()
 
     return run
 
@@ -184,6 +186,8 @@ def join_back(definition: str):
                     texts.append(" ".join([s for c in listed[a:b] if (s := joined[c])] if gaps else [joined[c] for c in listed[a:b]]))
                     a = b
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(cuts), pa.int64()), list_column(pa.array(ids_flat, pa.int32()), cuts), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        lens = data = table_ = joined = listed = texts = None
+        released()
 
     return run
 

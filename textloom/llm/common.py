@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word, as the operators' contracts name it: a run without ASCII white space.
@@ -64,3 +68,11 @@ def slices(batches, max_rows: int = 512, max_bytes: int = 4 << 20, size_of: str
         while start < n:
             yield batch.slice(start, step)
             start += step
+
+
+def released() -> None:
+    """Gives freed memory of a Python worker back to the system; workers live on and serve later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

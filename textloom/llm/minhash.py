@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import dropped, slices, stored, table
+from textloom.llm.common import dropped, released, slices, stored, table
 from textloom.llm.components import components
 
 SHINGLE, HASHES, BANDS = 5, 128, 32
@@ -54,7 +54,7 @@ class WordHashes(dict):
     """Hashes of words, kept while there are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -121,6 +121,8 @@ def signed(it):
             [ids, refs, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string()), pa.array(listed, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
             ["doc_id", "ref", "n_shingles", "key", "bands", "sketch"],
         )
+    known.clear()
+    released()
 
 
 def agreement(a: bytes, b: bytes) -> int:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from textloom.llm.common import slices, table
+from textloom.llm.common import released, slices, table
 
 WINDOW, STRIDE, PIECE = 16, 12, 16
 #: Labelled texts of each class that are learned from, and the most characters of one.
@@ -263,7 +263,7 @@ class Scorer:
         return [halved(y, WORD_H) for y in self.network.projected(x)]
 
     def numbers(self, texts: list[list[str]]):
-        if len(self.known) > 150_000 or not self.known:
+        if len(self.known) > 80_000 or not self.known:
             self.known, self.rows = {"": 0}, [self.halves(np.zeros((1, 2 * CHAR_H + WORD_IN), np.float32))]
         fresh = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in self.known]
         for a in range(0, len(fresh), 20_000):
@@ -404,6 +404,8 @@ def with_scores(docs: DataFrame, network: Network | None, text_col: str = "text"
             texts = batch.column(at).to_pylist()
             out = scorer.scores(texts) if scorer else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, score_col])
+        scorer = None
+        released()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
