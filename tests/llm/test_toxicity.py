@@ -81,3 +81,22 @@ def test_without_labels(spark):
     assert tx.scored(docs(spark, []), None).count() == 0
     whole = tx.with_scores(docs(spark), None)
     assert whole.columns == [*docs(spark).columns, "tl_score"] and whole.count() == docs(spark).count()
+
+
+def test_a_window_starts_at_every_word(network):
+    texts = [prose(61, 5), prose(16, 6), prose(15, 7), "", None, prose(40, 8)]
+    scorer = tx.Scorer(network)
+    logits, owner = scorer.windows(texts)
+    for j, t in enumerate(texts):
+        words = tx.pieces(t)
+        alone = [scorer.best([" ".join(words[s : s + tx.WINDOW])])[0] for s in range(max(1, len(words) - tx.WINDOW + 1))]
+        assert np.allclose(logits[owner == j], alone, atol=1e-4)
+
+
+def test_scoring_matches_the_forward_pass_of_training(network):
+    words = prose(50, 9).split() + ["vileness", "a"]
+    numbers = np.arange(1, len(words) + 1)
+    x = np.concatenate([np.zeros((1, network.p["wf"].shape[0]), np.float32), network.word_inputs(words, True)[0]])
+    windows, lens = tx.window_rows(numbers, np.arange(len(words) - tx.WINDOW + 1))
+    kept, _ = network.logits(*network.projected(x), windows, lens)
+    assert np.allclose(tx.Scorer(network).windows([" ".join(words)])[0], kept, atol=1e-4)

@@ -2,7 +2,7 @@
 
 A word's input is the last states of a character network read in both directions, beside a hashed word vector. A
 window of WINDOW words is read in both directions, pooled by attention and scored. All overlapping windows of a
-text are scored, the text's score is that of its most toxic window, calibrated by a logistic fit. Words longer than
+text (one from every word that has WINDOW words from it on) are scored, the text's score is that of its most toxic window, calibrated by a logistic fit. Words longer than
 PIECE characters count as several, so nothing of a text is left out.
 
 The network is trained in numpy with a fixed number of steps on a bounded sample of labelled texts (SAMPLE of each
@@ -25,7 +25,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from textloom.llm.common import released, slices, table
 
-WINDOW, STRIDE, PIECE = 16, 12, 16
+WINDOW, PIECE = 16, 16
+#: Windows that are scored at once; the words between the starts of a training bag's windows (scoring takes every start).
+BLOCK, APART = 4096, 12
 #: Labelled texts of each class that are learned from, and the most characters of one.
 SAMPLE, SAMPLE_CHARS = 1600, 20_000
 STEPS, BAGS, BAG_WINDOWS, RATE, DECAY = 440, 24, 8, 0.02, 0.3
@@ -51,47 +53,59 @@ def char_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return forward, np.where(there, np.take_along_axis(forward, at, 1), 0), n
 
 
-def word_bucket(word: str) -> int:
-    core = word.strip(".,;:!?\"'()[]|*%$&#")
-    h = 2166136261
-    for c in core.encode():
-        h = (h ^ c) * 16777619 & 0xFFFFFFFF
-    return h % BUCKETS
+def word_buckets(words: list[str]) -> np.ndarray:
+    """A hash of each word without the marks around it."""
+    cores = [w.strip(".,;:!?\"'()[]|*%$&#").encode() for w in words]
+    n = np.array([len(c) for c in cores], np.int64)
+    ends, codes = np.cumsum(n), np.frombuffer(b"".join(cores), np.uint8).astype(np.uint64)
+    order = np.argsort(-n, kind="stable")
+    firsts, falling = (ends - n)[order], -n[order]
+    h = np.full(len(words), 2166136261, np.uint64)
+    for t in range(int(n.max(initial=0))):  # only the words that are longer than the step
+        m = int(np.searchsorted(falling, -t, "left"))
+        h[:m] = (h[:m] ^ codes[firsts[:m] + t]) * np.uint64(16777619) & np.uint64(0xFFFFFFFF)
+    out = np.empty(len(words), np.int64)
+    out[order] = h % np.uint64(BUCKETS)
+    return out
 
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def last_states(table, numbers, u):
-    """States of all steps, without what training needs: rows of a table of projected inputs by number. The gates'
-    halves of table and u are halved already, as a sigmoid is half a hyperbolic tangent of the half."""
-    size = u.shape[0]
-    h = np.zeros((len(numbers[0]), size), np.float32)
-    states = []
-    for rows in numbers:
-        x = table.take(rows, axis=0)
-        a = h @ u
-        gates = x[:, : 2 * size]
-        gates += a[:, : 2 * size]
-        np.tanh(gates, out=gates)
-        gates *= np.float32(0.5)
-        gates += np.float32(0.5)
-        n = a[:, 2 * size :]
-        n *= gates[:, size:]
-        n += x[:, 2 * size :]
-        np.tanh(n, out=n)
-        h = h - n
-        h *= gates[:, :size]
-        h += n
-        states.append(h)
-    return states
-
-
-def halved(x, size):
-    """Projected inputs or recurrent weights for ``last_states``."""
+def last_states(x, u, out, backward=False):
+    """States of all steps of the windows at every start into ``out`` (steps, H, windows), without what training needs.
+    x: projected inputs of successive words as columns. x and u are ``scaled``."""
+    size, count = u.shape[0], out.shape[2]
+    turned, a = np.ascontiguousarray(u.T), np.empty((3 * size, count), np.float32)
+    one, two = np.float32(1), np.float32(-2)
+    gates, n = a[: 2 * size], a[2 * size :]
+    h = np.zeros((size, count), np.float32)
+    with np.errstate(over="ignore"):  # exp of what is too large is infinite, and its reciprocal 0
+        for t in reversed(range(WINDOW)) if backward else range(WINDOW):
+            np.matmul(turned, h, out=a)
+            gates += x[: 2 * size, t : t + count]
+            np.exp(gates, out=gates)
+            gates += one
+            np.divide(one, gates, out=gates)
+            n *= gates[size:]
+            n += x[2 * size :, t : t + count]
+            np.exp(n, out=n)
+            n += one
+            np.divide(two, n, out=n)
+            n += one
+            new = out[t]
+            np.subtract(h, n, out=new)
+            new *= gates[:size]
+            new += n
+            h = new
+
+
+def scaled(x, size):
+    """Projected inputs or recurrent weights for exp alone: sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 1 - 2 / (1 + exp(2 x))."""
     out = np.array(x, np.float32)
-    out[:, : 2 * size] *= np.float32(0.5)
+    out[:, : 2 * size] *= np.float32(-1)
+    out[:, 2 * size :] *= np.float32(2)
     return out
 
 
@@ -152,7 +166,7 @@ class Network:
         p = self.p
         forward, backward, n = char_rows(words)
         order = np.argsort(-n, kind="stable")
-        buckets = np.array([word_bucket(w) for w in words], np.int64)
+        buckets = word_buckets(words)
         ends, kept = [], {}
         for d, rows in (("f", forward), ("b", backward)):
             projected = p["chars"] @ p[f"cw{d}"] + p[f"cb{d}"]
@@ -164,7 +178,7 @@ class Network:
             else:  # only the words that are as long as the step
                 h = np.zeros((len(words), CHAR_H), np.float32)
                 sorted_rows, lens = np.ascontiguousarray(rows[order].T), n[order]
-                table_, u = halved(projected, CHAR_H), halved(p[f"cu{d}"], CHAR_H)
+                table_, u = scaled(projected, CHAR_H), scaled(p[f"cu{d}"], CHAR_H)
                 for t in range(PIECE):
                     m = int(np.searchsorted(-lens, -t, "left"))
                     if not m:
@@ -176,24 +190,34 @@ class Network:
         x = np.concatenate([*ends, p["words"][buckets]], 1)
         return (x, (kept, buckets)) if keep else x
 
-    def logits(self, projected_f, projected_b, windows, lens, keep: bool = False):
-        """Scores of windows (rows of word numbers; lens: words of each). projected: inputs of word numbers, halved where
-        nothing is kept for training."""
+    def logits(self, projected_f, projected_b, windows, lens):
+        """Scores of windows (rows of word numbers; lens: words of each) and what training keeps. projected: inputs of
+        word numbers."""
         p = self.p
-        if keep:
-            f, kept_f = gru([projected_f[windows[:, t]] for t in range(WINDOW)], p["uf"])
-            b, kept_b = gru([projected_b[windows[:, t]] for t in reversed(range(WINDOW))], p["ub"])
-        else:
-            steps = np.ascontiguousarray(windows.T)
-            f, b = last_states(projected_f, steps, halved(p["uf"], WORD_H)), last_states(projected_b, steps[::-1], halved(p["ub"], WORD_H))
+        f, kept_f = gru([projected_f[windows[:, t]] for t in range(WINDOW)], p["uf"])
+        b, kept_b = gru([projected_b[windows[:, t]] for t in reversed(range(WINDOW))], p["ub"])
         h = np.stack([np.concatenate([f[t], b[WINDOW - 1 - t]], 1) for t in range(WINDOW)], 1)
         inner = np.tanh(h @ p["att"] + p["att_b"])
         score = np.where(np.arange(WINDOW)[None, :] < lens[:, None], inner @ p["att_v"], -30)
         e = np.exp(score - score.max(1, keepdims=True))
         a = e / e.sum(1, keepdims=True)
         pooled = (a[:, :, None] * h).sum(1)
-        out = pooled @ p["out"] + p["out_b"][0]
-        return (out, (kept_f, kept_b, h, inner, a, pooled)) if keep else out
+        return pooled @ p["out"] + p["out_b"][0], (kept_f, kept_b, h, inner, a, pooled)
+
+    def all_logits(self, scaled_f, scaled_b, numbers, lens):
+        """Scores of the windows at every start in a run of word numbers (lens: words of each). scaled: ``scaled`` projected
+        inputs of word numbers."""
+        p, count = self.p, len(numbers) - WINDOW + 1
+        h = np.empty((WINDOW, 2 * WORD_H, count), np.float32)
+        last_states(np.ascontiguousarray(scaled_f.take(numbers, axis=0).T), scaled(p["uf"], WORD_H), h[:, :WORD_H])
+        last_states(np.ascontiguousarray(scaled_b.take(numbers, axis=0).T), scaled(p["ub"], WORD_H), h[:, WORD_H:], True)
+        inner = np.matmul(p["att"].T, h)
+        inner += p["att_b"][:, None]
+        score = np.matmul(p["att_v"], np.tanh(inner, out=inner))
+        if lens.min() < WINDOW:
+            score = np.where(np.arange(WINDOW)[:, None] < lens[None, :], score, np.float32(-30))
+        e = np.exp(score - score.max(0))
+        return (e * np.matmul(p["out"], h)).sum(0) / e.sum(0) + p["out_b"][0]
 
     def projected(self, x):
         return [x @ self.p[f"w{d}"] + self.p[f"b{d}"] for d in "fb"]
@@ -202,7 +226,7 @@ class Network:
         """Loss gradients of all parameters. d_logit_of: the windows' logits to (loss, their gradients)."""
         p, g = self.p, {}
         x, (kept_chars, buckets) = self.word_inputs(words, True)
-        out, (kept_f, kept_b, h, inner, a, pooled) = self.logits(*self.projected(x), windows, lens, True)
+        out, (kept_f, kept_b, h, inner, a, pooled) = self.logits(*self.projected(x), windows, lens)
         loss, d = d_logit_of(out)
         g["out"], g["out_b"] = pooled.T @ d, np.array([d.sum()], np.float32)
         d_pooled = d[:, None] * p["out"]
@@ -240,49 +264,60 @@ def gru_step(x, h, u):
     """One step of ``last_states``."""
     size = u.shape[0]
     a = h @ u
-    gates = np.tanh(x[:, : 2 * size] + a[:, : 2 * size]) * np.float32(0.5) + np.float32(0.5)
-    n = np.tanh(x[:, 2 * size :] + gates[:, size:] * a[:, 2 * size :])
+    with np.errstate(over="ignore"):
+        gates = 1 / (1 + np.exp(x[:, : 2 * size] + a[:, : 2 * size]))
+        n = 1 - 2 / (1 + np.exp(x[:, 2 * size :] + gates[:, size:] * a[:, 2 * size :]))
     return n + gates[:, :size] * (h - n)
 
 
-def window_rows(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All overlapping windows of a text's word numbers (0 is padding), and how many words each has."""
+def window_rows(numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of a text's word numbers (0 is padding) from ``starts`` on, and how many words each has."""
     n = len(numbers)
-    starts = np.arange(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
     at = starts[:, None] + np.arange(WINDOW)[None, :]
     return np.concatenate([numbers, np.zeros(WINDOW, numbers.dtype)])[np.minimum(at, n)], np.minimum(n - starts, WINDOW)
 
 
+def last_start(numbers: np.ndarray) -> int:
+    return max(0, len(numbers) - WINDOW)
+
+
 class Scorer:
     """Scores texts; keeps the projected inputs of words while they are few."""
 
     def __init__(self, network: Network):
         self.network, self.known, self.rows = network, {}, []
 
-    def halves(self, x):
-        return [halved(y, WORD_H) for y in self.network.projected(x)]
+    def inputs(self, x):
+        return [scaled(y, WORD_H) for y in self.network.projected(x)]
 
     def numbers(self, texts: list[list[str]]):
         if len(self.known) > 80_000 or not self.known:
-            self.known, self.rows = {"": 0}, [self.halves(np.zeros((1, 2 * CHAR_H + WORD_IN), np.float32))]
+            self.known, self.rows = {"": 0}, [self.inputs(np.zeros((1, 2 * CHAR_H + WORD_IN), np.float32))]
         fresh = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in self.known]
         for a in range(0, len(fresh), 20_000):
             some = fresh[a : a + 20_000]
             base = len(self.known)
             self.known.update((w, base + k) for k, w in enumerate(some))
-            self.rows.append(self.halves(self.network.word_inputs(some)))
+            self.rows.append(self.inputs(self.network.word_inputs(some)))
         if len(self.rows) > 1:
             self.rows = [[np.concatenate(x) for x in zip(*self.rows)]]
         get = self.known.__getitem__
         return [np.array(list(map(get, words)), np.int64) for words in texts]
 
     def windows(self, texts: list[str | None]):
-        """The logit of every window, and the text each belongs to."""
-        made = [window_rows(x) for x in self.numbers([pieces(t) for t in texts])]
-        owner = np.repeat(np.arange(len(made)), [len(w) for w, _ in made])
-        rows, lens = np.concatenate([w for w, _ in made]), np.concatenate([n for _, n in made])
-        out = [self.network.logits(*self.rows[0], rows[a : a + 2048], lens[a : a + 2048]) for a in range(0, len(rows), 2048)]
-        return np.concatenate(out), owner
+        """The logit of the window at every start, and the text each belongs to."""
+        known = self.numbers([pieces(t) for t in texts])
+        sizes = np.array([max(WINDOW, len(x)) for x in known])
+        run = np.zeros(sizes.sum(), np.int64)
+        ends = np.cumsum(sizes)
+        for x, end, size in zip(known, ends, sizes):
+            run[end - size : end - size + len(x)] = x
+        owner = np.repeat(np.arange(len(known)), sizes)
+        lens = np.minimum(np.array([len(x) for x in known]), WINDOW)[owner]
+        count = len(run) - WINDOW + 1
+        out = [self.network.all_logits(*self.rows[0], run[a : min(a + BLOCK, count) + WINDOW - 1], lens[a : min(a + BLOCK, count)]) for a in range(0, count, BLOCK)]
+        inside = np.arange(count) <= (ends - WINDOW)[owner[:count]]  # no window runs into the next text
+        return np.concatenate(out)[inside], owner[:count][inside]
 
     def best(self, texts: list[str | None]) -> np.ndarray:
         logits, owner = self.windows(texts)
@@ -315,7 +350,7 @@ def trained(texts: list[str | None], labels: np.ndarray, share: float = 0.5, see
     r, network = np.random.default_rng(seed), Network(seed)
     words, parts = {"": 0}, []
     for t in texts:
-        parts.append(window_rows(np.array([words.setdefault(w, len(words)) for w in pieces(t)], np.int64)))
+        parts.append(np.array([words.setdefault(w, len(words)) for w in pieces(t)], np.int32))
     names = list(words)
     # Every fifth text of a class is kept back for the calibration.
     sides = [np.flatnonzero(labels == k) for k in (0, 1)]
@@ -325,19 +360,25 @@ def trained(texts: list[str | None], labels: np.ndarray, share: float = 0.5, see
     m, v = ({k: np.zeros_like(x) for k, x in network.p.items()} for _ in range(2))
     for step in range(STEPS):
         if step in (STEPS // 4, STEPS // 2, 3 * STEPS // 4):  # the windows that look worst are seen more often
-            scorer, long = Scorer(network), [k for k in np.concatenate(sides) if len(parts[k][0]) > BAG_WINDOWS]
+            scorer, long = Scorer(network), [k for k in np.concatenate(sides) if last_start(parts[k]) > (BAG_WINDOWS - 1) * APART]
             for a in range(0, len(long), 200):
                 group = long[a : a + 200]
                 logits, owner = scorer.windows([texts[k] for k in group])
                 for j, k in enumerate(group):
-                    hard[k] = np.argsort(-logits[owner == j])[: BAG_WINDOWS // 2]
+                    own = logits[owner == j]
+                    top = [a + int(own[a : a + APART].argmax()) for a in range(0, len(own), APART)]
+                    hard[k] = np.array(sorted(top, key=lambda s: -own[s])[: BAG_WINDOWS // 2])
         chosen = np.concatenate([r.choice(s, BAGS) for s in sides])
         rows, lens, bags = [], [], []
         for j, k in enumerate(chosen):
-            w, n = parts[k]
-            pick = np.arange(len(w)) if len(w) <= BAG_WINDOWS else np.unique(np.concatenate([hard.get(k, [])[: BAG_WINDOWS // 2], r.choice(len(w), BAG_WINDOWS - len(hard.get(k, [])), False)]).astype(np.int64))
-            rows.append(w[pick])
-            lens.append(n[pick])
+            last = last_start(parts[k])
+            # Windows that hold every word of the text; their places differ each time, so all starts are learned from.
+            pick = np.unique(np.clip(np.arange(r.integers(APART) - APART, last + APART, APART), 0, last))
+            if last > (BAG_WINDOWS - 1) * APART:
+                pick = np.unique(np.concatenate([hard.get(k, []), r.choice(pick, BAG_WINDOWS - len(hard.get(k, [])), False)]).astype(np.int64))
+            w, n = window_rows(parts[k], pick)
+            rows.append(w)
+            lens.append(n)
             bags.append(np.full(len(pick), j))
         used, local = np.unique(np.concatenate(rows), return_inverse=True)
         _, g = network.gradients([names[k] for k in used], local.reshape(-1, WINDOW), np.concatenate(lens), noisy_or(np.concatenate(bags), labels[chosen]))
