@@ -50,3 +50,24 @@ def test_no_python_on_the_executors(spark, tmp_path):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExternalRDD"))
     assert lic.scan(docs(spark, [])).count() == 0
+
+
+WRAPPED = {
+    "MIT": "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files, to deal\n# in the Software without restriction",
+    "GPL-3.0": " * This program is free software: you can redistribute it and or modify\r\n * it under the terms of the GNU General Public License as published by\r\n * the Free Software Foundation",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met",
+}
+
+
+@pytest.mark.parametrize("family", WRAPPED)
+def test_hard_wrapped_texts_are_confirmed(spark, family):
+    rows = [(1, f"{prose(5, 1)}\n \n\n{WRAPPED[family]}\n\n{prose(5, 2)}", "en", "a", 1), (2, WRAPPED[family].replace("\n", " "), "en", "a", 1)]
+    got = {(r.doc_id, r.paragraph, r.family) for r in lic.scan(docs(spark, [*rows, rows[0]])).filter("confirmed").collect()}
+    assert got == {(1, 3, family), (2, 0, family)}
+    assert lic.scan(docs(spark, [rows[0], rows[0]])).filter("confirmed").count() == 2
+
+
+def test_names_without_cues_are_listed(spark):
+    lines = ["Text available under CC BY-SA 4.0", "CC0 1.0 Universal", "Distributed under the terms of the MIT/X11 terms", "GNU", "er ging mit dem Hund"]
+    got = {r.paragraph: r for r in lic.scan(docs(spark, [(1, "\n\n".join(lines), "en", "a", 1)])).collect()}
+    assert set(got) == {0, 2, 4, 6} and got[0].family == "CC-BY-SA-4.0" and got[0].confirmed and got[4].family == "MIT"

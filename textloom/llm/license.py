@@ -1,13 +1,14 @@
 """Licence scans by a trained paragraph classifier, on DataFrame functions alone.
 
-A paragraph (a line) with a cue is described by its word n-grams (one to three words). A sparse logistic
+A line, or a run of lines up to a blank one joined (hard-wrapped text), with a cue or a name is described by its word n-grams (one to three words). A sparse logistic
 regression over them gives each licence family a probability, with ``unknown`` as a class of its own; the probabilities are calibrated by a temperature, and what is not likely enough is unknown. A comparison with the
 family's templates (the share of a template's word pairs that the paragraph has) confirms the rest.
 
 The model is fitted on the driver, from the templates below and variations of them, and not from the corpus; it is
 a table of fixed size, joined by broadcast. Equal paragraphs are classified once.
 
-A paragraph without cues names no licence and isn't listed. Defined results: null and empty texts have no
+Every line with a cue or a name is listed. A run is listed at its first line where it is confirmed as a family that none
+of its lines is confirmed as. What has neither isn't listed. Defined results: null and empty texts have no
 paragraphs; repeated rows give repeated rows; a row without doc_id is listed without it; an empty table gives an
 empty one; other columns are not read.
 """
@@ -21,11 +22,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table
+from textloom.llm.common import stored, table
 
 #: Parts of words that make a paragraph worth classifying.
 CUES = ("licen", "copyright", "rights", "warrant", "redistribut", "permission", "gpl", "apache", "bsd", "mozilla", "spdx", "commons", "domain")
 
+#: Names of licences that have no cue in them. The German word is no licence, so MIT is in capitals only.
+NAMES = r"\bMIT\b|(?i)\b(gnu|cc0|cc[\s-]+by|by[\s-]+(sa|nc)|mpl|affero|lesser\s+general|sharealike|noncommercial|[23][\s-]+clause|unencumbered|attribution\s+4\.0|person\s+obtaining|deal\s+in\s+the\s+software)\b"
+
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": ("Released under the MIT License.", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "This project is released under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org licenses LICENSE-2.0"),
@@ -107,7 +111,23 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def has_cue(text: Column) -> Column:
-    return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in CUES])
+    return functools.reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(c)) for c in CUES]) | F.rlike(text, F.lit(NAMES))
+
+
+def plain_of(text: Column) -> Column:
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9.]+", " ")), r"\.(?= |$)", "")
+
+
+def runs_of(lines: Column) -> Column:
+    """First line and lines of every run of two or more lines that aren't blank."""
+    at = F.sequence(F.lit(0), F.size(lines) - 1)
+    full = lambda k: F.coalesce(F.rlike(F.get(lines, k), F.lit(r"\S")), F.lit(False))
+    ends = F.arrays_zip(F.filter(at, lambda k: full(k) & ~full(k - 1)).alias("first"), F.filter(at, lambda k: full(k) & ~full(k + 1)).alias("last"))
+    return F.transform(F.filter(ends, lambda e: e["last"] > e["first"]), lambda e: F.struct(e["first"].alias("paragraph"), F.slice(lines, e["first"] + 1, e["last"] - e["first"] + 1).alias("lines")))
+
+
+def keyed(plain: Column, names: str = "ab") -> dict[str, Column]:
+    return {n: F.xxhash64(F.lit(k), plain) for n, k in zip(names, "ab")}
 
 
 def n_grams(words: Column, n: int) -> Column:
@@ -116,15 +136,18 @@ def n_grams(words: Column, n: int) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, paragraph (its line, from 0), family, probability, similarity and confirmed of paragraphs with cues."""
+    """doc_id, paragraph (its first line, from 0), family, probability, similarity and confirmed of lines and runs."""
     spark = docs.sparkSession
     weights, intercepts, temperature = fitted()
     model = F.broadcast(spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, weight array<double>"))
     templates = F.broadcast(spark.createDataFrame([(f, sorted(pairs_of(words_of(t)))) for f, ts in TEMPLATES.items() for t in ts], "named string, pairs array<string>"))
 
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(has_cue(F.lower("text"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(has_cue(F.lower("line")))
-    plain = F.regexp_replace(F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9.]+", " ")), r"\.(?= |$)", "")
-    hits = lines.select("doc_id", "paragraph", plain.alias("plain")).withColumns({"a": F.xxhash64(F.lit("a"), "plain"), "b": F.xxhash64(F.lit("b"), "plain")})
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(has_cue(F.col("text"))).select("doc_id", F.split("text", "\n").alias("lines"))
+    single = F.transform("lines", lambda x, k: F.struct(k.alias("paragraph"), F.array(x).alias("lines")))
+    parts = texts.select("doc_id", F.explode(F.concat(single, runs_of(F.col("lines")))).alias("part")).select("doc_id", "part.*").filter(has_cue(F.array_join("lines", " ")))
+    read = parts.select("doc_id", "paragraph", F.transform("lines", plain_of).alias("lines"))
+    hits = read.withColumn("plain", F.array_join(F.filter("lines", lambda x: x != ""), " ")).withColumns(keyed(F.col("plain")) | keyed(F.array_join("lines", "\n"), "cd"))
+    hits = stored(hits, "licences")  # read four times below, so that the texts are read once
     different = hits.groupBy("a", "b").agg(F.first("plain").alias("plain")).select("a", "b", F.filter(F.split("plain", " "), lambda w: w != "").alias("words"))
 
     grams = F.array_distinct(F.concat(*[n_grams(F.col("words"), n) for n in range(1, GRAMS + 1)]))
@@ -141,7 +164,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     share = F.size(F.array_intersect("pairs", "own")) / F.size("pairs")
     found = compared.groupBy("a", "b", "family", "probability").agg(F.round(F.max(share), 6).alias("similarity"))
     found = found.withColumn("confirmed", F.coalesce(F.col("similarity") >= CONFIRMED, F.lit(False)))
-    return hits.select("doc_id", "paragraph", "a", "b").join(found, ["a", "b"]).select("doc_id", "paragraph", "family", "probability", "similarity", "confirmed")
+
+    # Runs that say no more than one of their lines; a line (a run of one) is listed in any case.
+    runs = hits.filter(F.size("lines") > 1).groupBy("c", "d").agg(F.first("lines").alias("lines"), F.first("a").alias("a"), F.first("b").alias("b"))
+    new = runs.join(found.filter("confirmed").select("a", "b", F.col("family").alias("whole")), ["a", "b"])
+    each = new.select("c", "d", "whole", F.explode("lines").alias("plain")).select("c", "d", "whole", *[x.alias(n) for n, x in keyed(F.col("plain")).items()])
+    told = each.join(found.filter("confirmed"), ["a", "b"]).filter("family = whole").select("c", "d").distinct()
+    listed = new.select("c", "d").join(told, ["c", "d"], "left_anti").withColumn("more", F.lit(True))
+    kept = hits.select("doc_id", "paragraph", "a", "b", "c", "d", (F.size("lines") > 1).alias("run")).join(listed, ["c", "d"], "left").filter("NOT run OR more")
+    return kept.join(found, ["a", "b"]).select("doc_id", "paragraph", "family", "probability", "similarity", "confirmed")
 
 
 def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
