@@ -56,7 +56,8 @@ def test_scores_do_not_depend_on_the_batch(network):
     texts = [r[1] for r in odd_rows()]
     together, alone = tx.Scorer(network).scores(texts), [tx.Scorer(network).scores([t])[0] for t in texts]
     assert np.allclose(together, alone, atol=1e-5) and ((together >= 0) & (together <= 1)).all()
-    assert tx.pieces("x" * 40) == ["x" * 16, "x" * 16, "x" * 8]
+    names, codes, counts = tx.pieces(["B  " + "x" * 40 + "\n", None, "b"])
+    assert [names[k] for k in codes] == ["b", "x" * 16, "x" * 16, "x" * 8, "b"] and counts.tolist() == [4, 0, 1]
 
 
 def test_query_learns_only_from_rows_that_are_not_held_out(spark, tmp_path, monkeypatch):
@@ -88,7 +89,7 @@ def test_a_window_starts_at_every_word(network):
     scorer = tx.Scorer(network)
     logits, owner = scorer.windows(texts)
     for j, t in enumerate(texts):
-        words = tx.pieces(t)
+        words = (t or "").split()
         alone = [scorer.best([" ".join(words[s : s + tx.WINDOW])])[0] for s in range(max(1, len(words) - tx.WINDOW + 1))]
         assert np.allclose(logits[owner == j], alone, atol=1e-4)
 
@@ -100,3 +101,12 @@ def test_scoring_matches_the_forward_pass_of_training(network):
     windows, lens = tx.window_rows(numbers, np.arange(len(words) - tx.WINDOW + 1))
     kept, _ = network.logits(*network.projected(x), windows, lens)
     assert np.allclose(tx.Scorer(network).windows([" ".join(words)])[0], kept, atol=1e-4)
+
+
+def test_clashing_names_and_ids_of_text(spark, network):
+    rows = [(f"a{k}", t, 0.5, "s") for k, t in enumerate(labelled(40)[0])] + [("a1", "another text", 0.5, "s")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, score double, tl_score string")
+    kept = tx.without_toxic(frame, network)
+    assert kept.columns == frame.columns and 0 < kept.count() < len(rows)
+    marks = spark.createDataFrame([(f"a{k}", int(m)) for k, m in enumerate(labelled(40)[1])], "doc_id string, toxic int")
+    assert tx.fitted(frame, marks) is not None

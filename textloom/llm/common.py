@@ -11,7 +11,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word, as the operators' contracts name it: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, marked until no column has it; names are compared without case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back.
 

@@ -2,8 +2,9 @@
 
 A word's input is the last states of a character network read in both directions, beside a hashed word vector. A
 window of WINDOW words is read in both directions, pooled by attention and scored. All overlapping windows of a
-text (one from every word that has WINDOW words from it on) are scored, the text's score is that of its most toxic window, calibrated by a logistic fit. Words longer than
-PIECE characters count as several, so nothing of a text is left out.
+text (one from every word that has WINDOW words from it on) are scored, the text's score is that of its most toxic
+window, calibrated by a logistic fit. Words longer than PIECE characters count as several, so nothing of a text is
+left out. Gates and states are piecewise linear (clipped), which costs less than half of the exponential forms.
 
 The network is trained in numpy with a fixed number of steps on a bounded sample of labelled texts (SAMPLE of each
 class, up to SAMPLE_CHARS characters each). Labels are of whole texts, so a text's windows share its label by a
@@ -15,19 +16,20 @@ without labels of both classes every score is 0; an empty table gives an empty o
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from textloom.llm.common import released, slices, table
+from textloom.llm.common import quoted, released, slices, table, unused
 
 WINDOW, PIECE = 16, 16
 #: Windows that are scored at once; the words between the starts of a training bag's windows (scoring takes every start).
-BLOCK, APART = 4096, 12
+BLOCK, APART = 2048, 12
+#: Words whose inputs a task remembers.
+KNOWN = 250_000
 #: Labelled texts of each class that are learned from, and the most characters of one.
 SAMPLE, SAMPLE_CHARS = 1600, 20_000
 STEPS, BAGS, BAG_WINDOWS, RATE, DECAY = 440, 24, 8, 0.02, 0.3
@@ -35,11 +37,34 @@ CHARS, BUCKETS, CHAR_IN, CHAR_H, WORD_IN, WORD_H, ATTEND = 128, 4096, 8, 8, 8, 8
 THRESHOLD = 0.7
 
 
-def pieces(text: str | None) -> list[str]:
-    words = (text or "").lower().split()
-    if max(map(len, words), default=0) <= PIECE:
-        return words
-    return [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
+def pieces(texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pieces of all texts (a list or an Arrow array), each piece's number in order of the texts, and how many
+    each text has. A piece is a word in lower case, or PIECE characters of a longer one."""
+    texts = pc.fill_null(pc.cast(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), pa.large_string()), "")
+    split = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    flat, counts = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    there = pc.not_equal(flat, "")  # at the ends of a text
+    words = flat.dictionary_encode()
+    owner = np.repeat(np.arange(len(counts)), counts)[there.to_numpy(zero_copy_only=False)]
+    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)[there.to_numpy(zero_copy_only=False)]
+    names = words.dictionary.to_pylist()
+    long = np.flatnonzero(pc.greater(pc.utf8_length(words.dictionary), PIECE).to_numpy(zero_copy_only=False)).tolist()
+    if long:
+        known, parts = {w: k for k, w in enumerate(names)}, {}
+        for k in long:
+            w = names[k]
+            parts[k] = [known.setdefault(x, len(known)) for x in (w[j : j + PIECE] for j in range(0, len(w), PIECE))]
+        size = np.ones(len(names), np.int64)
+        size[long] = [len(parts[k]) for k in long]
+        names, n = list(known), size[codes]
+        starts = np.cumsum(n) - n
+        out = np.repeat(codes, n)
+        of_long = np.zeros(len(size), bool)
+        of_long[long] = True
+        for at in np.flatnonzero(of_long[codes]).tolist():
+            out[starts[at] : starts[at] + n[at]] = parts[int(codes[at])]
+        codes, owner = out, np.repeat(owner, n)
+    return names, codes, np.bincount(owner, minlength=len(counts))
 
 
 def char_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,39 +98,48 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+clipped = np._core.umath.clip  # without the checks of np.clip, which cost more than small arrays do
+ZERO, ONE, MINUS_ONE, HALF, SLOPE = (np.float32(x) for x in (0, 1, -1, 0.5, 0.25))
+
+
+def gate(x):
+    """The piecewise linear gate: x / 4 + 1 / 2 between 0 and 1. States and attention are clipped to -1 and 1."""
+    return np.clip(SLOPE * x + HALF, ZERO, ONE)
+
+
 def last_states(x, u, out, backward=False):
     """States of all steps of the windows at every start into ``out`` (steps, H, windows), without what training needs.
     x: projected inputs of successive words as columns. x and u are ``scaled``."""
     size, count = u.shape[0], out.shape[2]
     turned, a = np.ascontiguousarray(u.T), np.empty((3 * size, count), np.float32)
-    one, two = np.float32(1), np.float32(-2)
     gates, n = a[: 2 * size], a[2 * size :]
-    h = np.zeros((size, count), np.float32)
-    with np.errstate(over="ignore"):  # exp of what is too large is infinite, and its reciprocal 0
-        for t in reversed(range(WINDOW)) if backward else range(WINDOW):
+    h = None
+    for t in reversed(range(WINDOW)) if backward else range(WINDOW):
+        now, new = x[:, t : t + count], out[t]
+        if h is None:  # the state before the first step is 0
+            clipped(now[:size], ZERO, ONE, gates[:size])
+            clipped(now[2 * size :], MINUS_ONE, ONE, n)
+            np.multiply(gates[:size], n, out=new)
+            np.subtract(n, new, out=new)
+        else:
             np.matmul(turned, h, out=a)
-            gates += x[: 2 * size, t : t + count]
-            np.exp(gates, out=gates)
-            gates += one
-            np.divide(one, gates, out=gates)
+            gates += now[: 2 * size]
+            clipped(gates, ZERO, ONE, gates)
             n *= gates[size:]
-            n += x[2 * size :, t : t + count]
-            np.exp(n, out=n)
-            n += one
-            np.divide(two, n, out=n)
-            n += one
-            new = out[t]
+            n += now[2 * size :]
+            clipped(n, MINUS_ONE, ONE, n)
             np.subtract(h, n, out=new)
             new *= gates[:size]
             new += n
-            h = new
+        h = new
 
 
-def scaled(x, size):
-    """Projected inputs or recurrent weights for exp alone: sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 1 - 2 / (1 + exp(2 x))."""
+def scaled(x, size, shift=True):
+    """Projected inputs, or recurrent weights (without ``shift``), such that ``gate`` is but a clip of their sum."""
     out = np.array(x, np.float32)
-    out[:, : 2 * size] *= np.float32(-1)
-    out[:, 2 * size :] *= np.float32(2)
+    out[:, : 2 * size] *= SLOPE
+    if shift:
+        out[:, : 2 * size] += HALF
     return out
 
 
@@ -116,9 +150,9 @@ def gru(inputs, u, mask=None):
     states, kept = [], []
     for t, x in enumerate(inputs):
         a = h @ u
-        gates = sigmoid(x[:, : 2 * size] + a[:, : 2 * size])
+        gates = gate(x[:, : 2 * size] + a[:, : 2 * size])
         z, r = gates[:, :size], gates[:, size:]
-        n = np.tanh(x[:, 2 * size :] + r * a[:, 2 * size :])
+        n = np.clip(x[:, 2 * size :] + r * a[:, 2 * size :], MINUS_ONE, ONE)
         new = n + z * (h - n)
         if mask is not None:
             new = np.where(mask[t], new, h)
@@ -138,9 +172,9 @@ def gru_back(grads, kept, u, mask=None):
         held = 0
         if mask is not None:
             held, d = np.where(mask[t], 0, d), np.where(mask[t], d, 0)
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (h - n) * z * (1 - z)
-        dr = dn * an * r * (1 - r)
+        dn = d * (1 - z) * (np.abs(n) < 1)
+        dz = d * (h - n) * SLOPE * ((z > 0) & (z < 1))
+        dr = dn * an * SLOPE * ((r > 0) & (r < 1))
         out[t] = np.concatenate([dz, dr, dn], 1)
         da = np.concatenate([dz, dr, dn * r], 1)
         du += h.T @ da
@@ -175,17 +209,9 @@ class Network:
                 states, saved = gru([projected[rows[:, t]] for t in range(PIECE)], p[f"cu{d}"], mask)
                 ends.append(states[-1])
                 kept[d] = (rows, mask, saved)
-            else:  # only the words that are as long as the step
-                h = np.zeros((len(words), CHAR_H), np.float32)
-                sorted_rows, lens = np.ascontiguousarray(rows[order].T), n[order]
-                table_, u = scaled(projected, CHAR_H), scaled(p[f"cu{d}"], CHAR_H)
-                for t in range(PIECE):
-                    m = int(np.searchsorted(-lens, -t, "left"))
-                    if not m:
-                        break
-                    h[:m] = gru_step(table_.take(sorted_rows[t, :m], axis=0), h[:m], u)
-                back = np.empty_like(h)
-                back[order] = h
+            else:
+                back = np.empty((len(words), CHAR_H), np.float32)
+                back[order] = char_states(np.ascontiguousarray(scaled(projected, CHAR_H).T), scaled(p[f"cu{d}"], CHAR_H, False), rows[order], n[order])
                 ends.append(back)
         x = np.concatenate([*ends, p["words"][buckets]], 1)
         return (x, (kept, buckets)) if keep else x
@@ -197,7 +223,7 @@ class Network:
         f, kept_f = gru([projected_f[windows[:, t]] for t in range(WINDOW)], p["uf"])
         b, kept_b = gru([projected_b[windows[:, t]] for t in reversed(range(WINDOW))], p["ub"])
         h = np.stack([np.concatenate([f[t], b[WINDOW - 1 - t]], 1) for t in range(WINDOW)], 1)
-        inner = np.tanh(h @ p["att"] + p["att_b"])
+        inner = np.clip(h @ p["att"] + p["att_b"], MINUS_ONE, ONE)
         score = np.where(np.arange(WINDOW)[None, :] < lens[:, None], inner @ p["att_v"], -30)
         e = np.exp(score - score.max(1, keepdims=True))
         a = e / e.sum(1, keepdims=True)
@@ -209,15 +235,22 @@ class Network:
         inputs of word numbers."""
         p, count = self.p, len(numbers) - WINDOW + 1
         h = np.empty((WINDOW, 2 * WORD_H, count), np.float32)
-        last_states(np.ascontiguousarray(scaled_f.take(numbers, axis=0).T), scaled(p["uf"], WORD_H), h[:, :WORD_H])
-        last_states(np.ascontiguousarray(scaled_b.take(numbers, axis=0).T), scaled(p["ub"], WORD_H), h[:, WORD_H:], True)
-        inner = np.matmul(p["att"].T, h)
-        inner += p["att_b"][:, None]
-        score = np.matmul(p["att_v"], np.tanh(inner, out=inner))
+        last_states(np.ascontiguousarray(scaled_f.take(numbers, axis=0).T), scaled(p["uf"], WORD_H, False), h[:, :WORD_H])
+        last_states(np.ascontiguousarray(scaled_b.take(numbers, axis=0).T), scaled(p["ub"], WORD_H, False), h[:, WORD_H:], True)
+        turned, score, value = np.ascontiguousarray(p["att"].T), np.empty((WINDOW, count), np.float32), np.empty((WINDOW, count), np.float32)
+        inner = np.empty((ATTEND, count), np.float32)
+        for t in range(WINDOW):
+            np.matmul(turned, h[t], out=inner)
+            inner += p["att_b"][:, None]
+            clipped(inner, MINUS_ONE, ONE, inner)
+            np.matmul(p["att_v"], inner, out=score[t])
+            np.matmul(p["out"], h[t], out=value[t])
         if lens.min() < WINDOW:
             score = np.where(np.arange(WINDOW)[:, None] < lens[None, :], score, np.float32(-30))
-        e = np.exp(score - score.max(0))
-        return (e * np.matmul(p["out"], h)).sum(0) / e.sum(0) + p["out_b"][0]
+        score -= score.max(0)
+        e = np.exp(score, out=score)
+        value *= e
+        return value.sum(0) / e.sum(0) + p["out_b"][0]
 
     def projected(self, x):
         return [x @ self.p[f"w{d}"] + self.p[f"b{d}"] for d in "fb"]
@@ -234,7 +267,7 @@ class Network:
         d_h = a[:, :, None] * d_pooled[:, None, :]
         d_score = a * (d_a - (a * d_a).sum(1, keepdims=True))
         g["att_v"] = np.einsum("nt,ntk->k", d_score, inner)
-        d_inner = d_score[:, :, None] * p["att_v"] * (1 - inner * inner)
+        d_inner = d_score[:, :, None] * p["att_v"] * (np.abs(inner) < 1)
         g["att_b"] = d_inner.sum((0, 1))
         g["att"] = np.einsum("nti,ntk->ik", h, d_inner)
         d_h = d_h + d_inner @ p["att"].T
@@ -260,14 +293,31 @@ class Network:
         return loss, g
 
 
-def gru_step(x, h, u):
-    """One step of ``last_states``."""
-    size = u.shape[0]
-    a = h @ u
-    with np.errstate(over="ignore"):
-        gates = 1 / (1 + np.exp(x[:, : 2 * size] + a[:, : 2 * size]))
-        n = 1 - 2 / (1 + np.exp(x[:, 2 * size :] + gates[:, size:] * a[:, 2 * size :]))
-    return n + gates[:, :size] * (h - n)
+def char_states(table_, u, rows, n) -> np.ndarray:
+    """The last states of the character network for words (rows of character numbers) that fall in length ``n``. table_:
+    the ``scaled`` inputs of the characters as columns."""
+    size, turned = u.shape[0], np.ascontiguousarray(u.T)
+    out = np.empty((len(rows), size), np.float32)
+    for a in range(0, len(rows), BLOCK):
+        codes, falling = np.ascontiguousarray(rows[a : a + BLOCK].T), -n[a : a + BLOCK]
+        h = np.zeros((size, codes.shape[1]), np.float32)
+        for t in range(PIECE):
+            m = int(np.searchsorted(falling, -t, "left"))  # only the words that are longer than the step
+            if not m:
+                break
+            x, state = table_.take(codes[t, :m], axis=1), h[:, :m]
+            y = turned @ state
+            gates, new = y[: 2 * size], y[2 * size :]
+            gates += x[: 2 * size]
+            clipped(gates, ZERO, ONE, gates)
+            new *= gates[size:]
+            new += x[2 * size :]
+            clipped(new, MINUS_ONE, ONE, new)
+            state -= new
+            state *= gates[:size]
+            state += new
+        out[a : a + BLOCK] = h.T
+    return out
 
 
 def window_rows(numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,48 +332,52 @@ def last_start(numbers: np.ndarray) -> int:
 
 
 class Scorer:
-    """Scores texts; keeps the projected inputs of words while they are few."""
+    """Scores texts; keeps the projected inputs of up to about KNOWN words."""
 
     def __init__(self, network: Network):
-        self.network, self.known, self.rows = network, {}, []
-
-    def inputs(self, x):
-        return [scaled(y, WORD_H) for y in self.network.projected(x)]
-
-    def numbers(self, texts: list[list[str]]):
-        if len(self.known) > 80_000 or not self.known:
-            self.known, self.rows = {"": 0}, [self.inputs(np.zeros((1, 2 * CHAR_H + WORD_IN), np.float32))]
-        fresh = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in self.known]
-        for a in range(0, len(fresh), 20_000):
-            some = fresh[a : a + 20_000]
-            base = len(self.known)
-            self.known.update((w, base + k) for k, w in enumerate(some))
-            self.rows.append(self.inputs(self.network.word_inputs(some)))
-        if len(self.rows) > 1:
-            self.rows = [[np.concatenate(x) for x in zip(*self.rows)]]
-        get = self.known.__getitem__
-        return [np.array(list(map(get, words)), np.int64) for words in texts]
-
-    def windows(self, texts: list[str | None]):
+        self.network, self.known, self.rows = network, {}, [np.empty((1024, 3 * WORD_H), np.float32) for _ in range(2)]
+
+    def add(self, words: list[str], x: np.ndarray) -> None:
+        base, stop = len(self.known), len(self.known) + len(words)
+        self.known.update(zip(words, range(base, stop)))
+        for k, made in enumerate(self.network.projected(x)):
+            if stop > len(self.rows[k]):
+                self.rows[k] = np.concatenate([self.rows[k][:base], np.empty((max(stop, 2 * base) - base, 3 * WORD_H), np.float32)])
+            self.rows[k][base:stop] = scaled(made, WORD_H)
+
+    def numbers(self, names: list[str], used: np.ndarray) -> np.ndarray:
+        """The rows of ``names`` (of those that are used)."""
+        if len(self.known) > KNOWN or not self.known:
+            self.known = {}
+            self.add([""], np.zeros((1, 2 * CHAR_H + WORD_IN), np.float32))
+        known = self.known
+        fresh = [w for w, there in zip(names, used.tolist()) if there and w not in known]
+        for a in range(0, len(fresh), 8192):
+            self.add(fresh[a : a + 8192], self.network.word_inputs(fresh[a : a + 8192]))
+        return np.array([known.get(w, 0) for w in names], np.int64)
+
+    def windows(self, texts):
         """The logit of the window at every start, and the text each belongs to."""
-        known = self.numbers([pieces(t) for t in texts])
-        sizes = np.array([max(WINDOW, len(x)) for x in known])
-        run = np.zeros(sizes.sum(), np.int64)
+        names, codes, counts = pieces(texts)
+        used = np.zeros(len(names), bool)
+        used[codes] = True
+        words = self.numbers(names, used)[codes] if names else codes
+        sizes = np.maximum(WINDOW, counts)
         ends = np.cumsum(sizes)
-        for x, end, size in zip(known, ends, sizes):
-            run[end - size : end - size + len(x)] = x
-        owner = np.repeat(np.arange(len(known)), sizes)
-        lens = np.minimum(np.array([len(x) for x in known]), WINDOW)[owner]
+        run = np.zeros(sizes.sum(), np.int64)
+        run[np.repeat(ends - sizes - (np.cumsum(counts) - counts), counts) + np.arange(len(words))] = words
+        owner = np.repeat(np.arange(len(counts)), sizes)
+        lens = np.minimum(counts, WINDOW)[owner]
         count = len(run) - WINDOW + 1
-        out = [self.network.all_logits(*self.rows[0], run[a : min(a + BLOCK, count) + WINDOW - 1], lens[a : min(a + BLOCK, count)]) for a in range(0, count, BLOCK)]
+        out = [self.network.all_logits(*self.rows, run[a : min(a + BLOCK, count) + WINDOW - 1], lens[a : min(a + BLOCK, count)]) for a in range(0, count, BLOCK)]
         inside = np.arange(count) <= (ends - WINDOW)[owner[:count]]  # no window runs into the next text
         return np.concatenate(out)[inside], owner[:count][inside]
 
-    def best(self, texts: list[str | None]) -> np.ndarray:
+    def best(self, texts) -> np.ndarray:
         logits, owner = self.windows(texts)
         return np.maximum.reduceat(logits, np.searchsorted(owner, np.arange(len(texts))))
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts) -> np.ndarray:
         return sigmoid(self.network.scale * self.best(texts).astype(np.float64) + self.network.shift)
 
 
@@ -348,10 +402,9 @@ def trained(texts: list[str | None], labels: np.ndarray, share: float = 0.5, see
     if len({*labels.tolist()}) < 2:
         return None
     r, network = np.random.default_rng(seed), Network(seed)
-    words, parts = {"": 0}, []
-    for t in texts:
-        parts.append(np.array([words.setdefault(w, len(words)) for w in pieces(t)], np.int32))
-    names = list(words)
+    names, codes, counts = pieces(texts)
+    parts = np.split(codes + 1, np.cumsum(counts)[:-1])
+    names = ["", *names]  # 0 is padding
     # Every fifth text of a class is kept back for the calibration.
     sides = [np.flatnonzero(labels == k) for k in (0, 1)]
     aside = np.concatenate([x[4::5] for x in sides])
@@ -418,31 +471,29 @@ def held_out(ident: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
-    """A network from the labelled rows that are not held out. Short texts come first, as their labels say most."""
+    """A network from the labelled rows that are not held out, drawn by a hash of the id. Ids may be of any type; of texts
+    that share one, the least is learned from."""
     marks = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.max(label_col).alias("mark"))
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.length(text_col).alias("n")).filter(~held_out(F.col("doc_id")) & F.col("n").between(1, SAMPLE_CHARS))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.length(text_col).alias("n")).filter(~held_out(F.col("doc_id")))
     known = sizes.join(marks, F.col("doc_id") == F.col("of"))
-    spread = F.xxhash64("doc_id")
-    toxic = known.filter("mark = 1").orderBy(F.greatest("n", F.lit(800)), spread, "doc_id").limit(SAMPLE)
-    clean = known.filter("mark = 0").orderBy(spread, "doc_id").limit(SAMPLE)
     n, ones = known.agg(F.count("*"), F.count_if(F.col("mark") == 1)).first()
-    few = toxic.union(clean).select("of", "mark").collect()  # 2 * SAMPLE rows at most
-    if not few:
-        return None
-    ids = docs.sparkSession.createDataFrame([(int(r["of"]), int(r["mark"])) for r in few], "of long, mark int")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("of")).filter(F.length("text") <= SAMPLE_CHARS).dropDuplicates(["doc_id"]).select("doc_id", "text", "mark").collect()
+    fits = known.filter(F.col("n").between(1, SAMPLE_CHARS))
+    few = [fits.filter(F.col("mark") == k).select("of", "mark").distinct().orderBy(F.xxhash64("of"), "of").limit(SAMPLE) for k in (1, 0)]
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
+    chosen = texts.join(F.broadcast(few[0].union(few[1])), F.col("doc_id") == F.col("of"))  # 2 * SAMPLE rows at most
+    rows = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("mark").alias("mark")).collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
-    return trained([r["text"] for r in rows], np.array([r["mark"] for r in rows]), ones / max(1, n))
+    return trained([r["text"] for r in rows], np.array([r["mark"] for r in rows]), ones / max(1, n)) if rows else None
 
 
 def with_scores(docs: DataFrame, network: Network | None, text_col: str = "text", score_col: str = "tl_score") -> DataFrame:
-    """``docs`` and the score of its text column as a further, last column."""
+    """``docs`` and the score of its text column as a further, last column. ``score_col`` may be no column of ``docs``."""
     at = docs.columns.index(text_col)
 
     def run(it):
         scorer = Scorer(network) if network else None
-        for batch in slices(it, 256, 1 << 20, text_col):
-            texts = batch.column(at).to_pylist()
+        for batch in slices(it, 512, 2 << 20, text_col):
+            texts = batch.column(at)
             out = scorer.scores(texts) if scorer else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, score_col])
         scorer = None
@@ -451,6 +502,12 @@ def with_scores(docs: DataFrame, network: Network | None, text_col: str = "text"
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
+def without_toxic(docs: DataFrame, network: Network | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold. Columns may have any names."""
+    name = unused("score", docs.columns)
+    return with_scores(docs, network, text_col, name).filter(F.col(name) < threshold).select(*map(quoted, docs.columns))
+
+
 def scored(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score."""
     return with_scores(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), network).select("doc_id", F.col("tl_score").alias("score"))
