@@ -53,26 +53,51 @@ def test_against_brute_force(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
-@pytest.mark.parametrize(("batch", "shard", "group"), [(700, 1000, 3), (1 << 16, 1 << 19, 1)])
-def test_small_batches_shards_and_hot_anchors(spark, monkeypatch, batch, shard, group):
+@pytest.mark.parametrize("group", [2, 3, 7])
+def test_hot_anchors_go_through_further_rounds(spark, monkeypatch, group):
     rows = corpus()
     monkeypatch.setattr(repeats, "GROUP", group)
     out = repeats.without_repeats(docs(spark, rows).repartition(2)).collect()
-    want = {(r[0], r[1], r[4]) for r in brute(rows)}
-    assert {(r.doc_id, r.n_bytes, hashlib.sha256(r.kept).hexdigest()) for r in out} == want
-    # The parts alone, with tiny sizes.
+    assert {(r.doc_id, r.n_bytes, hashlib.sha256(r.kept).hexdigest()) for r in out} == {(r[0], r[1], r[4]) for r in brute(rows)}
+
+
+@pytest.mark.parametrize("batch", [700, 1 << 16])
+def test_segments_hold_every_string(monkeypatch, batch):
     monkeypatch.setattr(repeats, "BATCH", batch)
-    monkeypatch.setattr(repeats, "SHARD", shard)
-    texts = [(r[0], 0, r[1] or "") for r in rows]
-    table = pa.RecordBatch.from_arrays([pa.array([t[k] for t in texts], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string()))], ["d", "t", "text"])
+    texts = [(False, r[0], 7, r[1] or "") for r in corpus()]
+    table = pa.RecordBatch.from_arrays([pa.array([t[k] for t in texts], kind) for k, kind in enumerate((pa.bool_(), pa.int64(), pa.int64(), pa.string()))], [*repeats.ROW, "text"])
     found = [x for b in repeats.scanned(iter([table])) for x in b.to_pylist()]
-    covered = {}
+    starts = {}
     for x in found:
-        if x["kind"] == 0:
-            raw = next(t[2] for t in texts if t[0] == x["d"]).encode()
-            assert x["stop"] <= len(raw) and x["stop"] - x["start"] >= 100
-            covered.setdefault((x["anchor"], x["content"]), raw[x["start"] : x["stop"]])
-            assert covered[x["anchor"], x["content"]] == raw[x["start"] : x["stop"]]
+        starts.setdefault(x["d"], []).extend(range(x["start"], x["stop"] - 99))
+        assert 100 <= x["stop"] - x["start"] <= 176
+    for _, d, _, text in texts:
+        assert set(starts.get(d, [])) == set(range(len(text.encode()) - 99))
+
+
+def test_shards_remove_what_their_suffix_array_finds(monkeypatch):
+    """Copies and shifted strings alike; without the common prefixes nothing but whole copies of a content goes."""
+    text = prose(60, 5).encode()
+    rows = [(7, 0, True, False, d, 1, s, text[s:e]) for d, s, e in ((1, 0, 150), (2, 0, 150), (3, 20, 170), (4, 200, 330))]
+    columns = [pa.array([r[k] for r in rows], repeats.KINDS[n.split()[0]]) for k, n in enumerate(repeats.SHIPPED.split(", "))]
+    batch = pa.RecordBatch.from_arrays(columns, [n.split()[0] for n in repeats.SHIPPED.split(", ")])
+    out = [x for b in repeats.sorted_shards(iter([batch])) for x in b.to_pylist()]
+    assert {(x["d"], x["start"], x["stop"]) for x in out if x["bytes"] is None} == {(2, 0, 150), (3, 20, 150)}
+    assert {(x["d"], x["start"], x["bytes"]) for x in out if x["bytes"]} == {(1, 0, text[:150]), (3, 20, text[20:170]), (4, 200, text[200:330])}
+
+
+def test_rows_are_told_apart_by_more_than_their_id(spark):
+    many = [(None, prose(30, 5000 + k), "en", "a", 1) for k in range(300)] + [(5, prose(30, 6000 + k), "en", "a", 1) for k in range(300)]
+    assert all(len(r.spans) == 0 for r in repeats.without_repeats(docs(spark, many)).collect())
+    twice = [(None, prose(30, 1) + " " + prose(30, 2), "en", "a", 1), (None, prose(30, 3) + " " + prose(30, 2), "en", "a", 1)]
+    assert sorted(len(r.spans) for r in repeats.without_repeats(docs(spark, twice)).collect()) == [0, 1]
+
+
+def test_a_text_over_a_batch(spark, tmp_path):
+    part, long = prose(200, 71), prose(400_000, 70)
+    rows = [(1, long[: (1 << 20) - 300] + part + long[1 << 20 :], "en", "a", 1), (2, "x " + part, "en", "a", 1), (3, long[(1 << 20) + 5000 : (1 << 20) + 5400], "en", "a", 1)]
+    got = {r.doc_id: r.n_removed for r in repeats.op6_repeats(spark, as_sf(docs(spark, rows), tmp_path)).collect()}
+    assert got == {r[0]: r[2] for r in brute(rows)}
 
 
 def test_rows_without_id_come_last_and_empty(spark):

@@ -4,36 +4,42 @@ Every byte that a LENGTH-byte string covers goes, if that string also starts ear
 in the same document). Strings are judged on the input; matches never cross documents.
 
 1. A string's anchor is its least K-byte piece by hash (the leftmost, if equal), so equal strings have equal anchors
-   at equal places. A scan cuts each text into segments, the runs of strings with one anchor, and hashes them. Of
-   segments that are equal within a batch only the first goes on; the others are removals.
-2. Of equal segments from all batches, the first stays; the others are removals. What stays differs, but segments of
-   one anchor may still share strings at their edges.
-3. Those segments' bytes are dealt to shards by anchor. A shard's suffix array is built by induced sorting; where the
-   permuted common prefix reaches LENGTH, strings are equal, and all but the first are removals. An anchor of more
-   than GROUP different segments is dealt on by the hashes of its strings instead, so it is no task of its own.
-4. Each document's removals are joined to its text.
-
-Only hashes, anchors and the differing segments are shuffled, and the texts for steps 3 and 4.
+   at equal places. A scan cuts each text into segments, the runs of strings with one anchor (176 bytes at most).
+2. Segments whose anchor occurs once hold no repeated string. The bytes of all others are cut from their texts and
+   dealt to shards by anchor.
+3. A shard's suffix array, over its different segments, is built by induced sorting. Where the permuted common prefix
+   reaches LENGTH, strings are equal: all occurrences but the first are removals. Every removal comes from here.
+4. An anchor of more than GROUP segments is dealt to several cells. What a cell keeps (a segment of each content, its
+   first) goes into a further round, by anchors of longer pieces and in the end by the strings themselves, until an
+   anchor's segments fit one cell. So no task ever holds a hot anchor, and no string escapes the comparison.
+5. Each document's removals are joined to its text.
 
 Defined results: null and empty texts are 0 bytes and lose nothing, as do texts of fewer than LENGTH bytes; rows
 without doc_id come after all others, in an order fixed by their text; rows that repeat a doc_id and its text are one
-document and get equal results; an empty table gives an empty one; other columns are not read.
+document and get equal results, other texts under one doc_id are other documents (a row is known by its id and 64 bits
+of its text's hash, without an id by 128); an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import slices, stored, table
+from textloom.llm.common import dropped, slices, stored, table
 from textloom.llm.suffixes import permuted_common_prefixes, suffix_array
 
-LENGTH, K = 100, 24
-REACH = LENGTH - K + 1
-#: Bytes hashed at once, bytes of a suffix array, and segments of an anchor that are sorted.
-BATCH, SHARD, GROUP = 1 << 20, 1 << 19, 2048
+LENGTH = 100
+#: Bytes of the pieces that are anchors in each round; the last serves all further rounds.
+PIECES = (24, 48, LENGTH)
+#: Bytes hashed at once, bytes of a suffix array (about), and segments of an anchor in one cell.
+BATCH, SHARD, GROUP = 1 << 20, 1 << 17, 4096
+#: Hot anchors that are broadcast, at most.
+HOT = 200_000
 PLACE = np.uint64((1 << 22) - 1)
 SEPARATOR = 256
 
@@ -67,32 +73,31 @@ class Hashes:
         return mixed((self.sums[stop] - self.sums[start]) * self.up[start] + (stop - start).astype(np.uint64))
 
 
-def segments(data: np.ndarray, hashes: Hashes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, segment hash, start, stop) of the runs of strings with one anchor. ends: of the texts in data."""
-    n = len(data)
+def segments(data: np.ndarray, hashes: Hashes, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, start, stop) of the runs of strings with one anchor of ``k`` bytes. ends: of the texts in data."""
+    n, reach = len(data), LENGTH - k + 1
     empty = np.empty(0, np.int64)
     if n < LENGTH:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
-    at = np.arange(n - K + 1)
-    pieces = hashes.of(at, at + K)
+        return empty.astype(np.uint64), empty, empty
+    at = np.arange(n - k + 1)
+    pieces = hashes.of(at, at + k)
     least = (pieces & ~PLACE) | at.astype(np.uint64)
     width = 1
-    while width * 2 <= REACH:
+    while width * 2 <= reach:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    if width < REACH:
-        least = np.minimum(least[: len(least) - (REACH - width)], least[REACH - width :])
+    if width < reach:
+        least = np.minimum(least[: len(least) - (reach - width)], least[reach - width :])
     inside = np.ones(n - LENGTH + 1, bool)  # strings that end within their text
     for end in ends[:-1]:
         inside[max(0, end - LENGTH + 1) : end] = False
     starts = np.flatnonzero(inside)
     if not len(starts):
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
+        return empty.astype(np.uint64), empty, empty
     anchor = (least[starts] & PLACE).astype(np.int64)
     first = np.flatnonzero(np.diff(anchor, prepend=-1))
     last = np.append(first[1:], len(starts)) - 1
-    start, stop, anchor = starts[first], starts[last] + LENGTH, anchor[first]
-    return pieces[anchor], hashes.of(start, stop) + (anchor - start).astype(np.uint64), start, stop
+    return pieces[anchor[first]], starts[first], starts[last] + LENGTH
 
 
 def chunks(raw: bytes):
@@ -102,13 +107,17 @@ def chunks(raw: bytes):
         yield a, raw[a : a + step + LENGTH - 1]
 
 
-FOUND = "kind int, anchor long, content long, d long, t int, start int, stop int"
+#: A row of the input: its id, or its text's second hash and ``late``, and its text's hash.
+ROW = ["late", "d", "t"]
+KINDS = {"anchor": pa.int64(), "cell": pa.int32(), "more": pa.bool_(), "late": pa.bool_(), "d": pa.int64(), "t": pa.int64(), "start": pa.int32(), "stop": pa.int32(), "bytes": pa.binary()}
+FOUND = "anchor long, late boolean, d long, t long, start int, stop int"
+SHIPPED = "anchor long, cell int, more boolean, late boolean, d long, t long, start int, bytes binary"
+OUT = "late boolean, d long, t long, start int, stop int, bytes binary"
 
 
-def found_rows(kind, anchor, content, d, t, start, stop) -> pa.RecordBatch:
-    n = len(start)
-    as_long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), as_long(anchor), as_long(content), pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], [f.split()[0] for f in FOUND.split(", ")])
+def batch_of(schema: str, columns) -> pa.RecordBatch:
+    names = [f.split()[0] for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, KINDS[n]) for n, c in zip(names, columns)], names)
 
 
 def merged(start: np.ndarray, stop: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,76 +132,74 @@ def merged(start: np.ndarray, stop: np.ndarray, owner: np.ndarray) -> tuple[np.n
 
 
 def scanned(it):
-    """Rows (d, t, text) to segments (kind 0), each content once in a batch, and removals (kind 1)."""
+    """Rows (late, d, t, text) to their segments."""
     up, down = powers(BASE, BATCH + 1), powers(INVERSE, BATCH + 1)
 
     def flush(parts):
-        parts = [parts[k] for k in sorted({p[:3]: k for k, p in enumerate(parts)}.values(), key=lambda k: parts[k][:3])]
-        data = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
-        ends = np.cumsum([len(p[3]) for p in parts])
-        anchor, content, start, stop = segments(data, Hashes(data, up, down), ends)
+        data = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
+        ends = np.cumsum([len(p[4]) for p in parts])
+        anchor, start, stop = segments(data, Hashes(data, up, down), ends, PIECES[0])
         owner = np.searchsorted(ends, start, "right")
-        begin, offset = (ends - [len(p[3]) for p in parts])[owner], np.array([p[2] for p in parts], np.int64)[owner]
-        start, stop = start - begin + offset, stop - begin + offset
-        d, t = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int32)
-        first = np.zeros(len(start), bool)
-        first[np.unique(anchor ^ (content * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]] = True
-        f = first
-        yield found_rows(0, anchor[f], content[f], d[owner[f]], t[owner[f]], start[f], stop[f])
-        a, b, o = merged(start[~f], stop[~f], owner[~f])
-        yield found_rows(1, mixed(d[o].view(np.uint64) + t[o].astype(np.uint64)), np.zeros(len(a), np.int64), d[o], t[o], a, b)
+        move = np.array([p[3] - (end - len(p[4])) for p, end in zip(parts, ends.tolist())], np.int64)[owner]
+        late, d, t = (np.array([p[k] for p in parts], kind)[owner] for k, kind in enumerate((bool, np.int64, np.int64)))
+        yield batch_of(FOUND, [np.ascontiguousarray(anchor).view(np.int64), late, d, t, start + move, stop + move])
 
     parts, size = [], 0
     for batch in slices(it, 512, 1 << 20):
-        for d, t, text in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = text.encode()
-            for offset, some in chunks(raw):
+        for late, d, t, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for offset, some in chunks(text.encode()):
                 if len(some) < LENGTH:
                     continue
                 if size + len(some) > BATCH:
                     yield from flush(parts)
                     parts, size = [], 0
-                parts.append((d, t, offset, some))
+                parts.append((late, d, t, offset, some))
                 size += len(some)
     if parts:
         yield from flush(parts)
 
 
-PIECES = "hot boolean, anchor long, content long, d long, t int, start int, bytes binary"
+def numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
 
 def cut_out(it):
-    """Rows (d, t, text, segments) to their bytes, or for hot anchors to the hashes of their strings."""
-    up, down = powers(BASE, BATCH + 1), powers(INVERSE, BATCH + 1)
+    """Rows (late, d, t, text, wanted segments) to the segments with their bytes."""
     for batch in slices(it, 64, 1 << 20):
-        out = []
-        for d, t, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+        lists, wanted = batch.column(4), batch.column(4).flatten()
+        counts = numbers(pc.list_value_length(lists))
+        owner, ends = pa.array(np.repeat(np.arange(len(counts)), counts)), np.cumsum(counts)
+        anchor, cell, more, start, stop = (wanted.field(k) for k in range(5))
+        keys, starts, stops, data = [batch.column(k).take(owner) for k in range(3)], numbers(start).tolist(), numbers(stop).tolist(), []
+        for text, a, b in zip(batch.column(3).to_pylist(), (ends - counts).tolist(), ends.tolist()):
             raw = text.encode()
-            for s in wanted:
-                data = raw[s["start"] : s["stop"]]
-                if not s["hot"]:
-                    out.append((False, s["anchor"], None, d, t, s["start"], data))
-                    continue
-                at = np.arange(len(data) - LENGTH + 1)
-                letters = np.frombuffer(data, np.uint8)
-                one, two = Hashes(letters, up, down).of(at, at + LENGTH), Hashes(255 - letters[::-1], up, down).of(at, at + LENGTH)[::-1]
-                out += [(True, a, b, d, t, s["start"] + k, None) for k, (a, b) in enumerate(zip(one.view(np.int64).tolist(), np.ascontiguousarray(two).view(np.int64).tolist()))]
-        columns = list(zip(*out)) if out else [[]] * 7
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], [f.split()[0] for f in PIECES.split(", ")])
+            data += [raw[x:y] for x, y in zip(starts[a:b], stops[a:b])]
+        whole = batch_of(SHIPPED, [anchor, cell, more, *keys, start, pa.array(data, pa.binary())])
+        for a in range(0, whole.num_rows, 8192):
+            yield whole.slice(a, 8192)
 
 
-RANGES = "d long, t int, start int, stop int"
+def cut_again(k: int):
+    """Rows (late, d, t, start, bytes) to the segments of their anchors of ``k`` bytes."""
 
+    def run(it):
+        up, down = powers(BASE, BATCH + 1), powers(INVERSE, BATCH + 1)
+        for batch in slices(it, 4096, 1 << 19, "bytes"):
+            raw = batch.column(4).to_pylist()
+            data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw])
+            anchor, start, stop = segments(data, Hashes(data, up, down), ends, k)
+            owner = np.searchsorted(ends, start, "right")
+            keys = [batch.column(c).take(pa.array(owner)) for c in range(3)]
+            at = batch.column(3).to_numpy()[owner] + start - (ends - [len(x) for x in raw])[owner]
+            yield batch_of("anchor, late, d, t, start, bytes", [np.ascontiguousarray(anchor).view(np.int64), *keys, at, [data[a:b].tobytes() for a, b in zip(start.tolist(), stop.tolist())]])
 
-def ranges(d, t, start, stop) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["d", "t", "start", "stop"])
+    return run
 
 
-def repeated(pieces: list[tuple[int, int, int, bytes]]):
-    """The ranges of pieces (d, t, start, bytes), in order, whose strings start earlier in one of them."""
-    text = np.concatenate([x for p in pieces for x in (np.frombuffer(p[3], np.uint8).astype(np.int64), [SEPARATOR])])
-    begins = np.cumsum([0] + [len(p[3]) + 1 for p in pieces])[:-1]
+def repeated(pieces: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, start, stop) of the ranges of ``pieces`` (bytes), in order, whose strings start earlier in one of them."""
+    text = np.concatenate([x for p in pieces for x in (np.frombuffer(p, np.uint8).astype(np.int64), [SEPARATOR])])
+    begins = np.cumsum([0] + [len(p) + 1 for p in pieces])[:-1]
     array = suffix_array(text, SEPARATOR + 1)
     long = permuted_common_prefixes(text, array, LENGTH)[array] >= LENGTH
     run = np.cumsum(~long)  # equal strings stand together
@@ -200,23 +207,59 @@ def repeated(pieces: list[tuple[int, int, int, bytes]]):
     again = np.sort(array[array != earliest[run - 1]])
     owner = np.searchsorted(begins, again, "right") - 1
     start, stop, owner = merged(again - begins[owner], again - begins[owner] + LENGTH, owner)
-    keys = [np.array([p[k] for p in pieces], np.int64)[owner] for k in range(3)]
-    return ranges(keys[0], keys[1], keys[2] + start, keys[2] + stop)
+    return owner, start, stop
 
 
 def sorted_shards(it):
-    """Rows (anchor, d, t, start, bytes) by anchor, d, t and start to removals. Anchors share a suffix array."""
-    pieces, anchor, size = set(), None, 0
-    for batch in slices(it, 2048, 1 << 20, "bytes"):
-        for key, d, t, start, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != anchor and size >= SHARD:
-                yield repeated(sorted(pieces))
-                pieces, size = set(), 0
-            anchor = key
-            pieces.add((d, t, start, data))
-            size += len(data)
-    if pieces:
-        yield repeated(sorted(pieces))
+    """Rows of SHIPPED by anchor and cell to removals (bytes null) and, of anchors with further cells, what is kept.
+    Cells share a suffix array. A segment's copies are one content, in the place of the first of them."""
+
+    def flush(parts, contents):
+        code, more, late, d, t, start = (np.concatenate(x) for x in zip(*parts))
+        contents = list(contents)
+        by = np.lexsort((start, t, d, late))
+        seen, at = np.unique(code[by], return_index=True)  # all codes, and their first rows
+        first = np.empty(len(contents), np.int64)
+        first[seen] = by[at]
+        order = seen[np.argsort(at)]
+        piece, a, b = repeated([contents[k] for k in order.tolist()])
+        own = first[order[piece]]
+        lead = first[code]
+        other = np.flatnonzero((late != late[lead]) | (d != d[lead]) | (t != t[lead]) | (start != start[lead]))  # rows given twice are one
+        size = np.array([len(x) for x in contents], np.int64)
+        kept = order[more[first[order]]]
+        rows = np.concatenate([own, other, first[kept]])
+        begin = np.concatenate([start[own] + a, start[other], start[first[kept]]])
+        end = np.concatenate([start[own] + b, start[other] + size[code[other]], start[first[kept]] + size[kept]])
+        data = pa.concat_arrays([pa.nulls(len(own) + len(other), pa.binary()), pa.array([contents[k] for k in kept.tolist()], pa.binary())])
+        whole = batch_of(OUT, [late[rows], d[rows], t[rows], begin, end, data])
+        for k in range(0, whole.num_rows, 16384):
+            yield whole.slice(k, 16384)
+
+    parts, contents, at, size = [], {}, None, 0
+    for batch in slices(it, 4096, 1 << 20, "bytes"):
+        keys = np.stack([numbers(batch.column(0)), numbers(batch.column(1)).astype(np.int64)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        data = batch.column(7).to_pylist()
+        columns = [numbers(batch.column(k)) for k in (2, 3, 4, 5, 6)]
+        begun = 0  # rows from here on are not in ``parts`` yet
+        codes = np.empty(batch.num_rows, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if size >= SHARD and tuple(keys[:, a]) != at:
+                if a > begun:
+                    parts.append([codes[begun:a], *(c[begun:a] for c in columns)])
+                yield from flush(parts, contents)
+                parts, contents, size, begun = [], {}, 0, a
+                codes = codes.copy()
+            at = tuple(keys[:, a])
+            for k in range(a, b):
+                held = len(contents)
+                codes[k] = contents.setdefault(data[k], held)
+                if codes[k] == held:
+                    size += len(data[k])
+        parts.append([codes[begun:], *(c[begun:] for c in columns)])
+    if parts:
+        yield from flush(parts, contents)
 
 
 REMOVED = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
@@ -224,45 +267,67 @@ REMOVED = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, ke
 
 def removed(it):
     """Rows (doc_id, text, ranges) to what is left."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in slices(it, 512, 4 << 20):
-        sizes, spans, kept = [], [], []
-        for text, some in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        lists, ranges = batch.column(2), batch.column(2).flatten()
+        counts = numbers(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+        owner, start, stop = np.repeat(np.arange(len(counts)), counts), *(numbers(ranges.field(k)).astype(np.int64) for k in range(2))
+        by = np.lexsort((start, owner))
+        start, stop, owner = merged(start[by], stop[by], owner[by])
+        ends = np.searchsorted(owner, np.arange(len(counts)), "right")
+        sizes, kept, a = [], [], 0
+        for text, b in zip(batch.column(1).to_pylist(), ends.tolist()):
             raw = text.encode()
-            a = np.array(sorted((r["start"], r["stop"]) for r in some or []), np.int64).reshape(-1, 2)
-            start, stop, _ = merged(a[:, 0], a[:, 1], np.zeros(len(a), np.int64))
-            cuts = [0, *(x for pair in zip(start.tolist(), stop.tolist()) for x in pair), len(raw)]
+            cuts = [0, *np.stack([start[a:b], stop[a:b]], 1).ravel().tolist(), len(raw)]
             sizes.append(len(raw))
-            spans.append([{"start": x, "end": y} for x, y in zip(start.tolist(), stop.tolist())])
-            kept.append(b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2])))
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            kept.append(raw if a == b else b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2])))
+            a = b
+        items = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["start", "end"])
+        spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), items)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), spans.cast(kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+
+
+def celled(segments: DataFrame, salt: int) -> DataFrame:
+    """Of a stored table of segments those whose anchor occurs again, with their cell and whether the anchor has more than
+    one. Anchors of more than one in HOT of all segments are fewer than HOT, and are broadcast, so that their segments
+    need no shuffle; the others are dealt by anchor."""
+    counts = stored(segments.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
+    most = max(GROUP, segments.count() // HOT)
+    hot = F.broadcast(counts.filter(F.col("n") > most))
+    rest = segments.join(F.broadcast(counts.filter(F.col("n") > most).select("anchor")), "anchor", "left_anti").join(counts.filter(F.col("n") <= most).hint("shuffle_hash"), "anchor")
+    cell = F.pmod(F.xxhash64(F.lit(salt), *ROW, "start"), F.ceil(F.col("n") / GROUP)).cast("int")
+    return segments.join(hot, "anchor").unionByName(rest).withColumn("cell", cell).withColumn("more", F.col("n") > GROUP).drop("n")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, the removed spans (byte offsets, end exclusive) and the bytes that are kept, of every row."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    source = source.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.hash("text").alias("t"), "text")
-    found = source.select("d", "t", "text").mapInArrow(scanned, FOUND)
-
-    # A content comes once from each batch: its first occurrence stays, the others go.
-    within = Window.partitionBy("anchor", "kind")
-    nth = F.rank().over(Window.partitionBy("anchor", "kind", "content").orderBy("d", "t", "start"))
-    other = F.min("content").over(within) != F.max("content").over(within)
-    ranked = found.repartition(n, "anchor").withColumn("nth", nth).withColumn("other", other)
-    ranked = stored(ranked.filter("kind = 1 OR nth > 1 OR other").drop("content", "other"), "ranked")
-
-    edges = ranked.filter("kind = 0 AND nth = 1").select("anchor", "d", "t", "start", "stop").distinct()
-    hot = edges.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("anchor", F.lit(True).alias("hot"))
-    wanted = edges.join(hot, "anchor", "left").groupBy("d", "t").agg(F.collect_list(F.struct("anchor", "start", "stop", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
-    pieces = stored(source.select("d", "t", "text").join(wanted.hint("shuffle_hash"), ["d", "t"]).mapInArrow(cut_out, PIECES), "pieces")
-    shards = pieces.filter("NOT hot").select("anchor", "d", "t", "start", "bytes").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(sorted_shards, RANGES)
-    same = F.rank().over(Window.partitionBy("anchor", "content").orderBy("d", "t", "start"))
-    strings = pieces.filter("hot").withColumn("nth", same).filter("nth > 1").select("d", "t", "start", (F.col("start") + LENGTH).alias("stop"))
-
-    gone = ranked.filter("kind = 1 OR nth > 1").select("d", "t", "start", "stop").union(shards).union(strings)
-    listed = gone.groupBy("d", "t").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    whole = source.join(listed.hint("shuffle_hash"), ["d", "t"], "left").select("doc_id", "text", "ranges")
+    source = source.select("doc_id", F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.xxhash64(F.lit("order"), "text")).alias("d"), F.xxhash64("text").alias("t"), "text")
+
+    segments_ = stored(source.select(*ROW, "text").mapInArrow(scanned, FOUND), "segments")
+    # Every step is a stored table, so a lost executor repeats a step at most, and no step holds the shuffles of another.
+    listed = F.collect_list(F.struct("anchor", "cell", "more", "start", "stop")).alias("wanted")
+    wanted = stored(celled(segments_, 0), "wanted")
+    dropped(segments_)
+    pieces = stored(source.select(*ROW, "text").join(wanted.groupBy(*ROW).agg(listed).hint("shuffle_hash"), ROW).mapInArrow(cut_out, SHIPPED), "pieces")
+    dropped(wanted)
+    gone, rounds = [], 0
+    while True:
+        found = stored(pieces.repartition(n, "anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(sorted_shards, OUT), "repeats")
+        dropped(pieces)
+        gone.append(found.filter("bytes IS NULL").select(*ROW, "start", "stop"))
+        rounds += 1
+        left = found.filter("bytes IS NOT NULL").select(*ROW, "start", "bytes")
+        if left.isEmpty():
+            break
+        segments_ = stored(left.mapInArrow(cut_again(PIECES[min(rounds, len(PIECES) - 1)]), "anchor long, late boolean, d long, t long, start int, bytes binary"), "segments")
+        pieces = stored(celled(segments_, rounds).select(*[f.split()[0] for f in SHIPPED.split(", ")]), "pieces")
+        dropped(segments_)
+
+    ranges = reduce(DataFrame.union, gone)
+    listed = ranges.groupBy(*ROW).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    whole = source.join(listed.hint("shuffle_hash"), ROW, "left").select("doc_id", "text", "ranges")
     return whole.mapInArrow(removed, REMOVED)
 
 

@@ -1,9 +1,11 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
-``suffix_array``: suffixes are classified as larger or smaller than the next; the leftmost smaller ones are sorted by
-their substrings through one induction, named, sorted as suffixes by recursion where names repeat, and induce the
-whole array in two scans. A scan goes bucket by bucket (the suffixes that start with one letter), with numpy over a
-bucket; where letters are many for the text (in the recursion) it goes suffix by suffix.
+``suffix_array``: suffixes are classified as larger or smaller than the next. The leftmost smaller ones are sorted by
+their substrings, a machine word of letters at a time, and named by rank. Those whose names repeat are sorted as
+suffixes of the text of names by recursion, and the whole array is induced in two scans. A name that occurs once ends
+every comparison, so only runs of names that repeat, each with the name after it, go into the recursion. A scan goes
+bucket by bucket (the suffixes that start with one letter), with numpy over a bucket; where letters are many for the
+text (in the recursion) it goes suffix by suffix.
 """
 
 from __future__ import annotations
@@ -19,16 +21,66 @@ def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
         return np.arange(n)
     smaller = classes(text)
     left = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    sizes = np.bincount(text, minlength=letters)
-    # First induction: sorts the leftmost smaller substrings.
-    first = induced(text, left[np.argsort(text[left], kind="stable")], smaller, sizes)
-    is_left = np.zeros(n, bool)
-    is_left[left] = True
-    order = first[is_left[first]]
-    names, count = named(text, left, order)
-    if count < len(left):
-        order = left[suffix_array(names, count)]
-    return induced(text, order, smaller, sizes)
+    return induced(text, left[sorted_left(text, left)], smaller, np.bincount(text, minlength=letters))
+
+
+def sorted_left(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The order of the suffixes at ``left``, the leftmost smaller ones."""
+    if len(left) < 2:
+        return np.arange(len(left))
+    order, ties = by_substrings(text, left)
+    names = np.empty(len(left), np.int64)
+    names[order] = np.cumsum(~ties) - 1
+    again = np.bincount(names)[names] > 1
+    if not again.any():
+        return order
+    # Runs of names that repeat, and the name that ends each run.
+    kept = again.copy()
+    kept[1:] |= again[:-1]
+    at = np.flatnonzero(kept)
+    there = np.zeros(int(names.max()) + 1, np.int64)
+    there[names[at]] = 1
+    dense = np.cumsum(there) - 1
+    array = suffix_array(dense[names[at]], int(dense[-1]) + 1)
+    # The repeated names' places in the order are filled in the order of the recursion.
+    deeper = at[array]
+    deeper = deeper[again[deeper]]
+    out = order.copy()
+    out[again[order]] = deeper
+    return out
+
+
+def by_substrings(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the places ``left`` by what stands there, at least as far as the next of them, and whether each place
+    ties with the one before it."""
+    n, most = len(text), int(text.max()) + 1  # 0 is the end
+    lane = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+    step = 8 // lane().itemsize
+    size = np.append(left[1:] - left[:-1] + 1, n - left[-1] + 1)
+    far = -(-int(size.max()) // step) * step + 4 * step
+    padded = np.zeros(n + far + step, lane)
+    padded[:n] = text + 1
+    big = padded.astype(padded.dtype.newbyteorder(">"))
+    word = lambda at: big[at[:, None] + np.arange(step)].view(">u8").ravel().astype(np.uint64)
+    key = word(left)
+    order = np.argsort(key, kind="stable")
+    ties = np.zeros(len(left), bool)
+    ties[1:] = key[order[1:]] == key[order[:-1]]
+    done = step
+    while ties.any():
+        # Groups of ties, each sorted by the next word; the groups stay where they are.
+        inside = ties.copy()
+        inside[:-1] |= ties[1:]
+        at = np.flatnonzero(inside)
+        if done >= 2 * step and int(size[order[at]].max()) <= done:
+            break
+        group = np.cumsum(~ties[at])
+        key = word(np.minimum(left[order[at]] + done, n + far - step))
+        by = np.lexsort((key, group))
+        order[at] = order[at[by]]
+        ties[at[1:]] = (group[1:] == group[:-1]) & (key[by][1:] == key[by][:-1])
+        done += step
+    return order, ties
 
 
 def classes(text: np.ndarray) -> np.ndarray:
@@ -42,31 +94,6 @@ def classes(text: np.ndarray) -> np.ndarray:
     return np.repeat(step[ends] > 0, np.diff(ends, prepend=-1))
 
 
-def named(text: np.ndarray, left: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
-    """Numbers of the leftmost smaller substrings by rank, in order of the text, and how many differ."""
-    n = len(text)
-    if not len(left):
-        return left, 0
-    stop = np.append(left[1:] + 1, n + 1)  # the last one goes beyond the end
-    place = np.empty(n, np.int64)
-    place[left] = np.arange(len(left))
-    k = place[order]
-    start, size = left[k], stop[k] - left[k]
-    a, b, m = start[:-1], start[1:], size[:-1]
-    same = m == size[1:]
-    same &= (a + m <= n) & (b + size[1:] <= n)
-    live, at = np.flatnonzero(same), 0
-    while len(live):
-        equal = text[a[live] + at] == text[b[live] + at]
-        same[live[~equal]] = False
-        at += 1
-        live = live[equal & (m[live] > at)]
-    rank = np.concatenate([[0], np.cumsum(~same)])
-    names = np.empty(len(left), np.int64)
-    names[k] = rank
-    return names, int(rank[-1]) + 1
-
-
 def induced(text: np.ndarray, order: np.ndarray, smaller: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The array induced from the leftmost smaller suffixes in ``order``."""
     if len(sizes) * 16 > len(text) or len(sizes) > 1 << 16:
