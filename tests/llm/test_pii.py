@@ -49,3 +49,21 @@ def test_added_kinds_and_redaction():
 def test_long_digit_and_at_runs_are_linear():
     for t in ("1" * 200_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000):
         pii.spans(t)
+
+
+def test_house_numbers_at_any_distance_and_digits_by_brute_force():
+    far = "Mr " + "Long" * 60
+    assert ("address", 0, len(f"12 {far} Street")) in pii.spans(f"12 {far} Street")
+    assert [s for s in pii.spans("Calle " + "x" * 200 + " 12") if s[0] == "address"] == [("address", 0, 209)]
+    assert [s for s in pii.spans("12 " + " " * 300 + "Road") if s[0] == "address"]
+    r = __import__("random").Random(5)
+    chain, card = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3,}"), re.compile(r"[0-9]([\x20-]?[0-9])+")
+    for _ in range(3000):
+        text = "".join(r.choice("0123459.. -a") for _ in range(r.randint(0, 60)))
+        got = pii.spans(text)
+        want = [m.span() for m in card.finditer(text) if 16 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(d)]
+        assert [(a, b) for k, a, b in got if k == "card"] == want
+        ips = [x for m in chain.finditer(text) for x in pii.ips(m)]
+        assert [(a, b) for k, a, b in got if k == "ip"] == ips
+    digits = " ".join("4000 0000 0000 0002" for _ in range(1))
+    assert [s for s in pii.spans("x" + digits + "y") if s[0] == "card"] == [("card", 1, 20)]

@@ -1,8 +1,8 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass finds anchors (at-signs, plus signs, schemes, identifier and street cues); local parsers
-expand each anchor to its boundaries and validate what they find. Digit chains (internet addresses, card numbers)
-are their own anchors. Offsets are code points, end exclusive.
+One Aho-Corasick pass finds anchors (at-signs, plus signs, schemes, identifier and street cues, a dot before a digit,
+two digits side by side or over a blank or hyphen); local parsers expand each anchor to its boundaries, however far,
+and validate what they find. Offsets are code points, end exclusive.
 
 Base kinds, leftmost and non-overlapping within a kind; a match that fails its test is dropped and not retried:
 email, ip, card, phone. Further kinds: account (cue, then an identifier; IBANs by their check digits), address
@@ -33,17 +33,19 @@ ACCOUNT_CUES = ("iban", "account", "acct", "ssn", "social security", "passport",
 NUMBER_FIRST = ("Street", "Avenue", "Road", "Lane", "Boulevard", "rue", "avenue", "boulevard")
 NUMBER_LAST = ("straße", "strasse", "Straße", "Strasse", "Calle", "Avenida", "calle", "avenida")
 
+DIGITS = frozenset("0123456789")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]++")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++){3,}+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SCHEME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 USER_URL = re.compile(r"://[^\s/?#@<>\"']++@[A-Za-z0-9.-]++(?::[0-9]++)?(?:[/?#][^\s<>\"']*+)?")
 IDENTIFIER = re.compile(r"[ \t]*(?:number|num|no|nr|nummer|numéro|número|is|ist)?[ \t]*[.:#=]{0,2}[ \t]*([A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]{2,4}){3,8}|[0-9](?:[ -]?[0-9]){5,17})(?![A-Za-z0-9])", re.ASCII)
-HOUSE_BEFORE = re.compile(r"(?<![\w.])([0-9]{1,5}[A-Za-z]?,?\s+(?:[^\W\d_][\w'-]*\s+){0,3})$")
-HOUSE_AFTER = re.compile(r"(?:\s+[^\W\d_][\w'-]*){0,3}?\s+[0-9]{1,5}[a-z]?\b")
+HOUSE_NUMBER = re.compile(r"(?<![\w.])[0-9]{1,5}[A-Za-z]?,?\Z")
+STREET_WORD = re.compile(r"[^\W\d_][\w'-]*+")
+HOUSE_AFTER = re.compile(r"(?:\s++[^\W\d_][\w'-]*+){0,3}?\s++[0-9]{1,5}[a-z]?\b")
 
 
 @functools.lru_cache(1)
@@ -55,6 +57,11 @@ def anchors() -> ahocorasick.Automaton:
     for cue in ACCOUNT_CUES:
         for form in {cue, cue.upper(), cue.title(), cue.capitalize()}:
             found.add_word(form, ("account", len(form)))
+    for a in "0123456789":
+        found.add_word(f".{a}", ("dot", 2))
+        for b in "0123456789":
+            for joint in ("", " ", "-"):
+                found.add_word(f"{a}{joint}{b}", ("digits", 2 + len(joint)))
     for kind, cues in (("before", NUMBER_FIRST), ("after", NUMBER_LAST)):
         for cue in cues:
             found.add_word(cue, (kind, len(cue)))
@@ -84,16 +91,35 @@ def email_at(text: str, at: int, floor: int) -> tuple[int, int] | None:
     return (start, domain.end()) if domain else None
 
 
-def ips(text: str):
-    """Runs of digits joined by single dots, four at a time from the left."""
-    for chain in CHAIN.finditer(text):
-        at, parts = chain.start(), chain[0].split(".")
-        for k in range(0, len(parts) - 3, 4):
-            four = parts[k : k + 4]
-            stop = at + sum(map(len, four)) + 3
-            if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in four):
-                yield at, stop
-            at = stop + 1
+def ips(chain: re.Match):
+    """The addresses in a run of digits joined by single dots, four parts at a time from the left."""
+    at, parts = chain.start(), chain[0].split(".")
+    for k in range(0, len(parts) - 3, 4):
+        four = parts[k : k + 4]
+        stop = at + sum(map(len, four)) + 3
+        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in four):
+            yield at, stop
+        at = stop + 1
+
+
+def house_before(text: str, at: int, floor: int) -> int | None:
+    """Where a house number starts that stands before ``at``, with up to three words between."""
+    found = None
+    for _ in range(4):
+        end = at
+        while end > floor and text[end - 1].isspace():
+            end -= 1
+        if end == at:
+            break
+        start = end
+        while start > floor and not text[start - 1].isspace():
+            start -= 1
+        if m := HOUSE_NUMBER.search(text, start, end):
+            found = m.start()
+        if not STREET_WORD.fullmatch(text, start, end):
+            break
+        at = start
+    return found
 
 
 def spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -101,10 +127,24 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    email_floor = phone_floor = account_floor = address_floor = url_floor = 0
+    email_floor = phone_floor = account_floor = address_floor = url_floor = ip_floor = card_floor = 0
     for last, (what, size) in anchors().iter(text):
         first = last + 1 - size
-        if what == "at":
+        if what == "digits":
+            if first >= card_floor:
+                m = CARD.match(text, first)
+                card_floor = m.end()
+                if m.end() - first >= 16 and 16 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
+                    found["card"].append(m.span())
+        elif what == "dot":
+            if first >= ip_floor:
+                start = first
+                while start > ip_floor and text[start - 1] in DIGITS:
+                    start -= 1
+                if start < first and (m := CHAIN.match(text, start)):
+                    found["ip"] += ips(m)
+                    ip_floor = m.end()
+        elif what == "at":
             if hit := email_at(text, first, email_floor):
                 found["email"].append(hit)
                 email_floor = hit[1]
@@ -131,19 +171,15 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                     account_floor = m.start(1) + len(code)
         elif first >= address_floor:
             after = text[last + 1 : last + 2]
-            if what == "before" and not after.isalnum() and not text[first - 1 : first].isalnum() and (m := HOUSE_BEFORE.search(text, max(address_floor, first - 80), first)):
-                found["address"].append((m.start(1), last + 1))
+            if what == "before" and not after.isalnum() and not text[first - 1 : first].isalnum() and (start := house_before(text, first, address_floor)) is not None:
+                found["address"].append((start, last + 1))
                 address_floor = last + 1
-            elif what == "after" and not after.isalnum() and (m := HOUSE_AFTER.match(text, last + 1, last + 81)):
+            elif what == "after" and not after.isalnum() and (m := HOUSE_AFTER.match(text, last + 1)):
                 start = first
                 while start > address_floor and text[start - 1].isalpha():
                     start -= 1
                 found["address"].append((start, m.end()))
                 address_floor = m.end()
-    found["ip"] = list(ips(text))
-    for m in CARD.finditer(text):
-        if m.end() - m.start() >= 16 and 16 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
-            found["card"].append(m.span())
     return [(k, a, b) for k in KINDS for a, b in found[k]]
 
 
