@@ -51,3 +51,24 @@ def test_damage_is_reported_not_raised(spark):
     assert {r.doc_id for r in rows if r.error} == {2, 3, 4, 5}
     assert sum(r.doc_id == 1 for r in rows) == 10
     assert mk.packet_table(media.limit(0)).count() == 0
+
+
+def test_damage_is_an_error_text_and_never_an_exception(spark):
+    el = lambda ident, body: ident.to_bytes((ident.bit_length() + 7) // 8, "big") + mk.vint(len(body)) + body
+    head = el(mk.EBML, el(mk.DOC_TYPE, b"matroska"))
+    nested = b""
+    for _ in range(3000):
+        nested = el(mk.CLUSTER, nested)
+    cases = [
+        head + el(mk.SEGMENT, el(mk.AUDIO, el(mk.SAMPLING_FREQUENCY, b"\x45\xfa\x00\x00"))),
+        head + el(mk.SEGMENT, el(mk.INFO, el(mk.DURATION, b"\x7f\x80\x00\x00"))),
+        head + el(mk.SEGMENT, nested),
+        head + el(mk.SEGMENT, el(mk.CLUSTER, el(mk.TIMESTAMP, b"\xff" * 8) + el(mk.SIMPLE_BLOCK, b"\x81\x00\x00\x80x"))),
+        head + el(mk.SEGMENT, el(mk.CLUSTER, el(mk.SIMPLE_BLOCK, b"\x08" + b"\xff" * 4 + b"\x00\x00\x80x"))),
+        head + el(mk.SEGMENT, el(mk.CUE_TIME, b"\x01") + el(mk.BLOCK_GROUP, el(mk.REFERENCE_BLOCK, b"\x01"))),
+    ]
+    whole = mk.mux(b"abc" * 64, 192)
+    cases += [whole[:k] for k in range(0, len(whole), 7)] + [whole[:k] + b"\xff" * 9 + whole[k + 9 :] for k in range(0, len(whole), 11)]
+    frame = spark.createDataFrame([(k, bytearray(c)) for k, c in enumerate(cases)], "doc_id long, media binary")
+    found = mk.packet_table(frame).collect()
+    assert {r.doc_id for r in found if r.error} >= {1, 2, 3, 4}

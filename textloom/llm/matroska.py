@@ -10,6 +10,7 @@ named columns are read, so further columns cannot clash.
 
 from __future__ import annotations
 
+import math
 import struct
 from dataclasses import dataclass, field
 
@@ -36,6 +37,8 @@ TOP = {CLUSTER, CUES, INFO, TRACKS, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A4
 NO_LACE, XIPH, FIXED, EBML_LACE = 0, 1, 2, 3
 
 UNIT = 192
+#: Levels of elements; a sound file has six.
+DEEPEST = 64
 RATE = 8000
 
 
@@ -167,22 +170,29 @@ def demux(data: bytes | None) -> Media:
         if ident != EBML:
             raise ValueError("not an EBML file")
         size, at = read_vint(data, at, len(data))
-        walk(data, at + max(0, size), len(data), out, state, 0)
+        walk(data, at + max(0, size), len(data), out, state, 0, 0)
     except (ValueError, struct.error, IndexError) as e:
         out.error = str(e)
     return out
 
 
 def unsigned(data: bytes, at: int, end: int) -> int:
+    if end - at > 8:
+        raise ValueError(f"whole number of {end - at} bytes at byte {at}")
     return int.from_bytes(data[at:end], "big")
 
 
 def floating(data: bytes, at: int, end: int) -> float:
-    return struct.unpack(">d" if end - at == 8 else ">f", data[at:end])[0] if end > at else 0.0
+    value = struct.unpack(">d" if end - at == 8 else ">f", data[at:end])[0] if end > at else 0.0
+    if not math.isfinite(value):
+        raise ValueError(f"no finite number at byte {at}")
+    return value
 
 
-def walk(data: bytes, at: int, end: int, out: Media, state: dict, parent: int) -> int:
+def walk(data: bytes, at: int, end: int, out: Media, state: dict, parent: int, depth: int) -> int:
     """Reads the elements in [at, end); returns where it stopped (before ``end`` only after an unknown size)."""
+    if depth > DEEPEST:
+        raise ValueError(f"elements nested too deep at byte {at}")
     while at < end:
         head = at
         ident, at = read_vint(data, at, end, True)
@@ -204,13 +214,15 @@ def walk(data: bytes, at: int, end: int, out: Media, state: dict, parent: int) -
                 state["cue"] = [0, 0, 0]
             elif ident == BLOCK_GROUP:
                 state["group"], state["reference"] = None, False
-            stop = walk(data, at, stop, out, state, ident)
+            stop = walk(data, at, stop, out, state, ident, depth + 1)
             if ident == TRACK_ENTRY:
-                out.tracks[state["track"]["number"]] = state["track"]
-            elif ident == CUE_POINT:
+                track = state.pop("track", None)
+                if track:
+                    out.tracks[track["number"]] = track
+            elif ident == CUE_POINT and "cue" in state:
                 out.cues.append((state["cue"][0] * state["scale"], state["cue"][1], state["cue"][2] + state["segment"]))
-            elif ident == BLOCK_GROUP and state["group"]:
-                packets(data, *state["group"], out, state, not state["reference"])
+            elif ident == BLOCK_GROUP and state.get("group"):
+                packets(data, *state["group"], out, state, not state.get("reference"))
         elif ident == SIMPLE_BLOCK:
             packets(data, at, stop, out, state, None)
         elif ident == BLOCK:
@@ -223,7 +235,7 @@ def walk(data: bytes, at: int, end: int, out: Media, state: dict, parent: int) -
             state["scale"] = unsigned(data, at, stop)
         elif ident == DURATION:
             out.duration_ns = round(floating(data, at, stop) * state["scale"])
-        elif parent == TRACK_ENTRY or parent == AUDIO:
+        elif parent in (TRACK_ENTRY, AUDIO) and "track" in state:
             track = state["track"]
             if ident == CODEC_ID:
                 track["codec"] = data[at:stop].decode("ascii", "replace")
@@ -244,6 +256,8 @@ def packets(data: bytes, at: int, end: int, out: Media, state: dict, key: bool |
     sizes, at = lace_sizes(data, at + 3, end, how)
     step = out.tracks.get(track, {}).get("frame_ns", 0)
     start = (state["cluster"] + relative) * state["scale"]
+    if track >= 1 << 31 or max(abs(start), abs(start + len(sizes) * step)) >= 1 << 63:
+        raise ValueError(f"track or timestamp out of range before byte {at}")
     for lace, size in enumerate(sizes):
         out.packets.append((track, start + lace * step, bool(flags & 0x80) if key is None else key, at, size, how, lace))
         at += size
@@ -299,6 +313,8 @@ def media_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fr
                 data = mux(padded, frame_bytes)
                 found = demux(data)
                 read = b"".join([data[p[3] : p[3] + p[4]] for p in found.packets])
+                if found.error or read != padded:
+                    raise RuntimeError(f"the file does not read back: {found.error}")
                 sizes.append(len(raw))
                 files.append(data)
                 back.append(read)
