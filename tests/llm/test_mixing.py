@@ -59,6 +59,11 @@ def test_odd_rows_and_columns_of_the_mix(spark):
     assert out.columns == frame.columns
     copies = mixing.with_copies(frame, mixing.word_count(F.col("text")), F.col("source"), [F.col("doc_id"), F.col("text")])
     assert copies.count() == len(rows)
+    clash = frame.withColumns({c: F.lit("mine") for c in ("tl_size", "tl_source", "tl_u", "TL_Row", "tl_rank", "tl_p", "tl_class", "c0", "a.b")})
+    mixed = mixing.mixed(clash)
+    assert mixed.columns == clash.columns and mixed.count() == out.count()
+    assert all(r["tl_size"] == r["TL_Row"] == r["tl_p"] == r["c0"] == r["a.b"] == "mine" for r in mixed.collect())
+    assert mixing.with_copies(clash, F.lit(1).cast("long"), F.col("source"), [F.col("doc_id")]).columns[-4:] == ["tl_size_", "tl_source_size", "tl_target", "tl_copies"]
     assert out.count() == copies.agg(F.sum("tl_copies")).first()[0]
 
 
@@ -80,3 +85,23 @@ def test_unequal_odds_prefer_short_documents(spark):
 def test_empty(spark, rows):
     taken = mixing.with_copies(spark.createDataFrame(rows, SCHEMA), mixing.word_count(F.col("text")), F.col("source"), [F.col("doc_id")])
     assert [r.tl_copies for r in taken.collect()] == [0] * len(rows)
+
+
+def test_selection_is_the_pareto_order(spark):
+    """Within the rows left to the lottery, those that are taken rank before those that are not."""
+    rows = [(k, prose(1 + (k * 31) % 90, k), "en", "a" if k % 3 else "b", 1) for k in range(700)]
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit("pareto"), "doc_id", "text"), 11).cast("double") + 0.5) / float(1 << 53)
+    taken = mixing.with_copies(docs(spark, rows), mixing.word_count(F.col("text")), F.col("source"), [F.col("doc_id"), F.col("text")]).withColumn("u", u).collect()
+    for source in "ab":
+        own = [r for r in taken if r.source == source and r.tl_size]
+        total, target = own[0].tl_source_size, own[0].tl_target
+        whole = int(target / total + 1e-12)
+        rest, lean = target - whole * total, lambda n: 2.0 ** (-((n + 1).bit_length() - 1) / 2)
+        low, high = 0.0, 1e6
+        for _ in range(200):  # the level at which the expected words are the rest
+            c = (low + high) / 2
+            low, high = (c, high) if sum(r.tl_size * min(1, c * lean(r.tl_size)) for r in own) < rest else (low, c)
+        rank = lambda r, p: -1.0 if p >= 1 - 1e-9 else r.u / (1 - r.u) * (1 - p) / p
+        order = sorted(own, key=lambda r: rank(r, min(1, low * lean(r.tl_size))))
+        flags = [r.tl_copies - whole for r in order]
+        assert flags == sorted(flags, reverse=True) and set(flags) <= {0, 1}

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, stored, table
+from textloom.llm.common import WORD, quoted, stored, table, unused
 
 BUCKETS = 1 << 14
 #: A table of sources up to this many rows is broadcast; a larger one is joined by shuffle.
@@ -58,10 +58,21 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     return sources.select("tl_source", "tl_source_size", target.alias("tl_target"))
 
 
+ADDED = ("tl_size", "tl_source_size", "tl_target", "tl_copies")
+
+
 def with_copies(docs: DataFrame, size: Column, source: Column, identity: list[Column], **mix) -> DataFrame:
-    """``docs`` with tl_size, tl_source_size, tl_target and tl_copies (how often the mix takes the row)."""
+    """``docs`` with tl_size, tl_source_size, tl_target and tl_copies (how often the mix takes the row); such a column's
+    name is marked with an underscore where ``docs`` has it."""
+    return copied(docs, size, source, identity, **mix).toDF(*docs.columns, *[unused(c, docs.columns) for c in ADDED])
+
+
+def copied(docs: DataFrame, size: Column, source: Column, identity: list[Column], **mix) -> DataFrame:
+    """``docs`` under the names c0, c1 and so on, which no name of this module's clashes with, and ADDED."""
+    own = [f"c{k}" for k in range(len(docs.columns))]
     u = (F.shiftrightunsigned(F.xxhash64(F.lit("pareto"), *identity), 11).cast("double") + 0.5) / float(1 << 53)
-    rows = stored(docs.withColumns({"tl_size": size, "tl_source": source, "tl_u": u, "tl_row": F.monotonically_increasing_id(), "tl_class": F.floor(F.log2(size + 1)).cast("int")}), "mix")
+    made = {"tl_size": size, "tl_source": source, "tl_u": u, "tl_row": F.monotonically_increasing_id(), "tl_class": F.floor(F.log2(size + 1)).cast("int")}
+    rows = stored(docs.select(*map(quoted, docs.columns), *made.values()).toDF(*own, *made), "mix")
 
     classes = rows.groupBy("tl_source", "tl_class").agg(F.sum("tl_size").alias("tl_words"))
     classes = stored(classes, "classes")
@@ -103,13 +114,14 @@ def with_copies(docs: DataFrame, size: Column, source: Column, identity: list[Co
     full = drawn.join(sided(ends), drawn["tl_source"].eqNullSafe(ends["tl_source"]), "left").drop(ends["tl_source"])
     inside = F.when(F.col("tl_at").isNull(), F.col("tl_rank") < 2).when(F.col("tl_bucket") != F.col("tl_at"), F.col("tl_bucket") < F.col("tl_at")).otherwise(F.coalesce(F.struct("tl_rank", "tl_row") <= F.col("tl_last"), F.lit(False)))
     copies = F.when(F.col("tl_rest") > 0, F.col("tl_whole") + inside.cast("int")).otherwise(F.col("tl_whole"))
-    return full.withColumn("tl_copies", copies).select(*docs.columns, "tl_size", "tl_source_size", "tl_target", "tl_copies")
+    return full.withColumn("tl_copies", copies).select(*own, *ADDED)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    taken = with_copies(docs, word_count(F.col(text_col)), F.col(source_col), [F.col(id_col), F.col(text_col)], **mix)
-    return taken.filter("tl_copies > 0").withColumn("tl_copy", F.explode(F.sequence(F.lit(1), "tl_copies"))).select(*docs.columns)
+    taken = copied(docs, word_count(quoted(text_col)), quoted(source_col), [quoted(id_col), quoted(text_col)], **mix)
+    own = taken.columns[: len(docs.columns)]
+    return taken.filter("tl_copies > 0").withColumn("tl_copy", F.explode(F.sequence(F.lit(1), "tl_copies"))).select(*own).toDF(*docs.columns)
 
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
