@@ -3,6 +3,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import as_sf, docs, odd_rows, prose
 from textloom.llm import components, minhash
 
@@ -95,3 +97,26 @@ def test_deduplicated_rows_keep_their_columns(spark):
     assert left.columns == frame.columns
     want = {r[0] for r in brute([r for r in rows if r[0] is not None]) if r[3]} | {None}
     assert sorted(map(repr, (r.doc_id for r in left.collect()))) == sorted(map(repr, want))
+
+
+def test_deduplicated_keeps_clashing_columns(spark):
+    frame = docs(spark).withColumns({c: F.lit("mine") for c in ("tl_ref", "REF", "ident", "tl_kept", "tl_id")})
+    out = minhash.deduplicated(frame)
+    assert out.columns == frame.columns and all(r["tl_ref"] == r["REF"] == "mine" for r in out.collect())
+    assert out.count() == minhash.deduplicated(docs(spark)).count()
+
+
+def test_links_near_the_threshold_are_found(spark):
+    """Pairs of 0.75 to 0.80: links found against those of brute force."""
+    r, rows = random.Random(11), []
+    for k in range(400):
+        words = [f"v{r.randrange(5000)}" for _ in range(104)]
+        other = list(words)
+        for at in r.sample(range(20, 80), r.choice([2, 2, 3])):
+            other[at] = "zz"
+        rows += [(2 * k, " ".join(words), "en", "a", 1), (2 * k + 1, " ".join(other), "en", "a", 1)]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(100)} for i, t, *_ in rows}
+    want = {2 * k for k in range(400) if 100 * len(sets[2 * k] & sets[2 * k + 1]) >= 75 * len(sets[2 * k] | sets[2 * k + 1])}
+    close = {k for k in want if 100 * len(sets[k] & sets[k + 1]) < 80 * len(sets[k] | sets[k + 1])}
+    got = {x.component_id for x in minhash.near_duplicates(docs(spark, rows)).collect() if x.doc_id != x.component_id}
+    assert len(close) > 20 and got == want

@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import dropped, stored
+from textloom.llm.common import dropped, looked_up, stored
 
 
 def nearest(edges: DataFrame) -> DataFrame:
-    """``edges`` (u, v) with the least neighbour of u, itself included, as m. The minimum is combined before the
-    shuffle, and the join that brings it back may split a hot u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return edges.join(least, F.col("u") == F.col("w")).drop("w")
+    """``edges`` (u, v; a stored table) with the least neighbour of u, itself included, as m. The minimum is combined
+    before its shuffle, and the edges of a hot u are not dealt by u."""
+    return looked_up(edges, edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), ["u"])
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = stored(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
     return nearest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    linked = nearest(down)
+    """``edges`` as ``large_star`` leaves them, each from the larger end."""
+    linked = nearest(edges)
     return linked.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u > v").distinct()
 
 
@@ -38,5 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(mark) == seen:
             return now
         seen, before = tuple(mark), now
-        now = stored(small_star(large_star(now)), "edges")
+        now = stored(small_star(stored(large_star(now), "edges")), "edges")
         dropped(before)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import dropped, released, slices, stored, table
+from textloom.llm.common import dropped, quoted, released, slices, stored, table, unused
 from textloom.llm.components import components
 
 SHINGLE, HASHES, BANDS = 5, 128, 32
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(source.mapInArrow(signed, SIGNED), "signed")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "ref", "n_shingles", "bands", "sketch")).alias("one")
     nameless = F.shiftrightunsigned(F.xxhash64("key"), 3).bitwiseOR(F.lit(NAMELESS))
-    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(one).select("key", F.coalesce("one.doc_id", nameless).alias("node"), "one.ref", "one.n_shingles", "one.bands", "one.sketch")
+    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(one).select("key", F.coalesce("one.doc_id", nameless).alias("node"), F.col("one.doc_id").alias("id"), "one.ref", "one.n_shingles", "one.bands", "one.sketch")
     classes = stored(classes, "classes")
 
     bands = classes.select(F.explode("bands").alias("bucket"), "node")
@@ -236,11 +236,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = bands.join(sizes.hint("shuffle_hash"), "bucket").filter("node <> pivot").select("pivot", F.col("node").alias("member")).distinct()
     stars = stored(stars, "stars")
     ends = stars.select(F.explode(F.array("pivot", "member")).alias("of")).distinct()
-    wanted = stored(classes.join(ends, F.col("node") == F.col("of"), "left_semi").select(F.col("ref").alias("at"), "node", "n_shingles", "bands", "sketch"), "wanted")
-    refs = wanted.select("at", "node")
+    wanted = stored(classes.join(ends, F.col("node") == F.col("of"), "left_semi").select(F.col("ref").alias("at"), "id", "node", "n_shingles", "bands", "sketch"), "wanted")
+    refs = wanted.select("at", "id", "node")
     side = F.broadcast(refs) if wanted.count() <= BROADCAST_ROWS else refs.hint("shuffle_hash")
-    texts = source.select("ref", "text").join(side, F.col("ref") == F.col("at")).select(F.col("node").alias("of"), "text").dropDuplicates(["of"])
-    candidates = stored(wanted.join(texts, F.col("node") == F.col("of")).drop("of", "at"), "candidates")
+    texts = source.join(side, (F.col("ref") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))).select(F.col("node").alias("of"), "text").dropDuplicates(["of"])
+    candidates = stored(wanted.join(texts, F.col("node") == F.col("of")).drop("of", "at", "id"), "candidates")
 
     first = stored(verified(stars, candidates), "links")
     roots = components(first)
@@ -257,13 +257,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, and repeated rows once."""
-    kept = stored(near_duplicates(docs, id_col, text_col).filter("kept").groupBy("ref").agg(F.count("*").alias("times")).select(F.col("ref").alias("tl_kept"), "times"), "kept")
+    """The rows of ``docs`` that stay: one of each group, and repeated rows once. Columns may have any names."""
+    found = near_duplicates(docs, id_col, text_col).filter("kept").groupBy("doc_id", "ref").agg(F.count("*").alias("times"))
+    kept = stored(found, "kept")
     n, most = kept.agg(F.count("*"), F.max("times")).first()
-    refs = kept.select("tl_kept")
+    ref, ident = unused("ref", docs.columns), unused("ident", docs.columns)
+    refs = kept.select(F.col("ref").alias("tl_ref"), F.col("doc_id").alias("tl_id"))
     side = F.broadcast(refs) if n <= BROADCAST_ROWS else refs.hint("shuffle_hash")
-    rows = docs.withColumn("tl_ref", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))).join(side, F.col("tl_ref") == F.col("tl_kept"), "left_semi")
-    return (rows.dropDuplicates(["tl_ref"]) if (most or 1) > 1 else rows).drop("tl_ref")
+    named = docs.select(*map(quoted, docs.columns), quoted(id_col).cast("long").alias(ident), F.xxhash64(quoted(id_col).cast("long"), quoted(text_col)).alias(ref))
+    side = side.toDF(unused("tl_ref", docs.columns), unused("tl_id", docs.columns))
+    rows = named.join(side, (named[ref] == side[side.columns[0]]) & named[ident].eqNullSafe(side[side.columns[1]]), "left_semi")
+    return (rows.dropDuplicates([ref, ident]) if (most or 1) > 1 else rows).select(*map(quoted, docs.columns))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
