@@ -17,7 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     network = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, network).filter(F.col("tl_score") < toxicity.THRESHOLD).drop("tl_score")
+    return toxicity.without_toxic(docs, network)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

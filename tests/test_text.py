@@ -16,22 +16,37 @@ def one(spark, make, *values):
     return frame.select(make(*[F.col(f"c{k}") for k in range(len(values))]).alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(
-    ("head", "want"),
-    [
-        ("Acorn 26 yo (51%, Maker, cask #1) Some prose follows here", ("Acorn 26 yo (51%, Maker, cask #1)", False)),
-        ("PREVIEW Acorn (53.4%, Maker (first) release, 2011) prose", ("Acorn (53.4%, Maker (first) release, 2011)", False)),
-        ("Acorn 21 yo (51.5%, Maker)", ("Acorn 21 yo (51.5%, Maker)", False)),
-        ("A sentence of an essay. Acorn Black (40%, blend, 2012) prose", ("Acorn Black (40%, blend, 2012)", False)),
-        ("Acorn (old one) The rest", ("Acorn (old one)", False)),
-        ("Acorn (old one) 77", ("Acorn (old one)", True)),
-        ("Acorn (51%, never closed", ("Acorn (51%, never closed", True)),
-        ("no label at all", ("no label at all", True)),
-        (None, ("", True)),
-    ],
-)
-def test_titles(head, want):
-    assert T.labelled_title(head) == want
+def nested(r, depth):
+    inner = r.choice(["tin", "lot 4", "blue, late"])
+    return f"({inner} {nested(r, depth - 1)} {inner})" if depth else f"({inner})"
+
+
+def test_titles_of_generated_heads(spark):
+    """A name and its bracket are found whatever is nested in the bracket and whatever prose stands around them."""
+    r, rows = random.Random(31), []
+    for k in range(300):
+        name = " ".join(r.choice(["Lamp", "Kettle", "No7", "Ö-Rail"]) for _ in range(r.randint(1, 3)))
+        bracket = f"({r.choice([' ', ''])}{r.randint(1, 99)}{r.choice(['', '.5', ',25'])}{r.choice(['', ' '])}%, {nested(r, r.randint(0, 4))} end)"
+        want = " ".join(f"{name} {bracket}".split())
+        essay = r.choice(["", "", "One thought. ", "Is it? It is! ", "So… "])
+        after = r.choice(["", " and on (it goes", " (9%) twice", " then)"])
+        rows.append((r.choice(["", "Preview ", "PREVIEW  "]) + essay + f"{name}  {bracket}{after}", want))
+    frame = spark.createDataFrame(rows, "head string, want string")
+    found = frame.select("head", "want", T.title_of(F.col("head")).alias("t")).collect()
+    assert not [(x.head, x.want, x.t) for x in found if x.t.doubtful or x.t.title != x.want]
+
+
+def test_titles_without_a_strength(spark):
+    long = "z" * 230
+    heads = {
+        None: ("", True), "   ": ("", True), "preview": ("preview", True), "plain words": ("plain words", True),
+        "Kettle (red) 'twas late": ("Kettle (red)", False), "Kettle (red)": ("Kettle (red)", True), "Kettle (red) 1999": ("Kettle (red)", True),
+        f"{long} (red) 1": (f"{long} (red) 1", True), f"{long} (red) so": (f"{long} (red)", False),
+        "Kettle (12%, (red)": ("Kettle (12%, (red)", True), "Kettle (12 (red)% x)": ("Kettle (12 (red)", True),
+    }
+    frame = spark.createDataFrame([(h,) for h in heads], "head string")
+    for x in frame.select("head", T.title_of(F.col("head")).alias("t")).collect():
+        assert (x.t.title, x.t.doubtful) == heads[x.head], x.head
 
 
 def test_rebuilt_text(spark):

@@ -100,52 +100,49 @@ def fixpoint_redactor(drops: tuple[str, ...], contexts: tuple[str, ...], value:
     return redact
 
 
-def bracket_end(text: str, at: int) -> int | None:
-    """Where the bracket that opens at ``at`` closes."""
-    depth = 0
-    for m in re.compile(r"[()]").finditer(text, at):
-        depth += 1 if m[0] == "(" else -1
-        if not depth:
-            return m.start()
-    return None
+#: A bracket that opens with a strength, the word that marks an early record, where a label may end.
+STRENGTH, EARLY, LABEL_END = r"\(\s*\d+(?:[.,]\d+)?\s*%", r"(?i)^preview\s+", 220
 
 
-def labelled_title(head: str | None, strength: str = r"\(\s*\d+(?:[.,]\d+)?\s*%") -> tuple[str, bool]:
-    """(title, doubtful) of the prose before a record's body.
+def balanced(text: Column) -> Column:
+    """The length of the bracketed piece that ``text`` opens with, nested brackets included; null if it never closes.
 
-    The title ends at the bracket that opens with a strength; prose before it counts only from its last sentence.
-    Without a strength it ends at the first closing bracket before a word, or is doubtful.
-    """
-    text = re.sub(r"(?i)^preview\s+", "", " ".join((head or "").split()))
-    if not text:
-        return "", True
-    if not (m := re.search(strength, text)):
-        if m := re.search(r"\)\s+['‘’]?[A-Za-z]", text):
-            return text[: m.start() + 1], False
-        end = text.find(")")
-        return (text[: end + 1] if 0 <= end < 220 else text), True
-    end = bracket_end(text, m.start())
-    if end is None:
-        return text, True
-    name = re.split(r"(?<=[.!?…])\s+", text[: m.start()].strip())[-1]
-    return re.sub(r"(?i)^preview\s+", "", f"{name} {text[m.start() : end + 1]}".strip()), False
+    Cut at closing brackets, the piece ends with the first cut by which as many brackets have been opened as closed."""
+    cuts = F.split(text, r"\)")
+    opened = lambda part: F.length(part) - F.length(F.replace(part, F.lit("("), F.lit("")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(None).cast("int").alias("end"))
 
+    def step(state, part):
+        depth, size = state["depth"] + opened(part) - 1, state["size"] + F.length(part) + 1
+        return F.struct(depth.alias("depth"), size.alias("size"), F.coalesce(state["end"], F.when(depth == 0, size)).alias("end"))
 
-def title_of(head: Column) -> Column:
-    """A struct of title and doubtful."""
+    return F.aggregate(F.slice(cuts, F.lit(1), F.size(cuts) - 1), start, step, lambda state: state["end"])
 
-    @F.pandas_udf("title string, doubtful boolean")
-    def run(heads: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([labelled_title(h) for h in heads], columns=["title", "doubtful"])
 
-    return run(head)
+def title_of(head: Column) -> Column:
+    """A struct of title and doubtful, from the prose before a record's body.
+
+    A title is a name and the bracket after it that opens with a strength; the name is the last sentence before it.
+    Prose without a strength is a title up to a closing bracket before a word; failing that it is doubtful, and cut
+    at its first closing bracket if that comes early."""
+    text = F.regexp_replace(squeezed(blank(head)), EARLY, "")
+    at = F.regexp_instr(text, F.lit(STRENGTH))
+    label = F.substring(text, at, F.length(text))
+    end = balanced(label)
+    sentences = F.split(F.trim(F.left(text, at - 1)), r"(?<=[.!?…])\s+")
+    named = F.regexp_replace(F.trim(F.concat_ws(" ", F.element_at(sentences, -1), F.left(label, end))), EARLY, "")
+    before_word, close = F.regexp_instr(text, F.lit(r"\)\s+['‘’]?[A-Za-z]")), F.instr(text, ")")
+    bare = F.when(before_word > 0, F.left(text, before_word)).when(close.between(1, LABEL_END), F.left(text, close)).otherwise(text)
+    title = F.when(at == 0, bare).when(end.isNull(), text).otherwise(named)
+    sure = F.when(at == 0, before_word > 0).otherwise(end.isNotNull())
+    return F.struct(title.alias("title"), (~sure).alias("doubtful"))
 
 
 def rebuilt(text: Column, title: Column, markers: tuple[str, ...]) -> Column:
     """A record's text as its title, the prose that followed it, and its body from the first marker."""
     whole = squeezed(text)
     at = marker_position(whole, markers)
-    head = F.regexp_replace(F.trim(F.substring(whole, F.lit(1), at - 1)), r"(?i)^preview\s+", "")
+    head = F.regexp_replace(F.trim(F.substring(whole, F.lit(1), at - 1)), EARLY, "")
     blurb = F.when(F.startswith(head, title), F.trim(F.substring(head, F.length(title) + 1, F.length(head)))).otherwise("")
     return F.when(at.isNull(), whole).otherwise(squeezed(F.concat_ws(" ", title, blurb, F.substring(whole, at, F.length(whole)))))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import blank, category_pattern, tokens, word_count
@@ -91,3 +91,23 @@ def term_enrichment(df: DataFrame, text: str, anchor: str, k: int = 100) -> Data
     counts = per_row.groupBy("term").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("in"), F.col("n")).otherwise(0)).alias("n_in"), F.count("*").alias("df"), F.avg(F.col("in").cast("double")).alias("anchor_share"))
     top = counts.orderBy(F.desc("n"), "term").limit(k).crossJoin(F.broadcast(sides))
     return top.select("term", "n", "n_in", "df", "anchor_share", ((F.col("n_in") / F.col("rows_in")) / ((F.col("n") - F.col("n_in")) / F.col("rows_out") + 0.001)).alias("enrichment"))
+
+
+def joined_pairs(words: Column, pairs: Column, connectors: tuple[str, ...] = ()) -> Column:
+    """Token lists with listed pairs (an array of ``a b``) joined by underscores, from the left and without overlap; up to
+    two connectors may stand between the words of a pair, and become part of it."""
+    start = F.struct(F.expr("CAST(array() AS array<string>)").alias("done"), F.lit(None).cast("string").alias("last"), F.expr("CAST(array() AS array<string>)").alias("between"))
+    flushed = lambda s: F.concat(s["done"], F.when(s["last"].isNull(), F.array().cast("array<string>")).otherwise(F.array(s["last"])), s["between"])
+    none = F.expr("CAST(array() AS array<string>)")
+
+    def step(s, w):
+        hit = s["last"].isNotNull() & F.array_contains(pairs, F.concat_ws(" ", s["last"], w))
+        bridge = w.isin(*connectors) & s["last"].isNotNull() & (F.size(s["between"]) < 2) if connectors else F.lit(False)
+        phrase = F.array_join(F.concat(F.array(s["last"]), s["between"], F.array(w)), "_")
+        return (
+            F.when(hit, F.struct(F.concat(s["done"], F.array(phrase)).alias("done"), F.lit(None).cast("string").alias("last"), none.alias("between")))
+            .when(bridge, F.struct(s["done"].alias("done"), s["last"].alias("last"), F.concat(s["between"], F.array(w)).alias("between")))
+            .otherwise(F.struct(flushed(s).alias("done"), w.alias("last"), none.alias("between")))
+        )
+
+    return F.aggregate(words, start, step, flushed)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import number_after, squeezed, title_of
 
 
 class Cells(HTMLParser):
@@ -95,19 +96,17 @@ def days(pages: DataFrame, headers: tuple[str, ...]) -> DataFrame:
 
 def records(fragments: DataFrame, markers: tuple[str, ...], mark: str = "", least: int = 80, score: str = r"(\d{1,3})\s*points") -> DataFrame:
     """Records of day fragments: cells that hold all markers; cells with a marked name, or all cells if there are none."""
-    from textloom.functions.text import labelled_title
 
     def make(row):
         cells = parsed(row["fragment"], "td", mark).cells
         good = [c for c in cells if len(c["text"]) >= least and all(re.search(m, c["text"]) for m in markers)]
         chosen = [c for c in good if c["marked"]] or good
-        for text in dict.fromkeys(c["text"] for c in chosen):
-            head = re.split(markers[0], text, maxsplit=1)[0]
-            title, doubtful = labelled_title(head)
-            points = re.search(score, text, re.I)
-            yield row["url"], row["day"], title or text[:200], text, int(points[1]) if points else None, doubtful
+        return ((row["url"], row["day"], text) for text in dict.fromkeys(c["text"] for c in chosen))
 
-    return generated(fragments.select("url", "day", "fragment"), "url string, day string, title string, text string, score int, doubtful boolean", make)
+    found = generated(fragments.select("url", "day", "fragment"), "url string, day string, text string", make)
+    titled = found.withColumn("t", title_of(F.split("text", markers[0], 2)[0]))
+    title = F.when(F.col("t.title") != "", F.col("t.title")).otherwise(F.left("text", F.lit(200)))
+    return titled.select("url", "day", title.alias("title"), "text", number_after(F.col("text"), f"(?i){score}").alias("score"), F.col("t.doubtful").alias("doubtful"))
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -156,3 +155,86 @@ def split_records(texts: DataFrame, ends: str, starts: str, most: int = 6, least
 def link_pattern(html: Column, pattern: str) -> Column:
     """Distinct links that match a pattern, by built-in functions alone."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))))
+
+
+class Containers(HTMLParser):
+    """Anchors with the text of the nearest container around them and the text of the tables that they stand in."""
+
+    def __init__(self, names: tuple[str, ...] = ("li", "p", "td", "div")):
+        super().__init__(convert_charrefs=True)
+        self.names, self.open, self.anchors = names, [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.names or tag == "table":
+            self.open.append((tag, []))
+        elif tag == "a":
+            inside = [parts for name, parts in self.open if name != "table"]
+            self.anchors.append({"href": dict(attrs).get("href") or "", "label": [], "text": inside[-1] if inside else [], "tables": [parts for name, parts in self.open if name == "table"], "open": True})
+
+    def handle_endtag(self, tag):
+        if tag == "a" and self.anchors:
+            self.anchors[-1]["open"] = False
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+
+    def handle_data(self, data):
+        for _, parts in self.open:
+            parts.append(data)
+        if self.anchors and self.anchors[-1]["open"]:
+            self.anchors[-1]["label"].append(data)
+
+
+def index_entries(pages: DataFrame, host: str = "", sidebar: str = "", fragment: str = r"\d{6}") -> DataFrame:
+    """Entries of index pages: links whose fragment is a short date, each (dst, fragment) of a page once, with the link's
+    label and the text of the container around it. Links in a table that holds ``sidebar`` are left out."""
+    aside, dated = re.compile(sidebar, re.I) if sidebar else None, re.compile(fragment)
+
+    def make(row):
+        page = Containers()
+        page.feed(row["html"] or "")
+        page.close()
+        seen = {}
+        for a in page.anchors:
+            dst, mark = urldefrag(urljoin(row["url"] or "", a["href"]))
+            if dated.fullmatch(mark) and host in dst and not (aside and any(aside.search(" ".join(t)) for t in a["tables"])):
+                seen.setdefault((dst, mark), ("".join(a["label"]), " ".join(a["text"])))
+        return ((row["url"], dst, mark, label, text) for (dst, mark), (label, text) in seen.items())
+
+    found = generated(pages.select("url", "html"), "src string, dst string, fragment string, label string, text string", make)
+    return found.withColumns({"label": squeezed(F.col("label")), "text": without_tail(squeezed(F.col("text")), squeezed(F.col("label")))})
+
+
+def without_tail(text: Column, label: Column) -> Column:
+    """``text`` without a link's label at its end, unless that leaves nothing."""
+    rest = F.rtrim(F.left(text, F.length(text) - F.length(label)))
+    return F.when((label != "") & F.endswith(text, label) & (rest != ""), rest).otherwise(text)
+
+
+def next_rows(pages: DataFrame, header: str) -> DataFrame:
+    """For each table row that matches ``header`` the text of the row after it."""
+    heads = re.compile(header)
+
+    def make(row):
+        rows = [c["text"] for c in parsed(row["html"], "tr").cells]
+        return ((row["url"], k, a, b) for k, (a, b) in enumerate(zip(rows, rows[1:])) if heads.search(a))
+
+    return generated(pages.select("url", "html"), "url string, place int, header string, next string", make)
+
+
+def page_jobs(listed: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Pages to read (url, kind), each once: kinds by the first pattern that a link matches, in order of the patterns."""
+    kind = F.coalesce(*[F.when(F.rlike(F.col("url"), F.lit(p)), F.lit(k)) for k, p in kinds.items()])
+    return listed.select("url", kind.alias("kind")).filter("kind IS NOT NULL").distinct()
+
+
+def archive_link(base: Column, href: Column, host: str, word: str = "archive") -> Column:
+    """A link resolved against its page, without fragment, if it is an .html page of the host with the word in its path."""
+    plain = F.regexp_replace(F.trim(href), "#.*$", "")
+    root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+    whole = F.when(plain.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), plain).when(F.startswith(plain, F.lit("//")), F.concat(F.regexp_extract(base, "^([^:]+:)", 1), plain)).when(F.startswith(plain, F.lit("/")), F.concat(root, plain)).otherwise(F.concat(F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/"))), plain))
+    name = F.lower(F.regexp_extract(whole, "^[^:]+://([^/?#]*)", 1))
+    ok = (name == host) & F.endswith(F.lower(whole), F.lit(".html")) & F.contains(F.lower(whole), F.lit(word))
+    return F.when(ok, whole)

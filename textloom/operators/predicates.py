@@ -25,7 +25,7 @@ def all_in(text: Column, groups: Iterable[tuple[str, ...]]) -> Column:
 def any_rule(text: Column, rules: Iterable[tuple[str, ...]]) -> Column:
     """Whether all phrases of some rule are in the text, in any case."""
     low = F.lower(blank(text))
-    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains(low, F.lit(p)) for p in rule]) for rule in rules])
+    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains(low, F.lit(p.lower())) for p in rule]) for rule in rules])
 
 
 def record_like(text: Column, groups: Iterable[tuple[str, ...]], noise: Iterable[tuple[str, ...]] = (), least: int = 80) -> Column:

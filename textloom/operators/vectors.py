@@ -82,6 +82,25 @@ def association_test(targets: DataFrame, attributes: DataFrame, term: str = "ter
     return {"effect": float((s[:k].mean() - s[k:].mean()) / s.std(ddof=1)), "p": (extreme + 1) / (len(picks) + 1), "n_permutations": len(picks)}
 
 
+def shuffle_test(scores: DataFrame, shuffles: int = 10_000, seed: int = 42) -> dict:
+    """The plain variant on (side, s): the difference of means, and the share of shuffles that reach it (extreme / shuffles)."""
+    rows = scores.orderBy("side", "s").collect()  # the terms of one test
+    s, x = np.array([r["s"] for r in rows]), np.array([r["side"] == "X" for r in rows])
+    own, r, extreme = s[x].mean() - s[~x].mean(), np.random.default_rng(seed), 0
+    for _ in range(shuffles):
+        mixed = r.permutation(s)
+        extreme += mixed[x].mean() - mixed[~x].mean() >= own
+    return {"difference": float(own), "p": extreme / shuffles, "n_permutations": shuffles}
+
+
+def primaries_adjusted(tests: DataFrame) -> DataFrame:
+    """Tests (name, role, p) with the primary ones' adjusted p; the others' is null."""
+    from textloom.operators.stats import holm
+
+    main = holm(tests.filter("role = 'primary'"), "p", None, ["name"])
+    return main.unionByName(tests.filter("role <> 'primary'").withColumn("p_holm", F.lit(None).cast("double")))
+
+
 def exact_permutations(scores: DataFrame, by: str | None = None) -> DataFrame:
     """The same test as a query, for up to about 20 targets (side, s): masks of k bits out of n, summed and compared."""
     base = scores.agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("side") == "X", 0).otherwise(1).alias("o"), "s"))).alias("l"), F.count_if(F.col("side") == "X").cast("int").alias("k"), F.count("*").cast("int").alias("n"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from textloom.functions import values as V
 from textloom.operators import html, linkage
 from textloom.operators.governance import errors
 from textloom.sources.tables import shared_folder, table
@@ -20,8 +21,8 @@ def corpus(spark, sf):
 
 
 def index(spark, sf):
-    """Entries for every third record: some with another link, spelling or day."""
-    c = corpus(spark, sf).withColumn("k", F.substring("record", 2, 20).cast("long")).filter("k % 3 = 0")
+    """An entry for every record: some with another link, spelling or day."""
+    c = corpus(spark, sf).withColumn("k", F.substring("record", 2, 20).cast("long"))
     other = F.col("k") % 9 == 0
     return c.select(
         F.concat(F.lit("e"), "k").alias("entry"),
@@ -35,39 +36,60 @@ def index(spark, sf):
 
 
 def linked(spark, sf):
-    return linkage.linked(index(spark, sf), corpus(spark, sf), pool=0)
+    return linkage.linked(index(spark, sf), corpus(spark, sf))
 
 
-C_SQL = """
-c AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y%m') AS link, lower(p_name || ' ' || replace(p_brand, '#', '#') || ' ' || (o_orderkey % 400)) AS name, o_orderkey % 40 + 60 AS score, o_orderdate::DATE AS day
-      FROM orders JOIN part ON (o_orderkey * 7) % 199 = p_partkey),
-i AS (SELECT k AS e, CASE WHEN k % 9 = 0 THEN 'b' ELSE link END AS link, CASE WHEN k % 27 = 0 THEN 'the ' || name ELSE name END AS name, score, day, k % 2 = 0 AS has_snippet FROM c WHERE k % 3 = 0),
+#: The cascade where the corpus is larger than the pool, as it is from sf0.01 on: fuzzy candidates then have equal names,
+#: so their ratio is 1 and several of them make each other doubtful. Smaller corpora are tested by brute force.
+LINKED_CTE = """
+c AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y%m') AS link, lower(p_name || ' ' || p_brand || ' ' || (o_orderkey % 400)) AS name, o_orderkey % 40 + 60 AS score, o_orderdate::DATE AS day,
+             lower('Text of ' || p_name || ' ' || o_orderkey) AS body FROM orders JOIN part ON (o_orderkey * 7) % 199 = p_partkey),
+i AS (SELECT k AS e, CASE WHEN k % 9 = 0 THEN 'b' ELSE link END AS link, CASE WHEN k % 27 = 0 THEN 'the ' || name ELSE name END AS name, score, day, CASE WHEN k % 2 = 0 THEN left(body, 80) ELSE '' END AS lead, k % 5 <> 0 AS named FROM c),
 l AS (SELECT e, c.k, i.name = c.name AS same, count(*) OVER (PARTITION BY e) AS n FROM i JOIN c ON i.link = c.link AND i.day = c.day),
 t1 AS (SELECT e, k FROM (SELECT e, k, n, same, count(*) FILTER (WHERE same) OVER (PARTITION BY e) AS m FROM l) WHERE n = 1 OR (same AND m = 1)),
-n AS (SELECT e, c.k, has_snippet, count(*) OVER (PARTITION BY e) AS n FROM i JOIN c ON i.name = c.name AND i.score = c.score WHERE e NOT IN (SELECT e FROM t1)),
-t2 AS (SELECT e, k FROM n WHERE n = 1)
+n AS (SELECT e, c.k, lead, body, i.day = c.day AS one_day, count(*) OVER (PARTITION BY e) AS n FROM i JOIN c ON i.name = c.name AND i.score = c.score WHERE e NOT IN (SELECT e FROM t1)),
+t2 AS (SELECT e, k FROM n WHERE n = 1),
+s AS (SELECT e, k, count(*) OVER (PARTITION BY e) AS m FROM n WHERE n > 1 AND lead <> '' AND contains(body, lead)),
+t3 AS (SELECT e, k FROM s WHERE m = 1),
+f AS (SELECT e, k, row_number() OVER (PARTITION BY e ORDER BY 'r' || k) AS place FROM n WHERE n > 1 AND e NOT IN (SELECT e FROM t3)),
+a AS (SELECT e, k, 'exact_link' AS method FROM t1 UNION ALL SELECT e, k, 'exact_name_score' FROM t2 UNION ALL SELECT e, k, 'exact_name_score_snippet' FROM t3 UNION ALL SELECT e, k, 'fuzzy_low' FROM f WHERE place = 1),
+m AS (SELECT i.e, a.k, coalesce(method, 'unmatched') AS method FROM i LEFT JOIN a ON a.e = i.e)
 """
+LINKED_SQL = f"WITH {LINKED_CTE} SELECT 'e' || e AS entry, 'r' || k AS record, method, CASE WHEN k IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence FROM m"
 
 
 def exact_links(spark, sf):
     return linked(spark, sf).filter("method IN ('exact_link', 'exact_name_score')").select("entry", "record", "method")
 
 
-EXACT_SQL = f"WITH {C_SQL} SELECT 'e' || e AS entry, 'r' || k AS record, 'exact_link' AS method FROM t1 UNION ALL SELECT 'e' || e, 'r' || k, 'exact_name_score' FROM t2"
+EXACT_SQL = f"WITH {LINKED_CTE} SELECT 'e' || e AS entry, 'r' || k AS record, method FROM m WHERE method IN ('exact_link', 'exact_name_score')"
 
 
 def strict_records(spark, sf):
     return linkage.winners(linked(spark, sf), index(spark, sf), corpus(spark, sf)).groupBy("method", "strict", "expanded").agg(F.count("*").alias("n"))
 
 
+STRICT_SQL = f"""WITH {LINKED_CTE}, w AS (SELECT m.k, m.method, i.named, i.day, row_number() OVER (PARTITION BY m.k ORDER BY i.named DESC, 'e' || m.e) AS place FROM m JOIN i ON i.e = m.e WHERE m.k IS NOT NULL)
+SELECT w.method, coalesce(w.named AND w.method LIKE 'exact%' AND w.day = c.day, false) AS strict, coalesce(w.named AND w.method LIKE 'exact%' AND w.day = c.day, false) AS expanded, count(*) AS n
+FROM c LEFT JOIN w ON w.k = c.k AND w.place = 1 GROUP BY ALL"""
+
+
 def audit(spark, sf):
     return linkage.audited(linked(spark, sf), index(spark, sf), corpus(spark, sf)).groupBy("reasons").agg(F.count("*").alias("n"))
 
 
+AUDIT_SQL = f"""WITH {LINKED_CTE}, r AS (SELECT m.method, i.day <> c.day AS moved, m.k, count(m.k) OVER (PARTITION BY m.k) AS n FROM m JOIN i ON i.e = m.e LEFT JOIN c ON c.k = m.k)
+SELECT reasons, count(*) AS n FROM (SELECT array_to_string(list_filter([CASE WHEN k IS NULL THEN 'unmatched' END, CASE WHEN method LIKE 'fuzzy%' THEN 'fuzzy' END, CASE WHEN moved THEN 'date_differs' END, CASE WHEN n > 1 THEN 'several_entries' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM r) WHERE reasons <> '' GROUP BY reasons"""
+
+
 def day_pages(spark, sf):
+    """A page for each order day; every seventh order's label has no strength, so its title is doubtful."""
+    k = F.col("o_orderkey").cast("string")
     head = F.concat(F.lit('<font color="x">'), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit("</font>"))
-    cell = F.concat(F.lit("<table><tr><td><span class='name'>Lot "), F.col("o_orderkey").cast("string"), F.lit(" (46%, cask)</span> Colour: gold. Nose: fresh and long and fine, with more of it. Mouth: good. Finish: long. 88 points</td></tr></table>"))
-    return table(spark, sf, "orders").filter("o_orderkey < 200").groupBy((F.col("o_orderkey") % 10).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(head, cell))), "").alias("html")).select(F.concat(F.lit("p"), "page").alias("url"), "html")
+    label = F.concat(F.lit("Lot "), k, F.when(F.col("o_orderkey") % 7 == 0, " (cask)").otherwise(" (46%, cask)"))
+    cell = F.concat(F.lit("<table><tr><td><span class='name'>"), label, F.lit("</span> Colour: gold. Nose: fresh and long &amp; fine, with more of it. Mouth: good. Finish: long. "), (F.col("o_orderkey") % 41 + 60).cast("string"), F.lit(" points</td></tr></table>"))
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    return table(spark, sf, "orders").select(F.concat(F.lit("p"), day).alias("url"), head.alias("head"), cell.alias("cell")).groupBy("url", "head").agg(F.array_join(F.array_sort(F.collect_list("cell")), "").alias("cells")).select("url", F.concat("head", "cells").alias("html"))
 
 
 def page_records(spark, sf):
@@ -75,7 +97,46 @@ def page_records(spark, sf):
     return found.select("day", "title", "score", "doubtful")
 
 
-PAGE_SQL = "SELECT o_orderdate::DATE::VARCHAR AS day, 'Lot ' || o_orderkey || ' (46%, cask)' AS title, 88 AS score, false AS doubtful FROM orders WHERE o_orderkey < 200"
+PAGE_SQL = "SELECT o_orderdate::DATE::VARCHAR AS day, 'Lot ' || o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN ' (cask)' ELSE ' (46%, cask)' END AS title, (o_orderkey % 41 + 60)::INT AS score, o_orderkey % 7 = 0 AS doubtful FROM orders"
+
+
+def index_pages(spark, sf):
+    """An index page for each customer: an entry for each order, one of them twice, and a sidebar that repeats them all."""
+    k = F.col("o_orderkey").cast("string")
+    link = F.concat(F.lit("../archive"), F.date_format("o_orderdate", "yyMM"), F.lit("-1.html#"), F.date_format("o_orderdate", "ddMMyy"))
+    anchor = F.concat(F.lit('<a href="'), link, F.lit('">Lot '), k, F.lit("</a>"))
+    item = F.concat(F.lit("<li>A note on <b>lot "), k, F.lit("</b>, "), anchor, F.lit("</li>"))
+    both = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("items"), F.array_join(F.collect_list(anchor), " ").alias("anchors"))
+    page = F.concat(F.lit("<table><tr><td>Latest entries "), "anchors", F.lit("</td></tr></table><ul>"), "items", F.lit("</ul><p>Elsewhere: <a href='x.html'>x</a></p>"))
+    return both.select(F.concat(F.lit("http://a.org/index/c"), "o_custkey", F.lit(".html")).alias("url"), page.alias("html"))
+
+
+def index_entries(spark, sf):
+    found = html.index_entries(index_pages(spark, sf), "a.org", "latest entries")
+    return found.select("src", "dst", "fragment", V.short_date(F.col("fragment")).cast("string").alias("day"), "label", "text")
+
+
+ENTRIES_SQL = """WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate::DATE AS d, row_number() OVER (PARTITION BY o_custkey, o_orderdate::DATE ORDER BY '<li>A note on <b>lot ' || o_orderkey || '</b>') AS place FROM orders)
+SELECT 'http://a.org/index/c' || o_custkey || '.html' AS src, 'http://a.org/archive' || strftime(d, '%y%m') || '-1.html' AS dst, strftime(d, '%d%m%y') AS fragment, d::VARCHAR AS day, 'Lot ' || o_orderkey AS label, 'A note on lot ' || o_orderkey || ' ,' AS text FROM o WHERE place = 1"""
+
+
+def next_rows(spark, sf):
+    """Tables in which a header row stands before each row."""
+    r = table(spark, sf, "supplier")
+    rows = F.concat(F.lit("<tr><td>Head "), F.col("s_suppkey").cast("string"), F.lit("</td></tr><tr><td>"), "s_name", F.lit("</td></tr>"))
+    pages = r.groupBy("s_nationkey").agg(F.concat(F.lit("<table>"), F.array_join(F.array_sort(F.collect_list(rows)), ""), F.lit("</table>")).alias("html")).select(F.col("s_nationkey").cast("string").alias("url"), "html")
+    return html.next_rows(pages, "^Head").select("header", "next")
+
+
+def archive_links(spark, sf):
+    o = table(spark, sf, "orders").withColumn("k", F.col("o_orderkey") % 6)
+    key = F.col("o_orderkey").cast("string")
+    forms = [F.concat(F.lit("archive-"), key, F.lit(".html#010203")), F.concat(F.lit("/x/Archive-"), key, F.lit(".html")), F.concat(F.lit("https://a.org/archive/"), key, F.lit(".html")), F.concat(F.lit("//b.org/archive"), key, F.lit(".html")), F.concat(F.lit("archive-"), key, F.lit(".pdf")), F.concat(F.lit("page"), key, F.lit(".html"))]
+    href = F.coalesce(*[F.when(F.col("k") == n, f) for n, f in enumerate(forms)])
+    return o.select("o_orderkey", html.archive_link(F.lit("https://a.org/dir/index.html"), href, "a.org").alias("link"))
+
+
+ARCHIVE_SQL = "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'https://a.org/dir/archive-' || o_orderkey || '.html' WHEN 1 THEN 'https://a.org/x/Archive-' || o_orderkey || '.html' WHEN 2 THEN 'https://a.org/archive/' || o_orderkey || '.html' END AS link FROM orders"
 
 
 def page_links(spark, sf):
@@ -86,6 +147,13 @@ def navigation(spark, sf):
     return html.split_links(table(spark, sf, "pages"), "<article").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+NAVIGATION_SQL = r"""WITH a AS (SELECT url, html, strpos(html, '<article') AS spot FROM pages),
+s AS (SELECT url, CASE WHEN spot = 0 THEN html ELSE left(html, spot - 1) END AS before, CASE WHEN spot = 0 THEN '' ELSE substr(html, spot) END AS after FROM a),
+h AS (SELECT url, unnest(list_distinct(regexp_extract_all(before, '(?is)<a\b[^>]*?href\s*=\s*["'']?([^"''\s>]+)[^>]*>.*?</a>', 1))) AS href, 'named' AS kind FROM s
+      UNION ALL SELECT url, unnest(list_distinct(regexp_extract_all(after, '(?is)<a\b[^>]*?href\s*=\s*["'']?([^"''\s>]+)[^>]*>.*?</a>', 1))), 'auxiliary' FROM s),
+f AS (SELECT url, href, max(kind) AS kind FROM h GROUP BY url, href) SELECT kind, count(*) AS n FROM f GROUP BY kind"""
+
+
 def ingested(spark, sf):
     """The events as a file stream, each property text once, appended by month; what the sink then holds."""
     base = f"{shared_folder(spark)}/textloom/ingest-{uuid.uuid4().hex}"
@@ -112,13 +180,16 @@ SELECT error, count(*) AS n FROM e GROUP BY error
 """
 
 ALL = {
-    "linked": (linked, None),
+    "linked": (linked, LINKED_SQL),
     "exact_links": (exact_links, EXACT_SQL),
-    "strict_records": (strict_records, None),
-    "link_audit": (audit, None),
+    "strict_records": (strict_records, STRICT_SQL),
+    "link_audit": (audit, AUDIT_SQL),
     "page_records": (page_records, PAGE_SQL),
     "page_links": (page_links, None),
-    "navigation": (navigation, None),
+    "navigation": (navigation, NAVIGATION_SQL),
+    "index_entries": (index_entries, ENTRIES_SQL),
+    "next_rows": (next_rows, "SELECT 'Head ' || s_suppkey AS header, s_name AS next FROM supplier"),
+    "archive_links": (archive_links, ARCHIVE_SQL),
     "ingested": (ingested, "SELECT sha256(trim(regexp_replace(props, '\\s+', ' ', 'g'))) AS record, 1::BIGINT AS n FROM events GROUP BY 1"),
     "worksheet_errors": (worksheet_errors, ERRORS_SQL),
 }

@@ -56,23 +56,23 @@ def tested(spark, sf):
 
 
 def holm(spark, sf):
-    p = table(spark, sf, "part").filter("p_partkey < 60").select("p_brand", "p_partkey", ((F.col("p_partkey") * 37 % 101) / 1000.0).alias("p"))
+    p = table(spark, sf, "part").select("p_brand", "p_partkey", ((F.col("p_partkey") * 37 % 101) / 1000.0).alias("p"))
     return stats.holm(p, "p", ["p_brand"], ["p_partkey"]).select("p_brand", "p_partkey", F.round("p_holm", 6).alias("p_holm"))
 
 
 HOLM_SQL = """
-WITH p AS (SELECT p_brand, p_partkey, (p_partkey * 37 % 101) / 1000.0 AS p FROM part WHERE p_partkey < 60),
+WITH p AS (SELECT p_brand, p_partkey, (p_partkey * 37 % 101) / 1000.0 AS p FROM part),
 s AS (SELECT *, (count(*) OVER (PARTITION BY p_brand) - row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) + 1) * p AS step FROM p)
 SELECT p_brand, p_partkey, round(least(1.0, max(step) OVER (PARTITION BY p_brand ORDER BY p, p_partkey))::DOUBLE, 6) AS p_holm FROM s
 """
 
 
 def mann_whitney(spark, sf):
-    return stats.mann_whitney(table(spark, sf, "documents").filter("n_chars < 20000"), "n_chars", F.col("lang") == "en")
+    return stats.mann_whitney(table(spark, sf, "documents"), "n_chars", F.col("lang") == "en")
 
 
 MANN_SQL = f"""
-WITH d AS (SELECT n_chars, lang = 'en' AS g FROM documents WHERE n_chars < 20000), r AS (SELECT n_chars, g, {AVERAGE_RANK.format(c='n_chars')} AS r FROM d),
+WITH d AS (SELECT n_chars, lang = 'en' AS g FROM documents), r AS (SELECT n_chars, g, {AVERAGE_RANK.format(c='n_chars')} AS r FROM d),
 t AS (SELECT sum(n ** 3 - n) AS t FROM (SELECT count(*)::DOUBLE AS n FROM d GROUP BY n_chars)),
 s AS (SELECT sum(r) FILTER (WHERE g) AS r1, (count(*) FILTER (WHERE g))::DOUBLE AS a, count(*)::DOUBLE AS n FROM r)
 SELECT (r1 - a * (a + 1) / 2)::DOUBLE AS u, round((r1 - a * (a + 1) / 2 - a * (n - a) / 2) / sqrt(a * (n - a) / 12 * (n + 1 - t / (n * (n - 1)))), 6) AS z FROM s, t
@@ -122,12 +122,12 @@ def out_of_fold(spark, sf):
 
 def text_ridge(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("y"))
-    return models.metrics(models.out_of_fold(d, ["doc_id"], "y", models.text_ridge("y", "text", 0.01, 1000), folds=2), "y")
+    return models.metrics(models.out_of_fold(d, ["doc_id"], "y", models.text_ridge("y", "text", models.best_ridge(d, ["doc_id"], "y", "text"))), "y")
 
 
 def bootstrap(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("y"), (F.length("text") * 0.9 + F.col("doc_id") % 500).alias("f"))
-    return stats.bootstrap_r2(d, "y", "f", ["doc_id"], 100)
+    return stats.bootstrap_r2(d, "y", "f", ["doc_id"], 2000)
 
 
 ALL = {

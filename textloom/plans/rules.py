@@ -81,7 +81,7 @@ def ordered_lists(spark, sf):
 
 
 def thin(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 7 = 0")
+    o = table(spark, sf, "orders")
     return P.thin_pages(o.select(F.col("o_custkey").alias("url")), table(spark, sf, "customer").select(F.col("c_custkey").alias("url")))
 
 
@@ -120,7 +120,7 @@ ALL = {
     "best_category": (best, "SELECT o_orderpriority, o_orderstatus, n FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, o_orderstatus) AS k FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2)) WHERE k = 1"),
     "final_terms": (final, FINAL_SQL),
     "ordered_lists": (ordered_lists, "SELECT p_name, CASE WHEN max(p_size) > 45 THEN 0 ELSE 1 END AS list, coalesce(min(p_partkey) FILTER (WHERE p_size > 45), min(p_partkey)) AS at FROM part GROUP BY p_name"),
-    "thin_pages": (thin, "SELECT c_custkey AS url, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 7 = 0 GROUP BY 1 HAVING count(o_orderkey) < 2"),
+    "thin_pages": (thin, "SELECT c_custkey AS url, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(o_orderkey) < 2"),
     "simple_effects": (effects, EFFECTS_SQL),
     "widest_mean": (widest, "SELECT event_type, user_id, round(mean, 6) AS mean FROM (SELECT event_type, user_id, avg(value) AS mean, row_number() OVER (PARTITION BY event_type ORDER BY avg(value) DESC, user_id) AS k FROM events GROUP BY 1, 2) WHERE k = 1"),
     "complete_cases": (complete, "SELECT lang, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality > 0 AND n_chars > 0 GROUP BY lang"),

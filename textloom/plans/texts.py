@@ -110,12 +110,25 @@ def redacted(spark, sf):
     return n.select("p_partkey", redact("note").alias("note"))
 
 
+REDACTED_SQL = f"SELECT p_partkey, trim(regexp_replace(regexp_replace(note, 'size [0-9]+', ''), ' +', ' ', 'g')) || ' Rated , or at 46 %. The score: / after 12 years' AS note FROM ({NOTES_SQL}) n"
+
+
 def titles(spark, sf):
-    heads = F.concat_ws(" ", F.lit("PREVIEW An essay. The"), "p_name", F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit("%, cask (oak) #1) and prose")))
-    return table(spark, sf, "part").select("p_partkey", T.title_of(heads).alias("t")).select("p_partkey", "t.*")
+    """Heads of five shapes: a strength after an essay, a plain label, a label before a number, an open bracket, none."""
+    name, size, k = F.col("p_name"), F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    shapes = [
+        F.concat(F.lit("PREVIEW An essay. The "), name, F.lit(" ("), size, F.lit("%, cask (oak (old)) #1) and (more) prose")),
+        F.concat(name, F.lit("  (old one) The rest (or not)")),
+        F.concat(name, F.lit(" (old one) 77")),
+        F.concat(F.lit("preview "), name, F.lit(" ("), size, F.lit(" %, never (closed)")),
+        name,
+    ]
+    head = F.coalesce(*[F.when(k == n, x) for n, x in enumerate(shapes)])
+    return table(spark, sf, "part").select("p_partkey", T.title_of(head).alias("t")).select("p_partkey", "t.*")
 
 
-TITLES_SQL = "SELECT p_partkey, 'The ' || p_name || ' (' || p_size || '%, cask (oak) #1)' AS title, false AS doubtful FROM part"
+TITLES_SQL = """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'The ' || p_name || ' (' || p_size || '%, cask (oak (old)) #1)' WHEN 3 THEN p_name || ' (' || p_size || ' %, never (closed)'
+  WHEN 4 THEN p_name ELSE p_name || ' (old one)' END AS title, p_partkey % 5 >= 2 AS doubtful FROM part"""
 
 
 def url_keys(spark, sf):
@@ -171,13 +184,15 @@ SELECT term, total AS n, n_in, df, round(anchor_share, 6) AS anchor_share, round
 def concordance(spark, sf):
     terms = spark.createDataFrame([("idiot",), ("license",), ("über",), ("apache",)], "term string")
     used = governance.usage(table(spark, sf, "documents"), "doc_id", "text", terms)
-    return used.select("term", "frequency", F.size("snippets").alias("n_snippets"))
+    return used.select("term", "frequency", F.array_join("snippets", " || ").alias("snippets"))
 
 
 CONCORDANCE_SQL = r"""
-WITH t AS (SELECT unnest(['idiot', 'license', 'über', 'apache']) AS term)
-SELECT term, count(*) AS frequency, 3 AS n_snippets FROM t JOIN documents d
-ON regexp_matches(lower(text), '(^|[^a-z])' || term || '([^a-z]|$)') GROUP BY term
+WITH t AS (SELECT unnest(['idiot', 'license', 'über', 'apache']) AS term),
+h AS (SELECT term, doc_id, lower(text) AS low, length(regexp_extract(lower(text), '(?s)^(|.*?[^a-z])' || term || '([^a-z]|$)', 1)) + 1 AS spot
+      FROM t JOIN documents d ON regexp_matches(lower(text), '(^|[^a-z])' || term || '([^a-z]|$)')),
+s AS (SELECT term, doc_id, trim(regexp_replace(substr(low, greatest(1, spot - 85)::BIGINT, (spot + length(term) + 85 - greatest(1, spot - 85))::BIGINT), '\s+', ' ', 'g')) AS snippet, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS k FROM h)
+SELECT term, count(*) AS frequency, coalesce(max(snippet) FILTER (WHERE k = 1), '') || ' || ' || coalesce(max(snippet) FILTER (WHERE k = 2), '') || ' || ' || coalesce(max(snippet) FILTER (WHERE k = 3), '') AS snippets FROM s GROUP BY term
 """
 
 MARKERS = {"digits": "[0-9]{3}", "mail": "[a-z]@[a-z]", "license": "(?i)licen[sc]e"}
@@ -208,23 +223,50 @@ SELECT count(*) AS n, count(DISTINCT source) AS n_keys, round(avg(n_chars), 3) A
 
 def feature_matrix(spark, sf):
     """Pattern counts, rates and indicators of all scopes; described over the rows."""
-    d = table(spark, sf, "documents").withColumn("head", F.left("text", F.lit(200)))
-    made = features.with_features(d, ["text", "head"], DICTIONARY, ["doc_id"])
+    d = table(spark, sf, "documents").withColumn("plain", F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
+    made = features.with_features(d, ["text", "plain"], DICTIONARY, ["doc_id"])
     return described(made, [c for c in made.columns if c.endswith("_per1k")])
 
 
+def matrix_cell(category: str, terms: list[str], scope: str) -> str:
+    """The count from tokens between characters that are no word characters, as a word boundary has it."""
+    per = f"CASE WHEN n_{scope} > 0 THEN 1000.0 * len(list_filter(t_{scope}, lambda t: t IN ({listed(terms)}))) / n_{scope} END"
+    return f"SELECT '{category}_{scope}_per1k' AS variable, {per} AS x FROM w"
+
+
+MATRIX_SQL = rf"""
+WITH d AS (SELECT lower(text) AS text, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS plain FROM documents),
+w AS (SELECT {", ".join(rf"regexp_extract_all({s}, '[\p{{L}}\p{{N}}\p{{Mn}}_]+') AS t_{s}, len(list_filter(regexp_split_to_array({s}, '\s+'), lambda x: x <> '')) AS n_{s}" for s in ("text", "plain"))} FROM d),
+l AS ({" UNION ALL ".join(matrix_cell(c, t, s) for s in ("text", "plain") for c, t in DICTIONARY.items())})
+SELECT variable, count(x) AS n, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, round(stddev_samp(x), 6) AS sd, min(x) AS min, max(x) AS max FROM l GROUP BY variable
+"""
+
+
 def sentiments(spark, sf):
     score = features.sentiment({"idiot": -2.5, "stupid": -2.0, "worthless": -1.8, "the": 0.1, "lich": 0.4})
     return table(spark, sf, "documents").select("doc_id", score("text").alias("s")).select("doc_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("compound", "pos", "neg", "neu")])
 
 
+SENTIMENT_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_'']+') AS w FROM documents),
+v AS (SELECT doc_id, w, list_transform(w, lambda x: CASE x WHEN 'idiot' THEN -2.5 WHEN 'stupid' THEN -2.0 WHEN 'worthless' THEN -1.8 WHEN 'the' THEN 0.1 WHEN 'lich' THEN 0.4 ELSE 0.0 END::DOUBLE) AS v FROM w),
+b AS (SELECT doc_id, w, v, list_transform(range(1, len(w) + 1), lambda k: CASE WHEN v[k] = 0 THEN 0.0 ELSE
+  (v[k] + sign(v[k]) * CASE WHEN k > 1 THEN CASE w[k - 1] WHEN 'very' THEN 0.3 WHEN 'really' THEN 0.3 WHEN 'extremely' THEN 0.3 WHEN 'slightly' THEN -0.3 ELSE 0.0 END ELSE 0.0 END)
+  * CASE WHEN list_has_any(w[greatest(1, k - 3):k - 1], ['not', 'no', 'never', 'without']) THEN -0.74 ELSE 1 END END::DOUBLE) AS f FROM v),
+t AS (SELECT doc_id, coalesce(list_sum(f), 0) AS s, coalesce(list_sum(list_transform(list_filter(f, lambda x: x > 0), lambda x: x + 1)), 0) AS p,
+  coalesce(list_sum(list_transform(list_filter(f, lambda x: x < 0), lambda x: 1 - x)), 0) AS n, len(list_filter(f, lambda x: x = 0)) AS z FROM b)
+SELECT doc_id, round(s / sqrt(s * s + 15), 6) AS compound, round(p / greatest(p + n + z, CASE WHEN p + n + z = 0 THEN 1 ELSE 0 END), 6) AS pos,
+  round(n / greatest(p + n + z, CASE WHEN p + n + z = 0 THEN 1 ELSE 0 END), 6) AS neg, round(z / greatest(p + n + z, CASE WHEN p + n + z = 0 THEN 1 ELSE 0 END), 6) AS neu FROM t
+"""
+
+
 def lemmas(spark, sf):
-    words = table(spark, sf, "documents").filter("lang = 'en'").select(F.explode(F.array_distinct(T.tokens(F.col("text"), "[a-z]+"))).alias("term")).distinct()
+    words = table(spark, sf, "documents").select(F.explode(F.array_distinct(T.tokens(F.col("text"), "[a-z]+"))).alias("term")).distinct()
     return words.select("term", T.lemma(F.col("term")).alias("lemma"))
 
 
 LEMMAS_SQL = r"""
-WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE lang = 'en')
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents)
 SELECT term, CASE
   WHEN length(term) < 3 THEN term
   WHEN term IN ('men','women','children','feet','teeth','mice','geese','leaves','loaves','knives','lives') THEN
@@ -243,7 +285,7 @@ ALL = {
     "squeezed_keys": (squeezed_keys, SQUEEZED_SQL),
     "sections": (sections, SECTIONS_SQL),
     "aliases": (aliases, ALIASES_SQL),
-    "redacted": (redacted, None),
+    "redacted": (redacted, REDACTED_SQL),
     "titles": (titles, TITLES_SQL),
     "url_keys": (url_keys, URL_SQL),
     "top_tokens": (top_tokens, TOP_TOKENS_SQL),
@@ -252,7 +294,7 @@ ALL = {
     "concordance": (concordance, CONCORDANCE_SQL),
     "marker_counts": (markers, MARKERS_SQL),
     "corpus_summary": (summary, SUMMARY_SQL),
-    "feature_matrix": (feature_matrix, None),
-    "sentiment": (sentiments, None),
+    "feature_matrix": (feature_matrix, MATRIX_SQL),
+    "sentiment": (sentiments, SENTIMENT_SQL),
     "lemmas": (lemmas, LEMMAS_SQL),
 }

@@ -27,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors reach: the cluster's checkpoint folder, or one of our own where none is set."""
+    """The folder that all executors reach: the cluster's checkpoint folder, or one of our own where none is set and all
+    runs on one machine; a cluster without one is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
         path = tempfile.mkdtemp(prefix="textloom-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -106,7 +109,31 @@ def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def write_lines(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Adds to a log of JSON lines."""
+    df.write.mode("append").json(path)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Rewrites a whole table: readers see the old one until the new one is complete, which may be made from the old."""
+    spark = df.sparkSession
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    files = of(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    if files.exists(of(path)):
+        files.rename(of(path), of(old))
+    if not files.rename(of(fresh), of(path)):
+        files.rename(of(old), of(path))
+        raise OSError(f"{path} could not be replaced")
+    files.delete(of(old), True)
+
+
+def cached(links: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with the content that a cache (key, content; the key is the link's SHA-256) holds, and the links, each once,
+    that it lacks."""
+    keyed = links.withColumn("key", F.sha2("url", 256))
+    return keyed.join(cache, "key"), keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
 
 
 def manifest(df: DataFrame) -> DataFrame:
