@@ -72,22 +72,6 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-#: Hot keys that ``looked_up`` broadcasts, at most, and rows from which a key may be hot.
-HOT_KEYS, HOT_ROWS = 200_000, 1_000
-
-
-def looked_up(rows: DataFrame, values: DataFrame, key: list[str]) -> DataFrame:
-    """The inner join of ``rows`` (a stored table; many rows a key) with ``values`` (a row for each key), in which no
-    task gets a hot key: keys of more than one in HOT_KEYS of all rows are fewer than HOT_KEYS, whatever the size, so
-    their values are broadcast and their rows stay where they are. The others are dealt by key."""
-    most = max(HOT_ROWS, rows.count() // HOT_KEYS)
-    hot = stored(rows.groupBy(*key).agg(F.count("*").alias("tl_n")).filter(F.col("tl_n") > most).select(*key), "hot")
-    if hot.isEmpty():
-        return rows.join(values, key)
-    beside = rows.join(F.broadcast(hot), key, "left_anti").join(values, key)
-    return rows.join(F.broadcast(values.join(F.broadcast(hot), key)), key).unionByName(beside)
-
-
 def slices(batches, max_rows: int = 512, max_bytes: int = 4 << 20, size_of: str = "text"):
     """Arrow batches cut so that ``size_of`` holds about ``max_bytes`` in each; one row at least."""
     for batch in batches:
