@@ -7,12 +7,30 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import dropped, stored
 
+#: Tasks that the rows of one key are dealt to, at most.
+SALTS = 64
+
+
+def salted(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with tl_salt, one of SALTS numbers by a hash of ``by``, the column that tells the rows of a key apart."""
+    return rows.withColumn("tl_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str, by: str) -> DataFrame:
+    """The inner join of ``rows`` (many a ``key``) with ``values`` (a row for each). Rows of a key are dealt by salt, and
+    a value is copied only for the salts that its key has, so a hot key is in SALTS tasks and there are never more
+    copies than rows."""
+    dealt = salted(rows, by)
+    salts = dealt.select(key, "tl_salt").distinct()
+    return dealt.join(values.join(salts, key), [key, "tl_salt"]).drop("tl_salt")
+
 
 def nearest(edges: DataFrame) -> DataFrame:
-    """``edges`` (u, v) with the least neighbour of u, itself included, as m. The minimum is combined before the
-    shuffle, and the join that brings it back may split a hot u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return edges.join(least, F.col("u") == F.col("w")).drop("w")
+    """``edges`` (u, v) with the least neighbour of u, itself included, as m. The minimum is taken by salt, then by u,
+    and comes back to the salts that u has, as in ``looked_up``."""
+    dealt = salted(edges, "v")
+    least = dealt.groupBy("u", "tl_salt").agg(F.min("v").alias("m")).groupBy("u").agg(F.least("u", F.min("m")).alias("m"), F.collect_list("tl_salt").alias("salts"))
+    return dealt.join(least.select("u", "m", F.explode("salts").alias("tl_salt")), ["u", "tl_salt"]).select("u", "v", "m")
 
 
 def large_star(edges: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import dropped, quoted, released, slices, stored, table, unused
-from textloom.llm.components import components
+from textloom.llm.components import components, looked_up
 
 SHINGLE, HASHES, BANDS = 5, 128, 32
 #: A link: PARTS * intersection >= OF * union, in hundredths.
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     counts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     texts = classes.select("node", "text", "sketch")
     own = counts.join(texts, F.col("pivot") == F.col("node")).select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("member"), "text", "sketch")
-    split = pairs.join(counts, "pivot").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    split = looked_up(pairs, counts, "pivot", "member").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
     rest = split.join(texts, F.col("member") == F.col("node")).select("pivot", "part", "member", "text", "sketch")
     rows = own.union(rest).repartition(n, "pivot", "part").sortWithinPartitions("pivot", "part", F.col("member").asc_nulls_first())
     return rows.mapInArrow(confirmed, "u long, v long")
@@ -211,8 +211,8 @@ def cross_links(stars: DataFrame, roots: DataFrame, candidates: DataFrame) -> Da
     rows = labelled(candidates, roots).join(clusters, F.col("node") == F.col("in"), "left").withColumn("cluster", F.coalesce("cluster", "node")).drop("in")
     rows = stored(rows, "clustered")
     counts = rows.groupBy("cluster", "root").agg(F.count("*").alias("n_root")).groupBy("cluster").agg(F.sum("n_root").alias("n_all"), F.max(F.struct("n_root", "root")).alias("major"), F.count("*").alias("n_roots"))
-    several = counts.filter("n_roots > 1 AND n_all > 2").select(F.col("cluster").alias("of"), F.col("major.root").alias("major"), F.ceil((F.col("n_all") - F.col("major.n_root")) / MINORS).cast("int").alias("blocks"), F.ceil(F.col("n_all") / STREAM).cast("int").alias("streams"))
-    found = rows.join(several, F.col("cluster") == F.col("of"))
+    several = counts.filter("n_roots > 1 AND n_all > 2").select("cluster", F.col("major.root").alias("major"), F.ceil((F.col("n_all") - F.col("major.n_root")) / MINORS).cast("int").alias("blocks"), F.ceil(F.col("n_all") / STREAM).cast("int").alias("streams"))
+    found = looked_up(rows, several, "cluster", "node")
     deal = lambda many, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(many)).cast("int")
     each = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
     columns = ["node", "root", F.col("n_shingles").alias("n"), "sketch", "bands", "text"]
