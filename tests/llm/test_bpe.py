@@ -51,3 +51,7 @@ def test_empty_and_refused(spark, tmp_path):
     assert bpe.encoded(docs(spark, []), PATH).count() == 0
     with pytest.raises(ValueError, match="white space"):
         bpe.encoded(docs(spark), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_buckets_follow_the_input():
+    assert [bpe.buckets_for(n) for n in (0, 1 << 29, 1 << 30, 1 << 32, 100 << 40)] == [512, 512, 512, 1024, 512 * 320]

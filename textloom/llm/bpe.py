@@ -21,6 +21,7 @@ repeated rows give repeated results; an empty table gives an empty one; other co
 from __future__ import annotations
 
 import json
+import math
 import os
 import zlib
 from pathlib import Path
@@ -34,8 +35,10 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import released, slices, stored, table
 
-#: Text bytes of a block, buckets of words, and documents a row.
+#: Text bytes of a block, least buckets of words, and documents a row.
 BLOCK_BYTES, BUCKETS, ROW_DOCS = 12 << 20, 512, 32
+#: Bytes of input from which there are more buckets, by its square root, as distinct words grow no faster.
+BUCKETS_FROM = 1 << 30
 PACKED = "block long, kind int, bucket int, doc_ids array<long>, lens binary, data binary"
 ENCODED = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
@@ -198,7 +201,12 @@ def plain_table(df: DataFrame) -> bool:
     return all(line.strip(" :+-").split(" ")[0] in ("Project", "Relation") for line in plan.splitlines() if line.strip())
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
+def buckets_for(size: int) -> int:
+    """Buckets for an input of ``size`` bytes, so that the words of one fit a worker."""
+    return BUCKETS * max(1, math.ceil(math.sqrt(size / BUCKETS_FROM)))
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids and the decoded text of every row of ``docs``. The driver reads the tokenizer's file."""
     definition = Path(tokenizer_path).read_text()
     parts = json.loads(definition)
@@ -207,6 +215,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if not plain_table(docs):
         source = stored(source, "bpe")
+    buckets = buckets or buckets_for(int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     source = source.withColumn("part", F.spark_partition_id())
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = source.mapInArrow(split_blocks(block_bytes, buckets, 1), PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
