@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import as_sf, docs, odd_rows
 from textloom.llm import pii
@@ -51,6 +54,32 @@ def test_long_digit_and_at_runs_are_linear():
         pii.spans(t)
 
 
+def test_long_runs_after_cues_are_linear():
+    for cue in pii.ACCOUNT_CUES:
+        for run in (" ", "\t", " \t", ".", ":", "# ", " no", "1 ", "a", "DE89", "DE89 37"):
+            start = time.perf_counter()
+            found = pii.spans(cue + run * (200_000 // len(run)) + "x")
+            assert time.perf_counter() - start < 1, (cue, run)
+            assert not [s for s in found if s[0] == "account"] or run in ("1 ", "DE89 37")
+
+
+def test_identifiers_after_any_gap(monkeypatch):
+    """The same spans as by a pattern that may put blanks in any of its places."""
+    loose = re.compile(r"[ \t]*(?:number|num|no|nr|nummer|numéro|número|is|ist)?[ \t]*[.:#=]{0,2}[ \t]*([A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]{2,4}){3,8}|[0-9](?:[ -]?[0-9]){5,17})(?![A-Za-z0-9])", re.ASCII)
+    r = random.Random(8)
+    texts = [cue + "".join(r.choice([" ", "  ", "\t", ":", ".", "#", "no", "NO93", "number", "is", "ist"]) for _ in range(r.randint(0, 5))) + r.choice(["1234567", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "no93 8601 1117 947"]) for cue in pii.ACCOUNT_CUES for _ in range(200)]
+    got = [pii.spans(t) for t in texts]
+    monkeypatch.setattr(pii, "IDENTIFIER", loose)
+    assert got == [pii.spans(t) for t in texts]
+    assert sum(any(s[0] == "account" for s in g) for g in got) > 200
+
+
+def test_empty_table_and_other_columns(spark, tmp_path):
+    assert pii.op5_pii(spark, as_sf(docs(spark, []), tmp_path / "none")).collect() == []
+    more = docs(spark).withColumns({"spans": F.lit(1), "a.b": F.lit(2), "n_email": F.lit("x")})
+    assert pii.op5_pii(spark, as_sf(more, tmp_path / "more")).orderBy("doc_id").collect() == pii.op5_pii(spark, as_sf(docs(spark), tmp_path / "plain")).orderBy("doc_id").collect()
+
+
 def test_house_numbers_at_any_distance_and_digits_by_brute_force():
     far = "Mr " + "Long" * 60
     assert ("address", 0, len(f"12 {far} Street")) in pii.spans(f"12 {far} Street")

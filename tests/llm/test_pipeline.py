@@ -2,6 +2,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import SCHEMA, as_sf, docs, odd_rows, prose
 from tests.llm.test_toxicity import labelled
 from textloom.llm import pii, toxicity
@@ -44,3 +46,18 @@ def test_run_on_empty_tables(spark, tmp_path, monkeypatch):
     sf = as_sf(spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path, "labels")
     assert cp.run(spark, sf).count() == 0
     assert toxicity.fitted(docs(spark, []), spark.read.parquet(f"{sf}/labels.parquet")) is None
+
+
+def test_all_stages_with_columns_of_any_name(spark, tmp_path):
+    more = {"a.b": F.lit(1), "TL_score": F.lit("x"), "c0": F.lit(2.0), "score": F.lit(None).cast("long"), "ref": F.lit("r")}
+    as_sf(docs(spark).withColumns({k.replace(".", "_dot_"): v for k, v in more.items()}).withColumnRenamed("a_dot_b", "a.b"), tmp_path)
+    sf = as_sf(spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    names = now.columns
+    for k, (name, stage) in enumerate(cp.STAGES[:-1]):
+        out = stage(spark, now, sf)
+        assert out.columns == names
+        out.write.parquet(f"{tmp_path}/any{k}")
+        now = spark.read.parquet(f"{tmp_path}/any{k}")
+        assert now.select(F.col("`a.b`")).distinct().count() == 1
+    assert cp.STAGES[-1][1](spark, now, sf).count() == now.count() > 5

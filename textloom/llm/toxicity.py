@@ -492,14 +492,17 @@ def with_scores(docs: DataFrame, network: Network | None, text_col: str = "text"
 
     def run(it):
         scorer = Scorer(network) if network else None
-        for batch in slices(it, 512, 2 << 20, text_col):
+        for batch in slices(it, 512, 2 << 20, f"c{at}"):
             texts = batch.column(at)
             out = scorer.scores(texts) if scorer else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
         scorer = None
         released()
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    # Python is handed columns by their names, in which a dot would be read as a path.
+    plain = [StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]
+    found = docs.toDF(*(f.name for f in plain)).mapInArrow(run, StructType([*plain, StructField("score", DoubleType())]))
+    return found.toDF(*docs.columns, score_col)
 
 
 def without_toxic(docs: DataFrame, network: Network | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
