@@ -1,5 +1,10 @@
 """A training corpus from ``documents``: toxic texts go, one of each group of near duplicates stays, personal data is
-replaced, sources are mixed to their target weights, and what is left is encoded."""
+replaced, sources are mixed to their target weights, and what is left is encoded.
+
+Defined results: a null text counts as an empty one; texts without words are no near duplicates of anything; repeated
+rows of one id and text stay once after the near duplicates; ties follow the stages' own docstrings; columns of any
+name go through all stages but the last; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, minhash, mixing, pii, toxicity
-from textloom.llm.common import stored, table
+from textloom.llm.common import quoted, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,7 +30,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.withColumn("text", pii.redact(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return docs.withColumn("text", pii.redact(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*map(quoted, docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
