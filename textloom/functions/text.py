@@ -186,12 +186,13 @@ def match_key(name: Column, drop: tuple[str, ...] = ()) -> Column:
 
 
 def url_key(url: Column, loose: bool = False) -> Column:
-    """A link with https for a missing scheme, a lower-case host, and neither query, fragment nor final slash."""
+    """A link with https for a missing scheme, a lower-case host, and neither query, fragment nor final slash; null
+    where there is no host."""
     whole = F.when(url.rlike("(?i)^[a-z][a-z0-9+.-]*://"), url).otherwise(F.concat(F.lit("https://"), F.ltrim(url)))
     scheme = F.lower(F.regexp_extract(whole, r"^([^:]+)://", 1))
     host = F.lower(F.regexp_extract(whole, r"^[^:]+://([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract(whole, r"^[^:]+://[^/?#]*([^?#]*)", 1), "/+$", "")
-    return F.concat(scheme, F.lit("://"), host, F.lower(path) if loose else path)
+    return F.when(F.trim(url) != "", F.when(host != "", F.concat(scheme, F.lit("://"), host, F.lower(path) if loose else path)))
 
 
 def term_pattern(term: str) -> str:

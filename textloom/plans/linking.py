@@ -58,6 +58,30 @@ m AS (SELECT i.e, a.k, coalesce(method, 'unmatched') AS method FROM i LEFT JOIN
 LINKED_SQL = f"WITH {LINKED_CTE} SELECT 'e' || e AS entry, 'r' || k AS record, method, CASE WHEN k IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence FROM m"
 
 
+def spelled_records(spark, sf):
+    """A record for each order, its name 32 letters that no other name resembles."""
+    o = table(spark, sf, "orders")
+    return o.select(F.concat(F.lit("r"), "o_orderkey").alias("record"), F.lit(None).cast("string").alias("link"), F.translate(F.md5(F.col("o_orderkey").cast("string")), "0123456789", "ghijklmnop").alias("name"), (F.col("o_orderkey") % 1009).cast("int").alias("score"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lit("").alias("text"))
+
+
+def spelled_entries(spark, sf):
+    """An entry for each of them; of nine, one has more letters, one fewer and one far fewer, some another day."""
+    r = spelled_records(spark, sf).withColumn("k", F.substring("record", 2, 20).cast("long"))
+    name = F.when(F.col("k") % 9 == 0, F.concat(F.lit("the "), "name")).when(F.col("k") % 9 == 1, F.left("name", F.lit(22))).when(F.col("k") % 9 == 2, F.left("name", F.lit(18))).otherwise(F.col("name"))
+    day = F.when(F.col("k") % 27 == 0, "1970-01-01").otherwise(F.col("day"))
+    return r.select(F.concat(F.lit("e"), "k").alias("entry"), "link", name.alias("name"), "score", day.alias("day"), F.lit("").alias("snippet"), F.lit("named").alias("page_kind"))
+
+
+def similar_links(spark, sf):
+    return linkage.linked(spelled_entries(spark, sf), spelled_records(spark, sf), pool=None)
+
+
+#: With M common characters of S the ratio is 2 M / S: 64 / 68 and 44 / 54 are found, 36 / 50 is below the least ratio.
+SIMILAR_SQL = """SELECT 'e' || o_orderkey AS entry, CASE WHEN o_orderkey % 9 <> 2 THEN 'r' || o_orderkey END AS record,
+CASE o_orderkey % 9 WHEN 0 THEN CASE WHEN o_orderkey % 27 = 0 THEN 'fuzzy_low' ELSE 'fuzzy_high' END WHEN 1 THEN 'fuzzy_low' WHEN 2 THEN 'unmatched' ELSE 'exact_name_score' END AS method,
+CASE o_orderkey % 9 WHEN 0 THEN 0.9412 WHEN 1 THEN 0.8148 WHEN 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence FROM orders"""
+
+
 def exact_links(spark, sf):
     return linked(spark, sf).filter("method IN ('exact_link', 'exact_name_score')").select("entry", "record", "method")
 
@@ -181,6 +205,7 @@ SELECT error, count(*) AS n FROM e GROUP BY error
 
 ALL = {
     "linked": (linked, LINKED_SQL),
+    "similar_links": (similar_links, SIMILAR_SQL),
     "exact_links": (exact_links, EXACT_SQL),
     "strict_records": (strict_records, STRICT_SQL),
     "link_audit": (audit, AUDIT_SQL),
