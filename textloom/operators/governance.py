@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import blank, snippet, term_pattern
 from textloom.functions.values import padded
 from textloom.operators.relational import all_reasons, priority_union, unless_canonical, without
+from textloom.operators.selection import exact_quantiles
 
 WORKSHEET = ("term", "proposed_category", "review_frequency", "status", "decision", "rationale")
 
@@ -34,7 +35,9 @@ def gate(counts: DataFrame, stage: str, scope: str) -> None:
 def summary(df: DataFrame, key: str, score: str, year: str, scopes: list[str]) -> DataFrame:
     """One row: rows, distinct keys, score statistics, years and filled scopes."""
     filled = [F.count_if(F.trim(blank(F.col(s))) != "").alias(f"n_{s}") for s in scopes]
-    return df.agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_keys"), F.round(F.avg(score), 3).alias("score_mean"), F.round(F.percentile(score, F.lit(0.5)), 3).alias("score_median"), F.round(F.stddev_samp(score), 3).alias("score_sd"), F.min(score).alias("score_min"), F.max(score).alias("score_max"), F.min(year).alias("year_min"), F.max(year).alias("year_max"), *filled)
+    sums = df.agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_keys"), F.round(F.avg(score), 3).alias("score_mean"), F.round(F.stddev_samp(score), 3).alias("score_sd"), F.min(score).alias("score_min"), F.max(score).alias("score_max"), F.min(year).alias("year_min"), F.max(year).alias("year_max"), *filled)
+    median = exact_quantiles(df, score, [0.5]).agg(F.round(F.max(F.col("quantiles")[0]), 3).alias("score_median"))
+    return sums.crossJoin(F.broadcast(median))  # a row each
 
 
 def usage(texts: DataFrame, key: str, text: str, terms: DataFrame, snippets: int = 3) -> DataFrame:

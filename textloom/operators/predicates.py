@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import blank, squeezed, stars
 from textloom.operators.relational import first_by, priority_union, without
+from textloom.operators.selection import exact_quantiles
 
 
 def whole_number(text: Column) -> Column:
@@ -46,7 +47,9 @@ def cues(text: Column, ordered: Iterable[tuple[str, str]]) -> Column:
 
 def above_quantile(df: DataFrame, tests: dict[str, float], name: str = "above") -> DataFrame:
     """Whether all columns exceed their own quantile over the whole table (one row, broadcast)."""
-    cuts = df.agg(*[F.percentile(c, F.lit(q)).alias(f"tl_{c}") for c, q in tests.items()])
+    long = df.select([F.col(c).cast("double").alias(c) for c in tests]).unpivot([], list(tests), "variable", "value")
+    found = exact_quantiles(long, "value", tests.values(), ["variable"])
+    cuts = found.agg(*[F.max(F.when(F.col("variable") == c, F.col("quantiles")[k])).alias(f"tl_{c}") for k, c in enumerate(tests)])
     test = reduce(lambda a, b: a & b, [F.col(c) > F.col(f"tl_{c}") for c in tests])
     return df.crossJoin(F.broadcast(cuts)).withColumn(name, F.coalesce(test, F.lit(False))).drop(*[f"tl_{c}" for c in tests])
 

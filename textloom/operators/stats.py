@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.relational import running
+from textloom.operators.selection import exact_quantiles
 
 
 def described(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """A row for each column: n, mean, median, sd (n - 1), min and max, nulls and NaN left out."""
     long = df.select([F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]).unpivot([], columns, "variable", "value")
     r = lambda c: F.round(c, digits)
-    return long.groupBy("variable").agg(F.count("value").alias("n"), r(F.avg("value")).alias("mean"), r(F.percentile("value", F.lit(0.5))).alias("median"), r(F.stddev_samp("value")).alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    sums = long.groupBy("variable").agg(F.count("value").alias("n"), r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    medians = exact_quantiles(long, "value", [0.5], ["variable"]).select("variable", r(F.col("quantiles")[0]).alias("median"))
+    return sums.join(medians, "variable", "left").select("variable", "n", "mean", "median", "sd", "min", "max")
 
 
 def shares(df: DataFrame, column: str, digits: int = 1) -> DataFrame:

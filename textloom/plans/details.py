@@ -9,6 +9,7 @@ from textloom.functions import values as V
 from textloom.operators import features, governance, html, linkage, models, predicates, stats, vectors
 from textloom.operators import relational as R
 from textloom.plans.texts import NOTES_SQL, notes
+from textloom.operators.selection import exact_quantiles
 from textloom.sources.tables import table
 
 MARKERS = ("Nose:", "Lead.")
@@ -111,7 +112,9 @@ LARGEST_SQL = "WITH p AS (SELECT p_partkey, p_size % 5 AS a, p_partkey % 5 AS b,
 
 
 def by_category(spark, sf):
-    p = table(spark, sf, "part").groupBy("p_brand").agg(F.min("p_size").alias("low"), F.percentile("p_size", F.lit(0.5)).alias("median"), F.max("p_size").alias("high"))
+    t = table(spark, sf, "part")
+    medians = exact_quantiles(t, "p_size", [0.5], ["p_brand"]).select("p_brand", F.col("quantiles")[0].alias("median"))
+    p = t.groupBy("p_brand").agg(F.min("p_size").alias("low"), F.max("p_size").alias("high")).join(medians, "p_brand").select("p_brand", "low", "median", "high")
     return R.top_k(p, [F.desc("median"), F.col("p_brand")], 10, rank="place")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import values as V
 from textloom.operators import models, stats
 from textloom.operators.relational import long
+from textloom.operators.selection import exact_quantiles
 from textloom.sources.tables import table
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -21,8 +22,9 @@ DESCRIBED_SQL = " UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS n,
 
 
 def quantiles(spark, sf):
-    q = F.percentile("n_chars", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return table(spark, sf, "documents").groupBy("lang").agg(q.alias("q"), F.round(stats.skew("n_chars"), 6).alias("skew")).select("lang", *[F.round(F.col("q")[k], 6).alias(f"q{k + 1}") for k in range(3)], "skew")
+    d = table(spark, sf, "documents")
+    q = exact_quantiles(d, "n_chars", [0.25, 0.5, 0.75], ["lang"])
+    return d.groupBy("lang").agg(F.round(stats.skew("n_chars"), 6).alias("skew")).join(q, "lang").select("lang", *[F.round(F.col("quantiles")[k], 6).alias(f"q{k + 1}") for k in range(3)], "skew")
 
 
 def correlations(spark, sf):

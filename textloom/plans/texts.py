@@ -8,6 +8,7 @@ from textloom.functions import text as T
 from textloom.functions import values as V
 from textloom.operators import features, governance
 from textloom.operators.stats import described
+from textloom.operators.selection import exact_quantiles
 from textloom.sources.tables import table
 
 #: A small dictionary of our own: function words of the test documents by kind.
@@ -32,7 +33,9 @@ def dictionary_rate_by_group(spark, sf):
     rates = counts.select("lang", *[V.rate(F.col(f"{c}_count"), F.col("n_tokens")).alias(c) for c in DICTIONARY])
     long = rates.unpivot(["lang"], list(DICTIONARY), "category", "per1k")
     r = lambda c: F.round(c, 6)
-    return long.groupBy("lang", "category").agg(F.count("per1k").alias("n"), r(F.avg("per1k")).alias("mean"), r(F.stddev_samp("per1k")).alias("sd"), r(F.percentile("per1k", F.lit(0.5))).alias("median"))
+    sums = long.groupBy("lang", "category").agg(F.count("per1k").alias("n"), r(F.avg("per1k")).alias("mean"), r(F.stddev_samp("per1k")).alias("sd"))
+    medians = exact_quantiles(long, "per1k", [0.5], ["lang", "category"]).select("lang", "category", r(F.col("quantiles")[0]).alias("median"))
+    return sums.join(medians, ["lang", "category"], "left")
 
 
 DICTIONARY_RATE_SQL = f"""
