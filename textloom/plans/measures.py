@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import values as V
-from textloom.operators import models, stats
+from textloom.operators import models, refits, stats
 from textloom.operators.relational import long
 from textloom.operators.selection import exact_quantiles
 from textloom.sources.tables import table
@@ -132,6 +132,38 @@ def bootstrap(spark, sf):
     return stats.bootstrap_r2(d, "y", "f", ["doc_id"], 2000)
 
 
+def scope_fits(spark, sf):
+    """The price by quantity and by discount, each on its own lines and on those that both have."""
+    l = table(spark, sf, "lineitem").select("l_extendedprice", "l_quantity", "l_discount", (F.col("l_orderkey") % 3).alias("n_quantity"), (F.col("l_partkey") % 4).alias("n_discount"))
+    fits = refits.scope_fits(l, "l_extendedprice", {"quantity": ["l_quantity"], "discount": ["l_discount"]}, {"quantity": "n_quantity", "discount": "n_discount"}, ["x"])
+    return fits.select("scope", "sample", "variable", F.round("b", 3).alias("b"), "n", F.round("r2", 6).alias("r2"), F.round("adj_r2", 6).alias("adj_r2"))
+
+
+SCOPE_SQL = " UNION ALL ".join(
+    f"""SELECT '{scope}' AS scope, '{sample}' AS sample, '{variable}' AS variable, round({fit}(l_extendedprice, l_{scope}), 3) AS b, count(*) AS n, round(regr_r2(l_extendedprice, l_{scope}), 6) AS r2,
+round(1 - (1 - regr_r2(l_extendedprice, l_{scope})) * (count(*) - 1) / (count(*) - 2), 6) AS adj_r2 FROM lineitem WHERE {test}"""
+    for scope, own in (("quantity", "l_orderkey % 3 > 0"), ("discount", "l_partkey % 4 > 0"))
+    for sample, test in (("own", own), ("common", "l_orderkey % 3 > 0 AND l_partkey % 4 > 0"))
+    for variable, fit in (("intercept", "regr_intercept"), ("x", "regr_slope"))
+)
+
+
+def scenario_fits(spark, sf):
+    """What the slope of a number becomes if the orders of a priority counted more of it, for each priority."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 50).alias("x"), "o_orderpriority")
+    changes = o.select(F.col("o_orderpriority").alias("scenario"), F.lit("x").alias("variable"), "o_orderkey", (F.col("o_orderkey") % 7).alias("amount"))
+    fits = refits.scenario_fits(o, ["o_orderkey"], "o_totalprice", ["x"], changes)
+    return fits.select("scenario", "variable", *[F.round(c, 3).alias(c) for c in ("base_b", "scenario_b", "delta_b")], "sign_changed")
+
+
+SCENARIO_SQL = """
+WITH o AS (SELECT o_totalprice AS y, o_custkey % 50 AS x, o_orderkey % 7 AS more, o_orderpriority AS p FROM orders),
+b AS (SELECT regr_slope(y, x) AS base FROM o),
+s AS (SELECT k, regr_slope(y, x + CASE WHEN p = k THEN more ELSE 0 END) AS now FROM o, (SELECT DISTINCT p AS k FROM o) GROUP BY k)
+SELECT k AS scenario, 'x' AS variable, round(base, 3) AS base_b, round(now, 3) AS scenario_b, round(now - base, 3) AS delta_b, sign(now) <> sign(base) AS sign_changed FROM s, b
+"""
+
+
 ALL = {
     "described": (described, DESCRIBED_SQL),
     "shares": (lambda s, d: stats.shares(table(s, d, "documents"), "lang"), "SELECT lang, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM documents GROUP BY lang"),
@@ -147,6 +179,8 @@ ALL = {
     "melted": (melted, "SELECT 'quality' AS variable, sum(quality)::BIGINT AS total, count(quality) AS n FROM labels UNION ALL SELECT 'toxic', sum(toxic)::BIGINT, count(toxic) FROM labels"),
     "line_fit": (line_fit, LINE_SQL),
     "robust_fit": (robust_fit, None),
+    "scope_fits": (scope_fits, SCOPE_SQL),
+    "scenario_fits": (scenario_fits, SCENARIO_SQL),
     "out_of_fold": (out_of_fold, None),
     "text_ridge": (text_ridge, None),
     "bootstrap": (bootstrap, None),
