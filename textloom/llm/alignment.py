@@ -36,7 +36,9 @@ from textloom.llm.bpe import packed, unpacked
 from textloom.llm.common import quoted, released, slices, stored, table
 
 #: Text bytes and documents of a block; pieces kept in a task's memory.
-BLOCK_BYTES, BLOCK_DOCS, KEPT = 6 << 20, 4096, 200_000
+BLOCK_BYTES, BLOCK_DOCS, KEPT = 6 << 20, 4096, 300_000
+#: Pieces that are encoded as one text.
+TOGETHER = 64
 #: Buckets of B ids for an input up to BUCKETS_FROM bytes (more by its square root, MOST at most); postings of a cell;
 #: blocks whose counts are summed in a first step.
 BUCKETS, BUCKETS_FROM, MOST, CELL, SUMMED = 64, 8 << 30, 4096, 1 << 20, 256
@@ -84,6 +86,8 @@ class Aligner:
         self.bytes_a = [bytes(values[c] for c in e) if all(c in values for c in e) else e.encode() for e in entries]
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(pieces)]
+        self.lens_a, self.lens_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
+        self.names = [np.array([f"{k}{mark}" for k in range(max(len(entries), len(pieces)))], object) for mark in ",|;"]
         parts = json.loads(definition)
         own = parts["pre_tokenizer"] or {}
         across = any(x != SPACE and y == SPACE for p in pieces for x, y in pairwise(p))
@@ -93,7 +97,8 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.shown, self.sizes, self.pairs = {}, [], [], []
+        self.known, self.shown = {}, []
+        self.sizes, self.links = [np.empty((0, 4), np.int64)], [np.empty(0, np.uint64)]
 
     def pieces(self, text: str) -> list[str]:
         if not self.cuts:
@@ -115,16 +120,49 @@ class Aligner:
         return [*out, " ".join(joined)]
 
     def learn(self, fresh: list[str]) -> None:
-        """Encodes and aligns pieces; each stands after a space."""
-        for k in range(0, len(fresh), 4096):
-            some = fresh[k : k + 4096]
-            encoded = self.a.encode_batch([" " + p for p in some], add_special_tokens=False)
-            for piece, one, two in zip(some, encoded, self.b.encode(some)):
-                self.known[piece] = len(self.shown)
-                shown, sizes, pairs = self.aligned(piece, one.ids, two)
-                self.shown.append(shown)
-                self.sizes.append(sizes)
-                self.pairs.append(pairs)
+        """Encodes and aligns pieces; each stands after a space. Solid ones are encoded as texts of some."""
+        solid = [p for p in fresh if self.cuts and self.solid[p]]
+        rest = [] if len(solid) == len(fresh) else [p for p in fresh if not (self.cuts and self.solid[p])]
+        for k in range(0, len(solid), TOGETHER * 64):
+            some = solid[k : k + TOGETHER * 64]
+            if not self.together(some):
+                rest += some
+        for piece, one, two in zip(rest, self.a.encode_batch_fast([" " + p for p in rest], add_special_tokens=False), self.b.encode(rest)):
+            self.known[piece] = len(self.shown)
+            shown, sizes, pairs = self.aligned(piece, one.ids, two)
+            self.shown.append(shown)
+            self.sizes.append(np.array([sizes], np.int64))
+            self.links.append(np.array(pairs, np.uint64))
+
+    def together(self, some: list[str]) -> bool:
+        """Encodes and aligns solid pieces at once; False, and nothing done, if the bytes of any differ."""
+        texts = [" ".join(some[k : k + TOGETHER]) for k in range(0, len(some), TOGETHER)]
+        one = [i for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False) for i in e.ids]
+        two = [i for ids in self.b.encode(texts) for i in ids]
+        raw = (" " + " ".join(texts)).encode()
+        if b"".join([self.bytes_a[i] for i in one]) != raw or b"".join([self.bytes_b[i] for i in two]) != raw:
+            return False
+        one, two = np.array(one), np.array(two)
+        lens_a, lens_b = self.lens_a[one], self.lens_b[two]
+        ends_a, ends_b = np.cumsum(lens_a), np.cumsum(lens_b)
+        stops = np.cumsum([len(p.encode()) + 1 for p in some])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        if not (lens_a.all() and lens_b.all() and np.isin(stops, both).all()):
+            return False
+        every = np.union1d(ends_a, ends_b)  # a link ends at each
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        parts = np.empty(len(one) + len(two), object)
+        at_a, at_b = np.arange(len(one)) + np.searchsorted(group_b, group_a), np.arange(len(two)) + np.searchsorted(group_a, group_b, "right")
+        parts[at_a] = np.where(both[group_a] == ends_a, self.names[1][one], self.names[0][one])
+        parts[at_b] = np.where(both[group_b] == ends_b, self.names[2][two], self.names[0][two])
+        reach = [np.searchsorted(x, stops, "right") for x in (ends_a, ends_b, both, every)]
+        cuts = (reach[0] + reach[1]).tolist()
+        parts = parts.tolist()
+        self.known.update(zip(some, range(len(self.shown), len(self.shown) + len(some))))
+        self.shown += ["".join(parts[a:b])[:-1] for a, b in zip([0, *cuts], cuts)]
+        self.sizes.append(np.diff(np.stack(reach, axis=1), axis=0, prepend=0))
+        self.links.append(two[np.searchsorted(ends_b, every)].astype(np.uint64) << np.uint64(32) | one[np.searchsorted(ends_a, every)].astype(np.uint64))
+        return True
 
     def aligned(self, piece: str, one: list[int], two: list[int]) -> tuple[str | None, tuple, list[int]]:
         """The groups as text (None if the bytes differ), the numbers of tokens, groups and links, the links' ids."""
@@ -207,7 +245,8 @@ def posted(definition: str, model: bytes, buckets: int):
     """Texts to rows of ROWS: a block's documents (kind 2), and for each bucket its pairs' counts (0) and postings (1)."""
 
     def flush(aligner, block, ids, codes, hashes):
-        sizes = np.array(aligner.sizes, np.int64).reshape(-1, 4)
+        sizes, keys = np.concatenate(aligner.sizes), np.concatenate(aligner.links)
+        aligner.sizes, aligner.links = [sizes], [keys]
         lens = np.array([len(c) for c in codes])
         flat = np.fromiter((c for some in codes for c in some), np.int64, lens.sum())
         docs = np.repeat(np.arange(len(codes)), lens)
@@ -222,9 +261,9 @@ def posted(definition: str, model: bytes, buckets: int):
         starts, times = runs(piece)
         docs, flat = np.divmod(piece[starts], len(sizes))
         used, place = np.unique(flat, return_inverse=True)
-        links = [aligner.pairs[k] for k in used.tolist()]
-        many = np.array(list(map(len, links)), np.int64)
-        every, number = np.unique(np.fromiter((p for some in links for p in some), np.uint64, many.sum()), return_inverse=True)
+        many = sizes[used, 3]
+        stops = np.cumsum(many)
+        every, number = np.unique(keys[np.repeat((np.cumsum(sizes[:, 3]) - sizes[:, 3])[used] - (stops - many), many) + np.arange(stops[-1])], return_inverse=True)
         n = many[place]
         ends = np.cumsum(n)
         at = np.repeat((np.cumsum(many) - many)[place] - (ends - n), n) + np.arange(ends[-1])
