@@ -41,7 +41,7 @@ LARGE = 1 << 23
 #: Fingerprints of a group of anchors, on average, and the least number of groups.
 GROUP, GROUPS = 1 << 16, 256
 #: Fingerprints that are copied together; homes and copies that meet in a cell; cells of a comparison at once.
-BATCH, HOMES, COPIES, AT_ONCE = 1 << 14, 1 << 17, 1 << 21, 1 << 20
+BATCH, HOMES, COPIES, AT_ONCE = 1 << 12, 1 << 17, 1 << 21, 1 << 20
 SIGNED = "doc_id long, at long, fp long"
 COPIED = "anchors int, kind int, n int, place long, number binary, fps binary"
 
@@ -210,6 +210,7 @@ def copied(blocks: int, groups: int):
                     yield from rows(whole[k : k + BATCH])
         if n:
             yield from rows(np.concatenate(held))
+        released()
 
     return run
 
