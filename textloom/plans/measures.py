@@ -8,7 +8,7 @@ from textloom.functions import values as V
 from textloom.operators import models, refits, stats
 from textloom.operators.relational import long
 from textloom.operators.selection import exact_quantiles
-from textloom.sources.tables import table
+from textloom.sources.tables import settled, table
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 GROUPS = {"returned": "l_returnflag = 'R'", "open": "l_linestatus = 'O'"}
@@ -124,7 +124,7 @@ def out_of_fold(spark, sf):
 
 def text_ridge(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("y"))
-    return models.metrics(models.out_of_fold(d, ["doc_id"], "y", models.text_ridge("y", "text", models.best_ridge(d, ["doc_id"], "y", "text"))), "y")
+    return models.metrics(settled(models.nested_ridge(d, ["doc_id"], "y", "text", inner=3)), "y")
 
 
 def bootstrap(spark, sf):
