@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -50,10 +51,16 @@ def test_titles_without_a_strength(spark):
 
 
 def test_rebuilt_text(spark):
-    text = "PREVIEW  Acorn (53.4%, Maker)  intro prose. Colour: gold. Nose: fine."
-    got = one(spark, lambda t, n: T.rebuilt(t, n, ("Colour:", "Color:")), text, "Acorn (53.4%, Maker)")
-    assert got == "Acorn (53.4%, Maker) intro prose. Colour: gold. Nose: fine."
-    assert one(spark, lambda t, n: T.rebuilt(t, n, ("Colour:",)), "no marker here", "x") == "no marker here"
+    """All mixes of an early mark, a title, prose after it (or ahead of it) and a body, with odd blanks between."""
+    r, rows = random.Random(12), []
+    for early, title, ahead, prose, marker, gap in itertools.product(["", "Preview", "PREVIEW"], ["Birch 7", "Elm (61 %, Yard)"], ["", "Once more "], ["", "made late", "seen: twice"], ["Tone:", "Hue:", ""], [" ", " \n  "]):
+        body = f"{marker} pale and {r.randrange(100)}. End: long." if marker else ""
+        text = gap.join(x for x in (early, ahead.strip(), title, prose, body) if x)
+        whole = " ".join(text.split())
+        kept = " ".join(x for x in (title, "" if ahead else prose, body) if x)
+        rows.append((text, title, kept if marker else whole))
+    found = spark.createDataFrame(rows, "t string, n string, want string").withColumn("got", T.rebuilt(F.col("t"), F.col("n"), ("Tone:", "Hue:"))).collect()
+    assert len(found) == 216 and all(x.got == x.want for x in found)
 
 
 def test_markers_prefer_the_first_spelling(spark):
@@ -82,12 +89,13 @@ def test_sections(spark, note, want):
 def test_redaction_reaches_a_fixpoint_and_keeps_strengths(spark):
     redact = T.fixpoint_redactor(DROPS, CONTEXTS, VALUE)
     r = random.Random(3)
-    parts = ["rated 88", "score 90 or 91", "46 %", "12 years", "SIZE:462 - 91 points.", "fine", "92 points", "7"]
+    marked = f"SIZE:{r.randint(100, 999)} - {r.randint(60, 99)} points."
+    parts = ["rated 88", "score 90 or 91", "46 %", "12 years", marked, "fine", "92 points", "7"]
     rows = [(k, " ".join(r.choice(parts) for _ in range(r.randint(0, 8)))) for k in range(60)] + [(99, None)]
     once = spark.createDataFrame(rows, "k int, t string").withColumn("t", redact("t"))
     twice = once.withColumn("u", redact("t")).collect()
     assert all(x.t == x.u for x in twice)
-    assert one(spark, redact, "Rated 88 or 89 now at 46 % after 12 years. SIZE:462 - 91 points.") == "Rated or now at 46 % after 12 years."
+    assert one(spark, redact, f"Rated 88 or 89 now at 46 % after 12 years. {marked}") == "Rated or now at 46 % after 12 years."
 
 
 def test_small_text_functions(spark):

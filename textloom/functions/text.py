@@ -100,8 +100,10 @@ def fixpoint_redactor(drops: tuple[str, ...], contexts: tuple[str, ...], value:
     return redact
 
 
-#: A bracket that opens with a strength, the word that marks an early record, where a label may end.
+#: A bracket that opens with a strength, the word that marks an early record, where a label may end, and
+#: a closing bracket before a word.
 STRENGTH, EARLY, LABEL_END = r"\(\s*\d+(?:[.,]\d+)?\s*%", r"(?i)^preview\s+", 220
+BEFORE_WORD = r"\)\s+['‘’]?[A-Za-z]"
 
 
 def balanced(text: Column) -> Column:
@@ -131,7 +133,7 @@ def title_of(head: Column) -> Column:
     end = balanced(label)
     sentences = F.split(F.trim(F.left(text, at - 1)), r"(?<=[.!?…])\s+")
     named = F.regexp_replace(F.trim(F.concat_ws(" ", F.element_at(sentences, -1), F.left(label, end))), EARLY, "")
-    before_word, close = F.regexp_instr(text, F.lit(r"\)\s+['‘’]?[A-Za-z]")), F.instr(text, ")")
+    before_word, close = F.regexp_instr(text, F.lit(BEFORE_WORD)), F.instr(text, ")")
     bare = F.when(before_word > 0, F.left(text, before_word)).when(close.between(1, LABEL_END), F.left(text, close)).otherwise(text)
     title = F.when(at == 0, bare).when(end.isNull(), text).otherwise(named)
     sure = F.when(at == 0, before_word > 0).otherwise(end.isNotNull())
