@@ -28,7 +28,7 @@ def plain(v):
 
 
 #: Their SQL is for a corpus above the pool; on this one the whole cascade is held against brute force instead.
-SMALL_POOL = {"linked", "exact_links", "strict_records", "link_audit"}
+SMALL_POOL = {"linked", "exact_links", "strict_records", "link_audit", "memberships"}
 
 
 @pytest.mark.parametrize("name", registry.QUERIES)

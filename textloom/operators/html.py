@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
@@ -98,12 +98,18 @@ def records(fragments: DataFrame, markers: tuple[str, ...], mark: str = "", leas
     """Records of day fragments: cells that hold all markers; cells with a marked name, or all cells if there are none."""
 
     def make(row):
-        cells = parsed(row["fragment"], "td", mark).cells
-        good = [c for c in cells if len(c["text"]) >= least and all(re.search(m, c["text"]) for m in markers)]
-        chosen = [c for c in good if c["marked"]] or good
-        return ((row["url"], row["day"], text) for text in dict.fromkeys(c["text"] for c in chosen))
+        return ((row["url"], row["day"], text) for text in record_cells(row["fragment"], markers, mark, least))
 
-    found = generated(fragments.select("url", "day", "fragment"), "url string, day string, text string", make)
+    return titled_records(generated(fragments.select("url", "day", "fragment"), "url string, day string, text string", make), markers, score)
+
+
+def record_cells(fragment: str | None, markers: Iterable[str], mark: str, least: int) -> list[str]:
+    good = [c for c in parsed(fragment, "td", mark).cells if len(c["text"]) >= least and all(re.search(m, c["text"]) for m in markers)]
+    return list(dict.fromkeys(c["text"] for c in [c for c in good if c["marked"]] or good))
+
+
+def titled_records(found: DataFrame, markers: tuple[str, ...], score: str = r"(\d{1,3})\s*points") -> DataFrame:
+    """Texts (url, day, text) with their title, score and whether the title is doubtful."""
     titled = found.withColumn("t", title_of(F.split("text", markers[0], 2)[0]))
     title = F.when(F.col("t.title") != "", F.col("t.title")).otherwise(F.left("text", F.lit(200)))
     return titled.select("url", "day", title.alias("title"), "text", number_after(F.col("text"), f"(?i){score}").alias("score"), F.col("t.doubtful").alias("doubtful"))
@@ -113,14 +119,18 @@ def links(pages: DataFrame) -> DataFrame:
     """Distinct resolved links of pages, without fragments."""
 
     def make(row):
-        seen = {}
-        for link in parsed(row["html"]).links:
-            seen.setdefault(urldefrag(urljoin(row["url"] or "", link["href"]))[0], " ".join("".join(link["parts"]).split()))
-        return ((row["url"], dst, text) for dst, text in seen.items())
+        return ((row["url"], dst, text) for dst, text in labelled_links(row["url"], row["html"]).items())
 
     return generated(pages.select("url", "html"), "src string, dst string, label string", make)
 
 
+def labelled_links(url: str | None, html: str | None) -> dict[str, str]:
+    seen: dict[str, str] = {}
+    for link in parsed(html).links:
+        seen.setdefault(urldefrag(urljoin(url or "", link["href"]))[0], " ".join("".join(link["parts"]).split()))
+    return seen
+
+
 def split_links(pages: DataFrame, marker: str) -> DataFrame:
     """Links before and after a marker of the page, as ``named`` and ``auxiliary``; the first place of a link counts."""
 
@@ -137,21 +147,25 @@ def split_links(pages: DataFrame, marker: str) -> DataFrame:
 def split_records(texts: DataFrame, ends: str, starts: str, most: int = 6, least: int = 80) -> DataFrame:
     """One text of several records as a row for each. A record ends at ``ends``; the next one starts where ``starts``
     matches after it and has an end of its own. Beyond ``most`` splits the rest stays with the last record."""
-    stop, begin = re.compile(ends, re.I), re.compile(starts)
 
     def make(row):
-        text, parts, at = row["text"] or "", [], 0
-        while len(parts) < most and (m := stop.search(text, at)):
-            nxt = begin.search(text, m.end())
-            if not nxt or len(text) - nxt.start() < least or not stop.search(text, nxt.start()):
-                break
-            parts.append(text[at : nxt.start()].strip())
-            at = nxt.start()
-        return ((row["key"], k, p) for k, p in enumerate([*parts, text[at:].strip()]))
+        return ((row["key"], k, p) for k, p in enumerate(record_parts(row["text"], ends, starts, most, least)))
 
     return generated(texts.select(F.col("key").cast("string"), "text"), "key string, part int, text string", make)
 
 
+def record_parts(text: str | None, ends: str, starts: str, most: int, least: int) -> list[str]:
+    stop, begin = re.compile(ends, re.I), re.compile(starts)
+    text, parts, at = text or "", [], 0
+    while len(parts) < most and (m := stop.search(text, at)):
+        nxt = begin.search(text, m.end())
+        if not nxt or len(text) - nxt.start() < least or not stop.search(text, nxt.start()):
+            break
+        parts.append(text[at : nxt.start()].strip())
+        at = nxt.start()
+    return [*parts, text[at:].strip()]
+
+
 def link_pattern(html: Column, pattern: str) -> Column:
     """Distinct links that match a pattern, by built-in functions alone."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))))
@@ -189,20 +203,26 @@ class Containers(HTMLParser):
 def index_entries(pages: DataFrame, host: str = "", sidebar: str = "", fragment: str = r"\d{6}") -> DataFrame:
     """Entries of index pages: links whose fragment is a short date, each (dst, fragment) of a page once, with the link's
     label and the text of the container around it. Links in a table that holds ``sidebar`` are left out."""
-    aside, dated = re.compile(sidebar, re.I) if sidebar else None, re.compile(fragment)
 
     def make(row):
-        page = Containers()
-        page.feed(row["html"] or "")
-        page.close()
-        seen = {}
-        for a in page.anchors:
-            dst, mark = urldefrag(urljoin(row["url"] or "", a["href"]))
-            if dated.fullmatch(mark) and host in dst and not (aside and any(aside.search(" ".join(t)) for t in a["tables"])):
-                seen.setdefault((dst, mark), ("".join(a["label"]), " ".join(a["text"])))
-        return ((row["url"], dst, mark, label, text) for (dst, mark), (label, text) in seen.items())
-
-    found = generated(pages.select("url", "html"), "src string, dst string, fragment string, label string, text string", make)
+        return ((row["url"], *entry) for entry in dated_links(row["url"], row["html"], host, sidebar, fragment))
+
+    return tidy_entries(generated(pages.select("url", "html"), "src string, dst string, fragment string, label string, text string", make))
+
+
+def dated_links(url: str | None, html: str | None, host: str, sidebar: str, fragment: str) -> list[tuple[str, str, str, str]]:
+    aside, dated = re.compile(sidebar, re.I) if sidebar else None, re.compile(fragment)
+    page, seen = Containers(), {}
+    page.feed(html or "")
+    page.close()
+    for a in page.anchors:
+        dst, mark = urldefrag(urljoin(url or "", a["href"]))
+        if dated.fullmatch(mark) and host in dst and not (aside and any(aside.search(" ".join(t)) for t in a["tables"])):
+            seen.setdefault((dst, mark), ("".join(a["label"]), " ".join(a["text"])))
+    return [(*where, *said) for where, said in seen.items()]
+
+
+def tidy_entries(found: DataFrame) -> DataFrame:
     return found.withColumns({"label": squeezed(F.col("label")), "text": without_tail(squeezed(F.col("text")), squeezed(F.col("label")))})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
@@ -108,20 +109,35 @@ def nearest(vectors: DataFrame, anchors: DataFrame, k: int, key: str = "vec_id",
 
 
 def reachable(links: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """All nodes that links (src, dst) lead to from the seeds (node), each with its depth; a frontier at a time."""
-    from textloom.sources.tables import settled
+    """All nodes that links (src, dst) lead to from the seeds (node), each with its depth. Every frontier is written
+    once, as a partition of the nodes seen, so that no level rewrites the ones before it; cycles end where they began."""
+    from textloom.sources.tables import shared_folder
 
-    seen = settled(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    depth = 0
+    spark, kind = seeds.sparkSession, seeds.schema["node"].dataType.simpleString()
+    at, depth, n_seen = f"{shared_folder(spark)}/textloom/reached-{uuid.uuid4().hex}", 0, 0
+    fresh = seeds.select("node").distinct()
     while True:
-        depth += 1
-        edge = seen.filter(F.col("depth") == depth - 1).select(F.col("node").alias("src"))
-        fresh = links.join(edge, "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
-        grown = settled(seen.unionByName(fresh))
-        n = grown.filter(F.col("depth") == depth).count()
-        seen = grown
-        if not n or (most is not None and seen.count() >= most):
+        fresh.write.parquet(f"{at}/depth={depth}")
+        edge = spark.read.schema(f"node {kind}").parquet(f"{at}/depth={depth}")
+        seen = spark.read.schema(f"node {kind}, depth int").parquet(at)
+        n = edge.count()
+        n_seen += n
+        if not n or (most is not None and n_seen >= most):
             return seen if most is None else top_k(seen, [F.col("depth"), F.col("node")], most)
+        fresh = links.join(edge, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        depth += 1
+
+
+def reachable_shallow(links: DataFrame, seeds: DataFrame, levels: int) -> DataFrame:
+    """The same up to a depth, as one recursive query without tables in between: for graphs so shallow that the paths
+    (not only the nodes) of ``levels`` steps are few, as the recursion follows every path."""
+    walked = seeds.sparkSession.sql(
+        """WITH RECURSIVE walked (node, depth) AS (SELECT DISTINCT node, 0 FROM {seeds}
+        UNION ALL SELECT l.dst, w.depth + 1 FROM walked w JOIN {links} l ON l.src = w.node WHERE w.depth < {levels})
+        SELECT node, min(depth) AS depth FROM walked GROUP BY node""",
+        seeds=seeds.select("node"), links=links.select("src", "dst").distinct(), levels=levels,
+    )
+    return walked
 
 
 def running(df: DataFrame, by: str, amount: str, name: str) -> DataFrame:

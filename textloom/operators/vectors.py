@@ -6,7 +6,7 @@ import itertools
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.values import cosine, unit
@@ -111,6 +111,28 @@ def exact_permutations(scores: DataFrame, by: str | None = None) -> DataFrame:
     return masks.agg(F.count("*").alias("n_permutations"), ((F.count_if(part >= own - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
 
 
+def sampled_permutations(scores: DataFrame, replicates: int = 2000, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+    """The test on (term, side, s) by random splits, for any number of targets and, with ``by``, of tests at once.
+
+    A replicate orders a test's terms by the hash of seed, replicate and term, and takes as many as side X has. Terms are
+    told apart by ``term``; a test with an empty side has no rows. p counts the own split, (extreme + 1) / (n + 1)."""
+    by = list(by)
+    tests = scores.groupBy(*by).agg(F.count_if(F.col("side") == "X").alias("tl_k"), F.count("*").alias("tl_n"), F.sum(F.when(F.col("side") == "X", F.col("s"))).alias("tl_own")).filter("tl_k > 0 AND tl_k < tl_n")
+    each = scores.select(*by, "term", "s", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("tl_r"))
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tl_r").cast("string"), F.col("term").cast("string")))
+    placed = each.withColumn("tl_at", F.row_number().over(Window.partitionBy(*by, "tl_r").orderBy(drawn, "term")))
+    sized = placed.join(tests, by) if by else placed.crossJoin(F.broadcast(tests))  # one row
+    parts = sized.filter("tl_at <= tl_k").groupBy(*by, "tl_r").agg(F.sum("s").alias("tl_part"), F.first("tl_own").alias("tl_own"))
+    n = F.count("*")
+    return parts.groupBy(*by).agg(n.alias("n_permutations"), ((F.count_if(F.col("tl_part") >= F.col("tl_own") - 1e-12) + 1) / (n + 1)).alias("p"))
+
+
+def permuted(scores: DataFrame, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """All splits of the targets if there are no more of them than replicates, else random ones."""
+    n, k = scores.agg(F.count("*"), F.count_if(F.col("side") == "X")).first()
+    return exact_permutations(scores) if n <= 20 and math.comb(n, k) <= replicates else sampled_permutations(scores, replicates, seed)
+
+
 def audited(vocabulary: DataFrame, lists: DataFrame, term: str = "term") -> DataFrame:
     """For each list (name, term): how many terms are known, and which are not."""
     known = vocabulary.select(F.col(term).alias("tl_known")).distinct()

@@ -106,6 +106,14 @@ AUDIT_SQL = f"""WITH {LINKED_CTE}, r AS (SELECT m.method, i.day <> c.day AS move
 SELECT reasons, count(*) AS n FROM (SELECT array_to_string(list_filter([CASE WHEN k IS NULL THEN 'unmatched' END, CASE WHEN method LIKE 'fuzzy%' THEN 'fuzzy' END, CASE WHEN moved THEN 'date_differs' END, CASE WHEN n > 1 THEN 'several_entries' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM r) WHERE reasons <> '' GROUP BY reasons"""
 
 
+def memberships(spark, sf):
+    keyed = corpus(spark, sf).withColumn("content_key", F.sha2("record", 256))
+    return linkage.memberships(linked(spark, sf), index(spark, sf), keyed, "content_key", ["page_kind"])
+
+
+MEMBERSHIPS_SQL = f"WITH {LINKED_CTE} SELECT sha256('r' || m.k) AS content_key, 'e' || m.e AS entry, CASE WHEN i.named THEN 'named' ELSE 'auxiliary' END AS page_kind, m.method FROM m JOIN i ON i.e = m.e WHERE m.k IS NOT NULL"
+
+
 def day_pages(spark, sf):
     """A page for each order day; every seventh order's label has no strength, so its title is doubtful."""
     k = F.col("o_orderkey").cast("string")
@@ -209,6 +217,7 @@ ALL = {
     "exact_links": (exact_links, EXACT_SQL),
     "strict_records": (strict_records, STRICT_SQL),
     "link_audit": (audit, AUDIT_SQL),
+    "memberships": (memberships, MEMBERSHIPS_SQL),
     "page_records": (page_records, PAGE_SQL),
     "page_links": (page_links, None),
     "navigation": (navigation, NAVIGATION_SQL),

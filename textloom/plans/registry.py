@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import details, geometry, linking, measures, rules, shapes, stores, texts
+from textloom.plans import details, geometry, laterals, linking, measures, phrasal, rules, shapes, stores, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (texts, shapes, rules, measures, geometry, linking, stores, details):
+for module in (texts, shapes, rules, measures, geometry, linking, stores, details, laterals, phrasal):
     for name, (query, sql) in module.ALL.items():
         QUERIES[name] = query
         if sql:

@@ -126,6 +126,21 @@ SELECT node, min(depth) AS depth FROM r GROUP BY node
 """
 
 
+def tree_reached(spark, sf):
+    """Customers under their nations under their regions, by one recursive query."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    nations = table(spark, sf, "nation").select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"))
+    customers = table(spark, sf, "customer").select(name("n", "c_nationkey").alias("src"), name("c", "c_custkey").alias("dst"))
+    return R.reachable_shallow(nations.unionByName(customers), table(spark, sf, "region").select(name("r", "r_regionkey").alias("node")).filter("node <> 'r0'"), 2)
+
+
+TREE_SQL = """
+SELECT 'r' || r_regionkey AS node, 0 AS depth FROM region WHERE r_regionkey <> 0
+UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation WHERE n_regionkey <> 0 AND n_regionkey IN (SELECT r_regionkey FROM region)
+UNION ALL SELECT 'c' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 0
+"""
+
+
 def candidate_links(spark, sf):
     return tables.candidate_links(spark, "https://example.org/archive%s%s-%d.html", (1999, 2012), ["january", "june"], 3)
 
@@ -160,6 +175,7 @@ ALL = {
     "pivoted": (pivoted, PIVOT_SQL),
     "month_keys": (month_keys, MONTH_SQL),
     "parsed_dates": (parsed_dates, PARSED_SQL),
+    "tree_reached": (tree_reached, TREE_SQL),
     "reached": (reached, REACHED_SQL),
     "candidate_links": (candidate_links, CANDIDATE_SQL),
     "lists": (lists, LISTS_SQL),
