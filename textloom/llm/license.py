@@ -2,7 +2,12 @@
 
 A line, or a run of lines up to a blank one joined (hard-wrapped text), with a cue or a name is described by its word n-grams (one to three words). A sparse logistic
 regression over them gives each licence family a probability, with ``unknown`` as a class of its own; the probabilities are calibrated by a temperature, and what is not likely enough is unknown. A comparison with the
-family's templates (the share of a template's word pairs that the paragraph has) confirms the rest.
+family's templates (the share of a template's word pairs that the paragraph has) confirms the rest, if the paragraph has
+the pairs that tell the template from those of other licences too. A family is refuted, and becomes unknown, where the
+paragraph names another version, a clause that the family lacks, or says that the licence does not apply.
+
+Texts of licences that are no family are unknown. Those in ``FOREIGN`` are fitted; those in ``HELD_OUT`` are not, and
+with held-out variations of all classes they calibrate the temperature and how readily a paragraph is unknown.
 
 The model is fitted on the driver, from the templates below and variations of them, and not from the corpus; it is
 a table of fixed size, joined by broadcast. Equal paragraphs are classified once.
@@ -50,11 +55,38 @@ OTHERS = (
     "The domain of the function is the set of real numbers.", "The house of commons debated the bill.", "An apache helicopter landed on the field.", "The copyright lawyer spoke about civil rights and voting rights.", "The licensed electrician came with a warranty for the work.",
     "The domain name was registered last year.", "The liquor license of the bar expired.", "Wealth was redistributed by the new tax.", "The licensing committee meets on Monday.", "The mozilla foundation held a conference.", "Copyright law is taught in the second year.",
 )
+#: Licences that are no family: they are fitted as unknown.
+FOREIGN = (
+    "Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 1.0.", "SPDX-License-Identifier: EPL-2.0", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Released under the GNU GPL v2", "This program is licensed under the GNU General Public License, version 2.",
+    "Released under the GNU LGPL v2.1", "Licensed under the Apache License, Version 1.1.", "Licensed under the BSD 2-Clause License.", "Licensed under the Mozilla Public License 1.1", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-SA 3.0.", "Licensed under CC BY-NC-SA 4.0.",
+    "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the Artistic License 2.0", "Released under the zlib license",
+)
+#: Licences that are no family and are never fitted: they calibrate.
+HELD_OUT = (
+    "Licensed under the Common Development and Distribution License 1.0.", "Released under the Boost Software License, Version 1.0.", "Licensed under the European Union Public Licence, version 1.2.", "Released under the WTFPL", "SPDX-License-Identifier: BSL-1.0", "Licensed under the Microsoft Public License.", "Common Public License 1.0",
+    "Released under the Open Software License v3", "This work is licensed under the Open Data Commons Open Database License.", "Licensed under the PostgreSQL License", "SPDX-License-Identifier: CDDL-1.0", "Released under the Educational Community License, Version 2.0", "Licensed under the SIL Open Font License, Version 1.1.",
+)
+#: The names of families that have versions, and their own version; clauses that a family lacks.
+VERSIONS = {
+    "GPL-3.0": (r"gpl|general public licen[cs]e", "3"), "LGPL-3.0": (r"lgpl|(?:lesser|library) general public licen[cs]e", "3"), "AGPL-3.0": (r"agpl|affero general public licen[cs]e", "3"),
+    "Apache-2.0": (r"apache(?: software)?", "2"), "MPL-2.0": (r"mpl|mozilla public licen[cs]e", "2"), "BSD-3-Clause": ("bsd", "3"),
+} | {f: (r"cc(?: by)?(?: nc| sa| nd)*|attribution(?: non ?commercial| share ?alike| no ?derivatives)*|creative commons", "4") for f in ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")}
+#: Families whose own text doesn't name them; the others above are refuted where their name is missing.
+NAMELESS = ("BSD-3-Clause",)
+NC, SA, ND = r"by(?: sa| nd)* nc\b|\bnon ?commercial", r"by(?: nc)* sa\b|\bshare ?alike", r"by(?: nc)* nd\b|\bno ?deriv"
+CLAUSES = {
+    "GPL-3.0": r"(?:lesser|library|affero) general public|[la]gpl", "BSD-3-Clause": r"(?:[0124]|zero|one|two|four) clause|simplified bsd|original bsd",
+    "CC-BY-4.0": f"{NC}|{SA}|{ND}", "CC-BY-SA-4.0": f"{NC}|{ND}", "CC-BY-NC-4.0": f"{SA}|{ND}",
+}
+#: Words that say of any licence that it does not apply.
+DENIED = r"\b(?:not|never|no longer|neither)(?: \w+){0,2} (?:licen[cs]ed|released|distributed|available|covered|offered|provided|published|subject|dedicated|in)(?: \w+)? (?:under|to|by|into|public)\b"
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
 NOISE = tuple("the of and a to in is it for on with as by at from this that are was be or an we our all not code file see text more here project library".split())
 #: A family needs this probability, and a template this share of its word pairs, to be named and confirmed.
 LIKELY, CONFIRMED = 0.5, 0.6
+#: Of the pairs that only one family has, a confirmed paragraph has at least this share.
+TELLING = 0.5
 SAMPLES, ROUNDS, GRAMS = 60, 200, 3
 
 
@@ -72,12 +104,12 @@ def pairs_of(words: list[str]) -> set[str]:
 
 @functools.lru_cache(1)
 def fitted() -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-    """Weights of n-grams by class, intercepts, and the temperature that calibrates them."""
+    """Weights of n-grams by class, intercepts (the unknown class's is calibrated), and the temperature that calibrates them."""
     r = np.random.default_rng(9)
     texts, marks = [], []
     for k, family in enumerate(FAMILIES):
-        sources = TEMPLATES.get(family, OTHERS)
-        for j in range(SAMPLES * (2 if family == UNKNOWN else 1)):
+        sources = TEMPLATES.get(family, (*OTHERS, *FOREIGN))
+        for j in range(SAMPLES * (4 if family == UNKNOWN else 1)):
             words = words_of(sources[j % len(sources)])
             if j >= len(sources):  # the first are as they stand
                 words = [w for w in words if r.random() > 0.08 * (family != UNKNOWN)]
@@ -86,12 +118,17 @@ def fitted() -> tuple[dict[str, np.ndarray], np.ndarray, float]:
                     words = [str(w) for w in r.permutation(words)]
             texts.append(grams_of([str(w) for w in words]))
             marks.append(k)
-    vocabulary = {g: n for n, g in enumerate(sorted(set().union(*texts)))}
+    fit = r.random(len(texts)) < 0.75
+    for j in range(SAMPLES):
+        words = [*r.choice(NOISE, r.integers(0, 8)), *words_of(HELD_OUT[j % len(HELD_OUT)]), *r.choice(NOISE, r.integers(0, 8))]
+        texts.append(grams_of([str(w) for w in words]))
+        marks.append(FAMILIES.index(UNKNOWN))
+    fit = np.append(fit, np.zeros(SAMPLES, bool))
+    vocabulary = {g: n for n, g in enumerate(sorted(set().union(*(t for t, own in zip(texts, fit) if own))))}
     x = np.zeros((len(texts), len(vocabulary)))
     for row, grams in enumerate(texts):
-        x[row, [vocabulary[g] for g in grams]] = 1
+        x[row, [vocabulary[g] for g in grams if g in vocabulary]] = 1
     y = np.eye(len(FAMILIES))[marks]
-    fit = r.random(len(texts)) < 0.75
     w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
     momentum = np.zeros_like(w)
     for _ in range(ROUNDS):
@@ -100,9 +137,19 @@ def fitted() -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         w = w - 0.5 * momentum
         w = np.sign(w) * np.maximum(0, np.abs(w) - 0.5 * 2e-4)  # keeps the model sparse
         b = b - 0.5 * (p - y[fit]).mean(0)
-    z = x[~fit] @ w + b
-    losses = {float(t): -np.log(softmax(t * z)[y[~fit] == 1] + 1e-12).mean() for t in np.geomspace(0.25, 4, 33)}
-    return {g: w[n] for g, n in vocabulary.items() if np.abs(w[n]).max() > 1e-9}, b, min(losses, key=losses.get)
+    z, unknown = x[~fit] @ w + b, np.eye(len(FAMILIES))[FAMILIES.index(UNKNOWN)]
+    losses = {(float(t), float(shift)): -np.log(softmax(t * (z + shift * unknown))[y[~fit] == 1] + 1e-12).mean() for t in np.geomspace(0.25, 4, 33) for shift in np.linspace(-2, 4, 25)}
+    temperature, shift = min(losses, key=losses.get)
+    return {g: w[n] for g, n in vocabulary.items() if np.abs(w[n]).max() > 1e-9}, b + shift * unknown, temperature
+
+
+def refutation(family: str) -> str:
+    """A pattern over a plain paragraph that rules the family out."""
+    name, own = VERSIONS.get(family, (None, None))
+    filler = r"(?: (?:the|public|software|international|unported|licen[cs]e|version|ver|v)){0,4} ?v?"
+    other = [rf"\b(?:{name}){filler}(?!{own}(?:\.0)*(?![.\d]))\d{{1,2}}(?:\.\d+)*(?!\d)"] if name else []
+    nameless = [rf"^(?!.*\b(?:{name})\b)"] if name and family not in NAMELESS else []
+    return "|".join([*nameless, *other, *([rf"\b(?:{CLAUSES[family]})"] if family in CLAUSES else []), DENIED])
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -140,7 +187,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     weights, intercepts, temperature = fitted()
     model = F.broadcast(spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, weight array<double>"))
-    templates = F.broadcast(spark.createDataFrame([(f, sorted(pairs_of(words_of(t)))) for f, ts in TEMPLATES.items() for t in ts], "named string, pairs array<string>"))
+    pairs = {f: [pairs_of(words_of(t)) for t in ts] for f, ts in TEMPLATES.items()}
+    foreign = set().union(*(pairs_of(words_of(t)) for t in (*FOREIGN, *OTHERS)))
+    others = {f: foreign.union(*(p for g, ps in pairs.items() if g != f for p in ps)) for f in pairs}
+    templates = F.broadcast(spark.createDataFrame([(f, sorted(p), sorted(p - others[f])) for f, ps in pairs.items() for p in ps], "named string, pairs array<string>, telling array<string>"))
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(has_cue(F.col("text"))).select("doc_id", F.split("text", "\n").alias("lines"))
     single = F.transform("lines", lambda x, k: F.struct(k.alias("paragraph"), F.array(x).alias("lines")))
@@ -160,10 +210,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     judged = judged.select("a", "b", likely.alias("family"), F.round("probability", 6).alias("probability"))
 
     own = F.when(F.size("words") < 2, F.array(F.array_join("words", " "))).otherwise(n_grams(F.col("words"), 2))
-    compared = different.select("a", "b", own.alias("own")).join(judged, ["a", "b"]).join(templates, F.col("family") == F.col("named"), "left")
+    plain = F.array_join("words", " ")
+    refuted = functools.reduce(lambda c, f: c.when(F.col("family") == f, F.rlike(plain, F.lit(refutation(f)))), TEMPLATES, F.when(F.col("family") == UNKNOWN, F.lit(False)))
+    named = different.join(judged, ["a", "b"]).select("a", "b", own.alias("own"), F.when(refuted, UNKNOWN).otherwise(F.col("family")).alias("family"), "probability")
+    compared = named.join(templates, F.col("family") == F.col("named"), "left")
     share = F.size(F.array_intersect("pairs", "own")) / F.size("pairs")
-    found = compared.groupBy("a", "b", "family", "probability").agg(F.round(F.max(share), 6).alias("similarity"))
-    found = found.withColumn("confirmed", F.coalesce(F.col("similarity") >= CONFIRMED, F.lit(False)))
+    told_apart = F.size(F.array_intersect("telling", "own")) >= TELLING * F.size("telling")
+    found = compared.groupBy("a", "b", "family", "probability").agg(F.round(F.max(share), 6).alias("similarity"), F.bool_or((F.round(share, 6) >= CONFIRMED) & told_apart).alias("confirmed"))
+    found = found.withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
 
     # Runs that say no more than one of their lines; a line (a run of one) is listed in any case.
     runs = hits.filter(F.size("lines") > 1).groupBy("c", "d").agg(F.first("lines").alias("lines"), F.first("a").alias("a"), F.first("b").alias("b"))
