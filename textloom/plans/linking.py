@@ -196,6 +196,15 @@ def ingested(spark, sf):
     return spark.read.parquet(f"{base}/out").groupBy("record").agg(F.count("*").alias("n"))
 
 
+def ingested_ledger(spark, sf):
+    """The events as a file stream in several batches, each property text once, without state beside the table."""
+    base = f"{shared_folder(spark)}/textloom/ledger-{uuid.uuid4().hex}"
+    table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartition(3).write.parquet(f"{base}/in")
+    stream = ingest.files(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, most=1)
+    ingest.add_once(stream, "props", f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("record").agg(F.count("*").alias("n"))
+
+
 def worksheet_errors(spark, sf):
     p = table(spark, sf, "part")
     sheet = p.select(F.col("p_name").alias("term"), F.col("p_type").alias("proposed_category"), F.col("p_size").alias("review_frequency"), F.when(F.col("p_partkey") % 2 == 0, "approved").otherwise("rejected").alias("status"), F.lit("").alias("decision"), F.lit("seen").alias("rationale"))
@@ -225,5 +234,6 @@ ALL = {
     "next_rows": (next_rows, "SELECT 'Head ' || s_suppkey AS header, s_name AS next FROM supplier"),
     "archive_links": (archive_links, ARCHIVE_SQL),
     "ingested": (ingested, "SELECT sha256(trim(regexp_replace(props, '\\s+', ' ', 'g'))) AS record, 1::BIGINT AS n FROM events GROUP BY 1"),
+    "ingested_ledger": (ingested_ledger, "SELECT sha256(trim(regexp_replace(props, '\\s+', ' ', 'g'))) AS record, 1::BIGINT AS n FROM events GROUP BY 1"),
     "worksheet_errors": (worksheet_errors, ERRORS_SQL),
 }

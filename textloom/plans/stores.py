@@ -75,6 +75,25 @@ def dictionary(spark, sf):
     return tables.dictionary(spark, at)
 
 
+def dictionary_documents(spark, sf):
+    """A document a line for each size: some are not frozen, some are cut off."""
+    at = place(spark, "dictionaries")
+    p = table(spark, sf, "part").filter("p_type IS NOT NULL")
+    entries = p.groupBy("p_size", "p_type").agg(F.array_sort(F.collect_set("p_name")).alias("terms")).withColumn("entry", F.struct(F.lower(F.left("p_type", F.lit(2))).alias("short_name"), "terms"))
+    packed = entries.groupBy("p_size").agg(F.map_from_entries(F.collect_list(F.struct("p_type", "entry"))).alias("categories"))
+    status = F.when(F.col("p_size") % 10 == 0, "draft").otherwise("frozen")
+    text = F.to_json(F.struct(F.col("p_size").alias("size"), status.alias("status"), "categories"))
+    packed.select(F.when(F.col("p_size") % 10 == 7, F.left(text, F.lit(60))).otherwise(text)).write.text(at)
+    found = tables.dictionaries(spark, at, whole=False)
+    return found.groupBy("category", "short_name", "term", "error").agg(F.countDistinct("document").alias("n"))
+
+
+DOCUMENTS_SQL = """
+SELECT p_type AS category, lower(left(p_type, 2)) AS short_name, p_name AS term, NULL::VARCHAR AS error, count(DISTINCT p_size) AS n FROM part WHERE p_size % 10 NOT IN (0, 7) AND p_type IS NOT NULL AND p_name IS NOT NULL GROUP BY ALL
+UNION ALL SELECT NULL, NULL, NULL, CASE p_size % 10 WHEN 0 THEN 'not frozen' ELSE 'no dictionary' END AS error, count(DISTINCT p_size) FROM part WHERE p_size % 10 IN (0, 7) AND p_type IS NOT NULL GROUP BY ALL
+"""
+
+
 def longest_names(spark, sf):
     names = tables.names_by_length(table(spark, sf, "part"), "p_type", F.col("p_size") > 10)
     return names.groupBy(F.length("p_type").alias("size")).agg(F.array_join(F.array_sort(F.collect_list("p_type")), ",").alias("names"))
@@ -147,6 +166,7 @@ ALL = {
     "csv_texts": (csv_texts, f"SELECT p_partkey::VARCHAR AS p_partkey, name, coalesce(size::VARCHAR, '') AS size FROM ({PARTS_SQL})"),
     "listed_links": (listed_links, "SELECT url FROM pages WHERE page_id % 3 < 2"),
     "dictionary": (dictionary, "SELECT r_name AS category, lower(left(r_name, 2)) AS short_name, n_name AS term FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "dictionary_documents": (dictionary_documents, DOCUMENTS_SQL),
     "names_by_length": (longest_names, "SELECT length(p_type)::INT AS size, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS names FROM part WHERE p_size > 10 GROUP BY 1"),
     "manifest": (manifest, """SELECT '{"n":' || count(*) || ',"low":' || min(o_orderkey) || ',"high":' || max(o_orderkey) || ',"keys":' || count(DISTINCT o_custkey) || '}' AS manifest FROM orders"""),
     "counted_files": (counted_files, "SELECT count(*) AS n, 3::BIGINT AS files FROM part"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import json
 import shutil
 import tempfile
 import uuid
@@ -68,13 +67,34 @@ def json_lines(spark: SparkSession, path: str, field: str = "url") -> DataFrame:
     return spark.read.text(path).select(value.alias(field)).filter(F.coalesce(F.col(field), F.lit("")) != "")
 
 
+def dictionaries(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """(document, category, short_name, term, error) of any number of dictionary documents, each a file or, unless
+    ``whole``, a line; they are taken apart as variants where they are read, and none passes through the driver.
+
+    ``document`` is the hash of its text. What can't be used is a row with an error: a text that is no JSON object, a
+    document that isn't frozen, a category without a short name. Terms that are no texts are left out."""
+    read = spark.read.text(path, wholetext=whole).filter(F.trim("value") != "").select(F.sha2("value", 256).alias("document"), F.try_parse_json("value").alias("v"))
+    state = F.when(F.col("v").isNull() | (F.try_variant_get("v", "$.categories", "variant").isNull() & F.try_variant_get("v", "$.status", "string").isNull()), "no dictionary")
+    judged = read.withColumn("error", state.when(~F.try_variant_get("v", "$.status", "string").eqNullSafe(F.lit("frozen")), "not frozen"))
+    good = spark.sql(
+        """SELECT d.document, c.key AS category, try_variant_get(c.value, '$.short_name', 'string') AS short_name, try_variant_get(c.value, '$.terms', 'variant') AS terms
+        FROM {judged} d, LATERAL variant_explode(try_variant_get(d.v, '$.categories', 'variant')) c WHERE d.error IS NULL""",
+        judged=judged,
+    )
+    found = spark.sql("SELECT g.document, g.category, g.short_name, try_variant_get(t.value, '$', 'string') AS term FROM {good} g, LATERAL variant_explode(g.terms) t WHERE g.short_name <> ''", good=good)
+    none = F.lit(None).cast("string")
+    bad = judged.filter("error IS NOT NULL").select("document", none.alias("category"), none.alias("short_name"), none.alias("term"), "error")
+    unnamed = good.filter("coalesce(short_name, '') = ''").select("document", "category", none.alias("short_name"), none.alias("term"), F.lit("no short name").alias("error"))
+    return found.filter("term IS NOT NULL").withColumn("error", none).unionByName(bad).unionByName(unnamed)
+
+
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(category, short_name, term) of a frozen dictionary document; one that isn't frozen is an error."""
-    document = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
-    if document.get("status") != "frozen":
-        raise ValueError("the dictionary is not frozen")
-    rows = [(c, e["short_name"], t) for c, e in document["categories"].items() for t in e["terms"]]
-    return spark.createDataFrame(rows, "category string, short_name string, term string")
+    found = dictionaries(spark, path)
+    wrong = found.filter("error IS NOT NULL").select("error").first()
+    if wrong:
+        raise ValueError("the dictionary is not frozen" if wrong["error"] == "not frozen" else f"the dictionary is not usable: {wrong['error']}")
+    return found.select("category", "short_name", "term")
 
 
 def names_by_length(df: DataFrame, column: str, condition: Column | None = None) -> DataFrame:
