@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.values import cosine, unit
+from textloom.functions.values import cosine, dot, norm, unit
 
 #: Up to so many partitions a test is exact.
 EXACT = 10_000
@@ -57,10 +57,15 @@ def weighted_means(projections: DataFrame, frequencies: DataFrame, terms: DataFr
 
 
 def associations(targets: DataFrame, attributes: DataFrame, term: str = "term", vector: str = "vector") -> DataFrame:
-    """(term, side, s): mean cosine with attribute set A less that with B. Both are short lists."""
-    a = F.broadcast(attributes.select("set", F.col(vector).alias("tl_v")))
-    c = cosine(F.col(vector), F.col("tl_v"))
-    return targets.crossJoin(a).groupBy(term, "side").agg((F.avg(F.when(F.col("set") == "A", c)) - F.avg(F.when(F.col("set") == "B", c))).alias("s"))
+    """(term, side, s): mean cosine with attribute set A less that with B, as the mean over a set is the product with
+    the mean of its unit vectors; a vector without direction has no cosine. Any number of targets and attributes."""
+    scale = F.try_divide(F.lit(1.0), norm(F.col(vector)))
+    parts = attributes.select("set", scale.alias("tl_scale"), F.posexplode(vector).alias("tl_at", "tl_x")).filter(F.col("set").isin("A", "B") & F.col("tl_scale").isNotNull())
+    sums = parts.groupBy("tl_at").agg(*(F.avg(F.when(F.col("set") == x, F.col("tl_x") * F.col("tl_scale"))).alias(x) for x in "AB"))
+    listed = sums.agg(F.array_sort(F.collect_list(F.struct("tl_at", "A", "B"))).alias("tl_l"))
+    lean = listed.select(F.transform("tl_l", lambda x: x["A"] - x["B"]).alias("tl_lean"))  # one row
+    each = targets.crossJoin(F.broadcast(lean)).select(term, "side", (dot(F.col(vector), F.col("tl_lean")) * scale).alias("s"))
+    return each.groupBy(term, "side").agg(F.avg("s").alias("s"))
 
 
 def association_test(targets: DataFrame, attributes: DataFrame, term: str = "term", vector: str = "vector", exact: int = EXACT, samples: int = 10_000, seed: int = 42) -> dict:
