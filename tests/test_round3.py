@@ -47,3 +47,13 @@ def test_associations_without_pairs(spark, tmp_path):
     want = {r[:2]: r[2] for r in duckdb.sql(geometry.ALL["associations"][1].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()}
     assert got.keys() == want.keys() and len(got) == 114 and all(abs(got[k] - want[k]) < 2e-6 for k in got)
     assert "tl_lean" in found._jdf.queryExecution().optimizedPlan().toString().split("Join Cross")[1]
+
+
+def test_sampled_permutations_sort_a_band_alone(spark, monkeypatch):
+    """The same p as from a sort of all hashes, also where the band misses a cut."""
+    df = spark.range(600).select(F.col("id").alias("term"), F.when(F.col("id") % 3 == 0, "X").otherwise("Y").alias("side"), (F.sin(F.col("id")) + F.when(F.col("id") % 3 == 0, 0.08).otherwise(0.0)).alias("s"))
+    got = [df]
+    for certain in (float("inf"), 3, 0):
+        monkeypatch.setattr(vectors, "CERTAIN", certain)
+        got.append(vectors.sampled_permutations(df, 300).first())
+    assert got[1].n_permutations == 300 and 0.01 < got[1].p < 0.9 and got[1] == got[2] == got[3]

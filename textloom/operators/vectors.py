@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.values import cosine, dot, norm, unit
+from textloom.sources.tables import settled
 
 #: Up to so many partitions a test is exact.
 EXACT = 10_000
@@ -116,18 +117,42 @@ def exact_permutations(scores: DataFrame, by: str | None = None) -> DataFrame:
     return masks.agg(F.count("*").alias("n_permutations"), ((F.count_if(part >= own - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
 
 
+#: A replicate's hashes below the one that ends side X are as good as certain outside so many standard deviations.
+CERTAIN = 6
+
+
 def sampled_permutations(scores: DataFrame, replicates: int = 2000, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
     """The test on (term, side, s) by random splits, for any number of targets and, with ``by``, of tests at once.
 
     A replicate orders a test's terms by the hash of seed, replicate and term, and takes as many as side X has. Terms are
-    told apart by ``term``; a test with an empty side has no rows. p counts the own split, (extreme + 1) / (n + 1)."""
+    told apart by ``term``; a test with an empty side has no rows. p counts the own split, (extreme + 1) / (n + 1).
+
+    Hashes are even, so where the order is cut is known but for a narrow band: what lies below it is summed up, only the
+    band is sorted. Should a cut lie elsewhere, all hashes are a band."""
     by = list(by)
     tests = scores.groupBy(*by).agg(F.count_if(F.col("side") == "X").alias("tl_k"), F.count("*").alias("tl_n"), F.sum(F.when(F.col("side") == "X", F.col("s"))).alias("tl_own")).filter("tl_k > 0 AND tl_k < tl_n")
-    each = scores.select(*by, "term", "s", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("tl_r"))
-    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tl_r").cast("string"), F.col("term").cast("string")))
-    placed = each.withColumn("tl_at", F.row_number().over(Window.partitionBy(*by, "tl_r").orderBy(drawn, "term")))
-    sized = placed.join(tests, by) if by else placed.crossJoin(F.broadcast(tests))  # one row
-    parts = sized.filter("tl_at <= tl_k").groupBy(*by, "tl_r").agg(F.sum("s").alias("tl_part"), F.first("tl_own").alias("tl_own"))
+
+    def split(certain: float) -> DataFrame:
+        share = F.col("tl_k") / F.col("tl_n")
+        wide = certain * F.sqrt(share * (1 - share) / F.col("tl_n")) + 2 * certain / F.col("tl_n")
+        digits = lambda x: F.lower(F.lpad(F.hex((x * float(1 << 52)).cast("long")), 13, "0"))
+        low, high = F.when(share > wide, digits(share - wide)).otherwise(""), F.when(share + wide < 1, digits(share + wide)).otherwise("g")
+        cuts = tests.withColumns({"tl_low": low, "tl_high": high})
+        sized = scores.select(*by, "term", "s").join(cuts, by) if by else scores.select("term", "s").crossJoin(F.broadcast(cuts))  # one row
+        each = sized.withColumn("tl_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        drawn = each.withColumn("tl_drawn", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tl_r").cast("string"), F.col("term").cast("string"))))
+        below = F.col("tl_drawn") < F.col("tl_low")
+        sums = drawn.groupBy(*by, "tl_r").agg(F.first("tl_k").alias("tl_k"), F.first("tl_own").alias("tl_own"), F.count_if(below).alias("tl_in"), F.sum(F.when(below, F.col("s")).otherwise(0.0)).alias("tl_sum"))
+        order = Window.partitionBy(*by, "tl_r").orderBy("tl_drawn", "term")
+        band = drawn.filter(~below & (F.col("tl_drawn") < F.col("tl_high"))).select(*by, "tl_r", "s", F.row_number().over(order).alias("tl_at"))
+        taken = band.join(sums.select(*by, "tl_r", (F.col("tl_k") - F.col("tl_in")).alias("tl_left")), [*by, "tl_r"]).groupBy(*by, "tl_r").agg(F.count("*").alias("tl_band"), F.sum(F.when(F.col("tl_at") <= F.col("tl_left"), F.col("s")).otherwise(0.0)).alias("tl_more"))
+        found = sums.join(taken, [*by, "tl_r"], "left")
+        inside = F.col("tl_k").between(F.col("tl_in"), F.col("tl_in") + F.coalesce("tl_band", F.lit(0)))
+        return settled(found.select(*by, "tl_own", (F.col("tl_sum") + F.coalesce("tl_more", F.lit(0.0))).alias("tl_part"), inside.alias("tl_inside")))
+
+    parts = split(CERTAIN)
+    if not parts.filter("NOT tl_inside").isEmpty():
+        parts = split(math.inf)
     n = F.count("*")
     return parts.groupBy(*by).agg(n.alias("n_permutations"), ((F.count_if(F.col("tl_part") >= F.col("tl_own") - 1e-12) + 1) / (n + 1)).alias("p"))
 
