@@ -3,8 +3,9 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from textloom.operators import html, vectors
+from textloom.operators import html, linkage, vectors
 from textloom.plans import geometry, linking, shapes
+from textloom.sources.tables import settled
 
 PAGES = [
     (0, "http://a.org/0", "<a href='/x'>x</a><article><a href='/y'>y</a></article>"),
@@ -57,3 +58,13 @@ def test_sampled_permutations_sort_a_band_alone(spark, monkeypatch):
         monkeypatch.setattr(vectors, "CERTAIN", certain)
         got.append(vectors.sampled_permutations(df, 300).first())
     assert got[1].n_permutations == 300 and 0.01 < got[1].p < 0.9 and got[1] == got[2] == got[3]
+
+
+def test_linkage_keeps_no_pairs(spark, monkeypatch):
+    """Nothing that is written grows with the product of the entries and records that have one link, day, name and score."""
+    kept = []
+    monkeypatch.setattr(linkage, "settled", lambda df: kept.append(df.count()) or settled(df))
+    rows = spark.range(200).select(F.col("id").cast("string").alias("record"), F.lit("https://a.org/x").alias("link"), F.lit("some name").alias("name"), F.lit(80).alias("score"), F.lit("2020-01-01").alias("day"), F.concat(F.lit("text "), F.col("id") + 1000).alias("text"))
+    index = rows.select(F.concat(F.lit("e"), "record").alias("entry"), "link", "name", "score", "day", F.when(F.col("record").cast("int") < 100, F.col("text")).otherwise("").alias("snippet"), F.lit("named").alias("page_kind"))
+    found = linkage.linked(index, rows, 0).groupBy("method").count().collect()
+    assert {(r["method"], r["count"]) for r in found} == {("exact_name_score_snippet", 100), ("fuzzy_low", 100)} and max(kept) == 200
