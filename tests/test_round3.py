@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
-from textloom.operators import embedding, html, linkage, similarity, vectors
+from textloom.operators import embedding, html, linkage, relational, similarity, vectors
 from textloom.plans import geometry, linking, shapes
 from textloom.sources.tables import settled
 
@@ -139,3 +139,25 @@ def test_similar_names_keep_no_pairs(spark):
         finally:
             similarity.CELL = own
         assert {(f.name, f.other): f.ratio for f in found.collect()} == want and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_by_cells(spark, tmp_path, monkeypatch):
+    """Copies, multiples, and many cells, as the SQL has them; no pair is a row of a join, and nothing is broadcast."""
+    r = random.Random(2)
+    base = [[round(r.uniform(-1, 1), 2) for _ in range(5)] for _ in range(40)]
+    rows = [(k, [x * (1 + k % 3) for x in base[k % 40]] if k < 900 else base[0], k % 3) for k in range(1200)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr("textloom.operators.cells.ANCHORS", 7)
+    monkeypatch.setattr("textloom.operators.cells.VECTORS", 100)
+    got, want = against_sql(spark, tmp_path, {"embeddings": t}, *geometry.ALL["neighbors"])
+    assert got == want and len(got) == 240
+    plan = geometry.neighbors(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_nearest_of_odd_vectors(spark):
+    """Null vectors, components and keys, and vectors of another size, are similar to nothing and come last, by key."""
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", None), ("d", [1.0, None]), ("e", [1.0]), ("f", [-1.0, 0.0]), (None, [1.0, 0.0]), ("g", [1e-200, 0.0])]
+    t = spark.createDataFrame(rows, "k string, v array<double>")
+    got = [(x.neighbor, x.similarity) for x in relational.nearest(t, t.filter("k = 'a'"), 5, "k", "v").orderBy("rank").collect()]
+    assert [n for n, _ in got][-4:] == ["b", "f", "c", "d"] and got[-2:] == [("c", None), ("d", None)] and got[2] == ("f", -1.0)
