@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -110,3 +111,16 @@ def test_clashing_names_and_ids_of_text(spark, network):
     assert kept.columns == frame.columns and 0 < kept.count() < len(rows)
     marks = spark.createDataFrame([(f"a{k}", int(m)) for k, m in enumerate(labelled(40)[1])], "doc_id string, toxic int")
     assert tx.fitted(frame, marks) is not None
+
+
+def test_a_task_trains_and_not_the_driver(spark, monkeypatch):
+    def told(texts, labels, share):
+        network = tx.Network()
+        network.scale, network.shift = os.getpid(), len(texts)
+        return network
+
+    monkeypatch.setattr(tx, "trained", told)
+    rows = [(k, t, "en", "a", 1) for k, t in enumerate(labelled(60)[0])]
+    marks = spark.createDataFrame([(k, 1, int(m)) for k, m in enumerate(labelled(60)[1])], "doc_id long, quality int, toxic int")
+    found = tx.fitted(docs(spark, rows), marks)
+    assert found.scale != os.getpid() and 0 < found.shift < 60

@@ -6,7 +6,7 @@ text (one from every word that has WINDOW words from it on) are scored, the text
 window, calibrated by a logistic fit. Words longer than PIECE characters count as several, so nothing of a text is
 left out. Gates and states are piecewise linear (clipped), which costs less than half of the exponential forms.
 
-The network is trained in numpy with a fixed number of steps on a bounded sample of labelled texts (SAMPLE of each
+The network is trained in numpy, by one task, with a fixed number of steps on a bounded sample of labelled texts (SAMPLE of each
 class, up to SAMPLE_CHARS characters each). Labels are of whole texts, so a text's windows share its label by a
 noisy or: a clean text has no toxic window, a toxic one some.
 
@@ -16,6 +16,8 @@ without labels of both classes every score is 0; an empty table gives an empty o
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -481,9 +483,22 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     few = [fits.filter(F.col("mark") == k).select("of", "mark").distinct().orderBy(F.xxhash64("of"), "of").limit(SAMPLE) for k in (1, 0)]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
     chosen = texts.join(F.broadcast(few[0].union(few[1])), F.col("doc_id") == F.col("of"))  # 2 * SAMPLE rows at most
-    rows = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("mark").alias("mark")).collect()
-    rows = sorted(rows, key=lambda r: r["doc_id"])
-    return trained([r["text"] for r in rows], np.array([r["mark"] for r in rows]), ones / max(1, n)) if rows else None
+    rows = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("mark").alias("mark")).repartition(1).sortWithinPartitions("doc_id").select("text", "mark")
+    share = ones / max(1, n)
+
+    def fit(it):  # the sample is bounded; a task trains on it, so neither its texts nor what training needs are on the driver
+        texts, marks = [], []
+        for batch in it:
+            texts += batch.column(0).to_pylist()
+            marks += batch.column(1).to_pylist()
+        network = trained(texts, np.array(marks), share) if texts else None
+        texts = marks = None
+        released()
+        if network:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], ["network"])
+
+    found = rows.mapInArrow(fit, "network binary").collect()
+    return pickle.loads(found[0]["network"]) if found else None
 
 
 def with_scores(docs: DataFrame, network: Network | None, text_col: str = "text", score_col: str = "tl_score") -> DataFrame:
