@@ -9,7 +9,7 @@ from textloom.operators import linkage
 from textloom.plans import linking
 
 
-@pytest.mark.parametrize("name", ["linked", "link_audit", "memberships"])
+@pytest.mark.parametrize("name", ["linked", "link_audit", "memberships", "strict_records"])
 def test_links_of_the_smallest_tables_are_those_of_the_sql(spark, name):
     db = duckdb.connect()
     for t in ("orders", "part"):
