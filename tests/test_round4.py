@@ -1,11 +1,12 @@
 """The cascade of links is whole at any size, and its SQL holds at every one; pages are made and read by tasks of bounded size."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from tests.conftest import SF
 from tests.test_oracles import plain
-from textloom.operators import html, linkage
+from textloom.operators import embedding, html, linkage
 from textloom.plans import linking
 
 
@@ -54,3 +55,22 @@ def test_page_records_in_one_pass_are_those_of_the_fragments(spark):
     # a single Python worker of a task holds the page
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(one).count("MapInPandas") * 2 == plan(two).count("MapInPandas")
+
+
+def test_a_step_of_neighbouring_words_is_the_step_of_their_pairs():
+    r = np.random.default_rng(5)
+    ids, text = r.integers(0, 12, 300), np.repeat([0, 1, 2], 100)
+    met, steps = [], 0
+    for near, band, first in embedding.bands(ids, text, 4, r):
+        vin, vout = (r.normal(size=(12, 6)).astype(np.float32) * 0.3 for _ in range(2))
+        noise = r.integers(0, 12, 7)
+        i, j = np.nonzero(band)
+        one, two = [vin.copy(), vout.copy()], [vin.copy(), vout.copy()]
+        embedding.band_step(*one, near, band, first, noise, 3, 0.01)
+        embedding.step(*two, near[first + i], near[j], noise, 3, 0.01)
+        assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(one, two)) and not np.allclose(one[0], vin, atol=1e-5)
+        met.append(len(i))
+        steps += 1
+    words, _ = embedding.pairs(ids, text, 4, np.random.default_rng(5))  # the same widths, drawn first
+    again = sum(int(b.sum()) for _, b, _ in embedding.bands(ids, text, 4, np.random.default_rng(5)))
+    assert steps > 1 and again == len(words)
